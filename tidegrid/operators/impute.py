@@ -7,6 +7,7 @@ medians of a metric travel as three small arrays (288 + 168 + 24 cells).
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -85,6 +86,11 @@ RULES: tuple[Rule, ...] = (
     Rule(r"", kind="keep"),
 )
 
+def rule_of(name: str) -> Rule:
+    """The rule of a metric family, for tables that hold only that family."""
+    return next(r for r in RULES if re.search(r.match, name))
+
+
 # Hours without sun.
 NIGHT_HOURS = (21, 22, 23, 0, 1)
 

@@ -128,7 +128,7 @@ pn AS (SELECT k.tso, k.unique_id, h.ds, coalesce(v.y, 0) AS y
        LEFT JOIN pn_sum v USING (tso, unique_id, ds))
 """
 
-DAMPED = "CASE WHEN hour(ds) % 5 = 0 THEN 0 ELSE round(0.7 * y + hour(ds) % 7, 2) END"
+DAMPED = "CASE WHEN hour(ds) % 5 = 0 THEN 0 ELSE 0.7 * y + hour(ds) % 7 END"
 MODELS = ["blend", "damped", "naive", "seasonal"]
 
 
