@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidegrid.plans import q_features, q_impute, q_intervals  # noqa: F401
+from tidegrid.plans import q_eval, q_features, q_impute, q_intervals, q_stats  # noqa: F401
 from tidegrid.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -14,7 +14,7 @@ from tidegrid.plans.registry import query
 _NEXT = "first_value({c} IGNORE NULLS) OVER (PARTITION BY {k} ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
 
 
-def _rounded(df, *cols, n=6):
+def _rounded(df, *cols, n=8):
     for c in cols:
         df = df.withColumn(c, F.round(c, n))
     return df
@@ -28,11 +28,11 @@ def _rounded(df, *cols, n=6):
 e AS (SELECT series, ts, CASE WHEN n >= 3 THEN m END AS m, CASE WHEN n >= 3 THEN s END AS s, CASE WHEN n >= 3 THEN a END AS a FROM r)
 SELECT series, ts, round("""
     + _NEXT.format(c="m", k="series, hour(ts)")
-    + ", 6) AS rollingmean_7d, round("
+    + ", 8) AS rollingmean_7d, round("
     + _NEXT.format(c="s", k="series, hour(ts)")
-    + ", 6) AS rollingstd_7d, round("
+    + ", 8) AS rollingstd_7d, round("
     + _NEXT.format(c="a", k="series, hour(ts)")
-    + ", 6) AS rolling_absdev_7d FROM e",
+    + ", 8) AS rolling_absdev_7d FROM e",
 )
 def win1(spark, d):
     out = ft.rolling_same_hour(derive.hourly(spark, d), ["series"], 7, True, True).drop("value")
@@ -55,7 +55,7 @@ def win2(spark, d):
     "win3_lag_and_rolling_no_backfill",
     with_cte(HS)
     + """SELECT series, ts, lag(value, 1) OVER (PARTITION BY series ORDER BY ts) AS lag_1h,
- CASE WHEN count(value) OVER w >= 7 THEN round(avg(value) OVER w, 6) END AS rollingmean_14d
+ CASE WHEN count(value) OVER w >= 7 THEN round(avg(value) OVER w, 8) END AS rollingmean_14d
 FROM hs WINDOW w AS (PARTITION BY series, hour(ts) ORDER BY ts ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING)""",
 )
 def win3(spark, d):
@@ -73,7 +73,7 @@ ac AS (SELECT series, avg(CASE WHEN value IS NOT NULL THEN CAST(value <> 0 AS IN
 
 @query(
     "win6_nonzero_runs",
-    with_cte(HS, _ACTIVITY) + "SELECT series, round(activity, 6) AS activity, round(magnitude, 6) AS magnitude, runs FROM ac",
+    with_cte(HS, _ACTIVITY) + "SELECT series, round(activity, 8) AS activity, round(magnitude, 8) AS magnitude, runs FROM ac",
 )
 def win6(spark, d):
     return _rounded(ft.column_activity(derive.hourly(spark, d), ["series"]), "activity", "magnitude")
@@ -112,7 +112,7 @@ def _daily(spark, d):
 @query(
     "win7_row_difference",
     with_cte(_DAILY)
-    + "SELECT prio, CAST(day AS TIMESTAMP) AS day, round(value - lag(value) OVER (PARTITION BY prio ORDER BY day), 6) AS change FROM dp",
+    + "SELECT prio, CAST(day AS TIMESTAMP) AS day, round(value - lag(value) OVER (PARTITION BY prio ORDER BY day), 8) AS change FROM dp",
 )
 def win7(spark, d):
     out = ft.row_difference(_daily(spark, d), ["prio"], "day", F.year("day"))
@@ -253,8 +253,8 @@ nb(operator, area) AS (VALUES ('50Hertz','CZ'),('50Hertz','DK_1'),('50Hertz','DK
     "cmp3_prj16_price_spreads",
     with_cte(HS, f"ar AS (SELECT {_AREA_SQL} AS area, ts, value FROM hs)", _imputed_cte("area", "ar", 6, _HWFILL.format(mc=1)), _NB_SQL)
     + """, home AS (SELECT ts, value FROM im WHERE area = 'DE_LU')
-SELECT o.operator, ts, 'day_ahead_price_de_lu' AS metric, round(value, 6) AS value FROM home, (SELECT DISTINCT operator FROM nb) o
-UNION ALL SELECT nb.operator, im.ts, 'day_ahead_price_spread_de_vs_' || lower(im.area), round(home.value - im.value, 6)
+SELECT o.operator, ts, 'day_ahead_price_de_lu' AS metric, round(value, 8) AS value FROM home, (SELECT DISTINCT operator FROM nb) o
+UNION ALL SELECT nb.operator, im.ts, 'day_ahead_price_spread_de_vs_' || lower(im.area), round(home.value - im.value, 8)
 FROM im JOIN nb USING (area) LEFT JOIN home ON home.ts = im.ts""",
 )
 def cmp3_prices(spark, d):
@@ -343,7 +343,7 @@ def cmp3_consumption(spark, d):
         HS, f"ar AS (SELECT {_AREA_SQL} AS area, ts, value FROM hs)",
         _imputed_cte("area", "ar", 6, _HWFILL.format(mc=8)),
     )
-    + "SELECT area, ts, round(value, 6) AS value FROM im",
+    + "SELECT area, ts, round(value, 8) AS value FROM im",
 )
 def cmp3_consumption_forecast(spark, d):
     return _rounded(loaders.consumption_forecasts(_areas(spark, d), _fit()), "value")
@@ -430,7 +430,7 @@ nf AS (SELECT CASE WHEN split_part(k, '|', 1) = 'DE_LU' THEN split_part(k, '|',
 """
 
 
-@query("prj19_net_flow", with_cte(_FL, _NET.format(src="fl")) + "SELECT nbr AS neighbour, ts, round(ex - im_, 6) AS net FROM nf")
+@query("prj19_net_flow", with_cte(_FL, _NET.format(src="fl")) + "SELECT nbr AS neighbour, ts, round(ex - im_, 8) AS net FROM nf")
 def prj19(spark, d):
     out = ft.net_flow(_flows(spark, d), ["ts"], "DE_LU")
     return _rounded(out.select("neighbour", "ts", "net"), "net")
@@ -451,7 +451,7 @@ kept AS (SELECT s.* FROM {src} s WHERE {k} IN (SELECT {k} FROM ac WHERE activity
 @query(
     "cmp3_scheduled_exchanges",
     with_cte(_FL, _NET.format(src="fl"), _NET_ONE, _active_cte("n1", "nbr", 40))
-    + "SELECT nbr AS neighbour, ts, round(value, 6) AS value FROM kept",
+    + "SELECT nbr AS neighbour, ts, round(value, 8) AS value FROM kept",
 )
 def cmp3_sce(spark, d):
     return _rounded(loaders.scheduled_exchanges(_flows(spark, d), magnitude=40.0), "value")
@@ -516,8 +516,8 @@ def _wide(spark, d):
 @query(
     "prj17_residual_load",
     with_cte(_WIDE)
-    + """SELECT series, ts, round(consumption_forecast_load - wind_forecast_total - pv_forecast, 6) AS residual_load_forecast,
- round(production_forecast - wind_forecast_total - pv_forecast, 6) AS production_forecast_other,
+    + """SELECT series, ts, round(consumption_forecast_load - wind_forecast_total - pv_forecast, 8) AS residual_load_forecast,
+ round(production_forecast - wind_forecast_total - pv_forecast, 8) AS production_forecast_other,
  consumption_forecast_load, wind_forecast_total, pv_forecast FROM wd""",
 )
 def prj17(spark, d):
@@ -527,13 +527,13 @@ def prj17(spark, d):
 
 @query(
     "prj20_forecast_error",
-    with_cte(PN, PR) + "SELECT tso, unique_id, ds, model, round(y_pred - y, 6) AS error FROM pr",
+    with_cte(PN, PR) + "SELECT tso, unique_id, ds, model, round(y_pred - y, 8) AS error FROM pr",
 )
 def prj20(spark, d):
     preds = derive.predictions(spark, d)
     actual = derive.panel(spark, d)
     return preds.drop("y").join(actual, ["tso", "unique_id", "ds"]).select(
-        "tso", "unique_id", "ds", "model", F.round(F.col("y_pred") - F.col("y"), 6).alias("error")
+        "tso", "unique_id", "ds", "model", F.round(F.col("y_pred") - F.col("y"), 8).alias("error")
     )
 
 
@@ -598,8 +598,8 @@ def agg24(spark, d):
 @query(
     "agg25_completeness",
     with_cte(HS)
-    + """SELECT series, count(*) AS rows, 0::BIGINT AS duplicates, round(count(value) / count(*)::DOUBLE, 6) AS completeness,
- round(count(*) / (date_diff('hour', min(ts), max(ts)) + 1)::DOUBLE, 6) AS coverage,
+    + """SELECT series, count(*) AS rows, 0::BIGINT AS duplicates, round(count(value) / count(*)::DOUBLE, 8) AS completeness,
+ round(count(*) / (date_diff('hour', min(ts), max(ts)) + 1)::DOUBLE, 8) AS coverage,
  count(*) / (date_diff('hour', min(ts), max(ts)) + 1)::DOUBLE >= 0.99 AS passed FROM hs GROUP BY series""",
 )
 def agg25(spark, d):

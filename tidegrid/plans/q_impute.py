@@ -38,7 +38,7 @@ def imp1(spark, d):
 @query(
     "imp2_seasonal_median",
     with_cte(HS)
-    + f"""SELECT h.series, h.ts, round(m.med, 6) AS seasonal_median, coalesce(m.n, 0) AS seasonal_count
+    + f"""SELECT h.series, h.ts, round(m.med, 8) AS seasonal_median, coalesce(m.n, 0) AS seasonal_count
 FROM hs h LEFT JOIN (SELECT series, hour(ts) AS hh, isodow(ts) AS wd, quantile_cont(value, 0.5) FILTER (WHERE ts < TIMESTAMP '{OOS}') AS med,
    count(value) FILTER (WHERE ts < TIMESTAMP '{OOS}') AS n FROM hs GROUP BY ALL) m
  ON m.series = h.series AND m.hh = hour(h.ts) AND m.wd = isodow(h.ts)""",
@@ -46,7 +46,7 @@ FROM hs h LEFT JOIN (SELECT series, hour(ts) AS hh, isodow(ts) AS wd, quantile_c
 def imp2(spark, d):
     out = imp.seasonal_fill(derive.hourly(spark, d), ["series"], ["hour", "weekday"], _fit())
     return out.select(
-        "series", "ts", F.round("seasonal_median", 6).alias("seasonal_median"), "seasonal_count"
+        "series", "ts", F.round("seasonal_median", 8).alias("seasonal_median"), "seasonal_count"
     )
 
 
@@ -96,13 +96,13 @@ _HMFILL = """CASE WHEN m1 IS NOT NULL AND n1 >= 24 THEN n1/(n1+12.0)*m1 + (1-n1/
     with_cte(HS, _TIERS.format(k="series", src="hs"), _GAP.format(k="series", src="hs"))
     + f""", f AS (SELECT tm.*, gp.gap_position, {_HWFILL.format(mc=3)} AS fill FROM tm JOIN gp USING (series, ts)),
 r AS (SELECT *, coalesce(last_value(value - fill IGNORE NULLS) OVER (PARTITION BY series ORDER BY ts), 0) AS res FROM f)
-SELECT series, ts, round(fill + res * CASE WHEN value IS NULL THEN greatest(1 - gap_position / 5.0, 0) ELSE 1 END, 6) AS adjusted FROM r""",
+SELECT series, ts, round(fill + res * CASE WHEN value IS NULL THEN greatest(1 - gap_position / 5.0, 0) ELSE 1 END, 8) AS adjusted FROM r""",
 )
 def imp4(spark, d):
     rows = derive.hourly(spark, d).withColumn("metric", F.lit("x"))
     out = imp.tiered_fill(rows, ["series"], [imp.Rule("", min_count=3)], _fit())
     return imp.level_adjusted(out, ["series"], max_gap=5).select(
-        "series", "ts", F.round("adjusted", 6).alias("adjusted")
+        "series", "ts", F.round("adjusted", 8).alias("adjusted")
     )
 
 
@@ -118,14 +118,14 @@ def _rule_query(name: str, rule: imp.Rule, sql_fill: str, level: bool = False, n
         with_cte(HS, _TIERS.format(k="series", src="hs"), _GAP.format(k="series", src="hs"))
         + f""", j AS (SELECT tm.*, gp.gap_position, gp.gap_total, gp.near FROM tm JOIN gp USING (series, ts)),
 r AS (SELECT *, last_value(value - ({fill}) IGNORE NULLS) OVER (PARTITION BY series ORDER BY ts) AS res FROM j)
-SELECT series, ts, round({expr}, 6) AS imputed FROM r"""
+SELECT series, ts, round({expr}, 8) AS imputed FROM r"""
     )
 
     @query(name, sql)
     def run(spark, d):
         rows = derive.hourly(spark, d).withColumn("metric", F.lit("x"))
         out = imp.impute(rows, [rule], _fit(), keys=["series"])
-        return out.select("series", "ts", F.round("imputed", 6).alias("imputed"))
+        return out.select("series", "ts", F.round("imputed", 8).alias("imputed"))
 
     return run
 
@@ -188,10 +188,10 @@ im AS (SELECT metric, ts, value, CASE WHEN metric LIKE 'bloomberg%' THEN near
 )
 
 
-@query("imp15_all_rules", _ALL_SQL + "SELECT metric, ts, round(imputed, 6) AS imputed FROM im")
+@query("imp15_all_rules", _ALL_SQL + "SELECT metric, ts, round(imputed, 8) AS imputed FROM im")
 def imp15(spark, d):
     out = imp.impute(derive.metrics(spark, d), imp.RULES, _fit())
-    return out.select("metric", "ts", F.round("imputed", 6).alias("imputed"))
+    return out.select("metric", "ts", F.round("imputed", 8).alias("imputed"))
 
 
 @query(
@@ -200,9 +200,9 @@ def imp15(spark, d):
     + """SELECT metric, CAST(sum(CASE WHEN value IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing_before,
  CAST(sum(CASE WHEN imputed IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing_after,
  CAST(sum(CASE WHEN value IS NULL THEN 1 ELSE 0 END) - sum(CASE WHEN imputed IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS imputed_count,
- round((sum(CASE WHEN value IS NULL THEN 1 ELSE 0 END) - sum(CASE WHEN imputed IS NULL THEN 1 ELSE 0 END)) / count(*)::DOUBLE * 100, 6) AS imputed_pct
+ round((sum(CASE WHEN value IS NULL THEN 1 ELSE 0 END) - sum(CASE WHEN imputed IS NULL THEN 1 ELSE 0 END)) / count(*)::DOUBLE * 100, 8) AS imputed_pct
 FROM im GROUP BY metric""",
 )
 def imp15_stats(spark, d):
     out = imp.impute(derive.metrics(spark, d), imp.RULES, _fit())
-    return imp.imputation_stats(out).withColumn("imputed_pct", F.round("imputed_pct", 6))
+    return imp.imputation_stats(out).withColumn("imputed_pct", F.round("imputed_pct", 8))
