@@ -76,18 +76,18 @@ def row_position(
     ``bucket`` must rise with the order (a month or a day of the time column).
     """
     keys, order = list(keys), list(order)
-    rows = df.withColumn("_b", bucket)
-    sizes = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    rows = df.withColumn("_rp_b", bucket)
+    sizes = rows.groupBy(*keys, "_rp_b").agg(F.count(F.lit(1)).alias("_rp_n"))
+    before = Window.partitionBy(*keys).orderBy("_rp_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
-        *keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")
+        *keys, "_rp_b", F.coalesce(F.sum("_rp_n").over(before), F.lit(0)).alias("_rp_off")
     )
-    inside = Window.partitionBy(*keys, "_b").orderBy(*order)
+    inside = Window.partitionBy(*keys, "_rp_b").orderBy(*order)
     return (
-        rows.withColumn("_rn", F.row_number().over(inside) - 1)
-        .join(offsets, [*keys, "_b"])
-        .withColumn(name, (F.col("_rn") + F.col("_off")).cast("long"))
-        .drop("_b", "_rn", "_off")
+        rows.withColumn("_rp_rn", F.row_number().over(inside) - 1)
+        .join(offsets, [*keys, "_rp_b"])
+        .withColumn(name, (F.col("_rp_rn") + F.col("_rp_off")).cast("long"))
+        .drop("_rp_b", "_rp_rn", "_rp_off")
     )
 
 

@@ -32,27 +32,32 @@ def absolute_loss(y: Column, p: Column) -> Column:
     return F.abs(y - p)
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _elimination_order(moments: pd.Series, means: pd.Series) -> pd.Series:
-    """Model indices from first excluded to last kept, from one series' matrix."""
-
-    def order(flat: np.ndarray, mean: np.ndarray) -> list[int]:
-        m = len(mean)
-        second = np.asarray(flat, dtype=float).reshape(m, m)
-        alive, out = list(range(m)), []
-        while len(alive) > 1:
-            k = len(alive)
-            scale = k / (k - 1)
-            # contrast of each model with the average of those still alive
-            contrast = (np.eye(k) - np.full((k, k), 1.0 / k)) * scale
-            spread = np.sqrt(np.diag(contrast @ second[np.ix_(alive, alive)] @ contrast.T))
-            excess = contrast @ np.asarray(mean, dtype=float)[alive]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                worst = int(np.argmax(excess / spread))
-            out.append(alive.pop(worst))
-        return out + alive
-
-    return pd.Series([order(f, v) for f, v in zip(moments, means)])
+def _elimination_order():
+    """UDF, defined inside so that executors get it by value."""
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def elimination_order(moments: pd.Series, means: pd.Series) -> pd.Series:
+        """Model indices from first excluded to last kept, from one series' matrix."""
+
+        def order(flat: np.ndarray, mean: np.ndarray) -> list[int]:
+            m = len(mean)
+            second = np.asarray(flat, dtype=float).reshape(m, m)
+            alive, out = list(range(m)), []
+            while len(alive) > 1:
+                k = len(alive)
+                scale = k / (k - 1)
+                # contrast of each model with the average of those still alive
+                contrast = (np.eye(k) - np.full((k, k), 1.0 / k)) * scale
+                spread = np.sqrt(np.diag(contrast @ second[np.ix_(alive, alive)] @ contrast.T))
+                excess = contrast @ np.asarray(mean, dtype=float)[alive]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    worst = int(np.argmax(excess / spread))
+                out.append(alive.pop(worst))
+            return out + alive
+
+        return pd.Series([order(f, v) for f, v in zip(moments, means)])
+
+    return elimination_order
 
 
 def replicate_losses(
@@ -113,7 +118,7 @@ def model_confidence_set(
     )
     moments = F.array(*[F.col(f"_m{min(i, j)}_{max(i, j)}") for i, j in idx])
     plan = second.select(*keys, "d", moments.alias("_mm")).withColumn(
-        "_order", _elimination_order("_mm", "d")
+        "_order", _elimination_order()("_mm", "d")
     )
     spread = [
         F.lit(1.0)

@@ -39,30 +39,33 @@ def acf(df: DataFrame, keys: Sequence[str], nlags: int = 48, y: str = "y", ts: s
     return sums.select(*keys, "n", F.array(*r).alias("acf"))
 
 
-_ARRAY = T.ArrayType(T.DoubleType())
+def yule_walker():
+    """UDF, defined inside so that executors get it by value."""
+    arrays = T.ArrayType(T.DoubleType())
 
+    @F.pandas_udf(T.StructType([T.StructField("pacf", arrays), T.StructField("phi", arrays)]))
+    def walk(acf_arrays: pd.Series) -> pd.DataFrame:
+        """Partial autocorrelations and the AR coefficients of the full order, per short array."""
 
-@F.pandas_udf(T.StructType([T.StructField("pacf", _ARRAY), T.StructField("phi", _ARRAY)]))
-def yule_walker(acf_arrays: pd.Series) -> pd.DataFrame:
-    """Partial autocorrelations and the AR coefficients of the full order, per short array."""
+        def solve(r: np.ndarray) -> tuple[list[float], list[float]]:
+            partial, phi = [1.0], np.zeros(0)
+            for k in range(1, len(r)):
+                gain = r[k] - phi @ r[1:k][::-1]
+                scale = 1.0 - phi @ r[1:k]
+                last = gain / scale if scale else 0.0
+                phi = np.append(phi - last * phi[::-1], last)
+                partial.append(float(last))
+            return partial, phi.tolist()
 
-    def solve(r: np.ndarray) -> tuple[list[float], list[float]]:
-        partial, phi = [1.0], np.zeros(0)
-        for k in range(1, len(r)):
-            gain = r[k] - phi @ r[1:k][::-1]
-            scale = 1.0 - phi @ r[1:k]
-            last = gain / scale if scale else 0.0
-            phi = np.append(phi - last * phi[::-1], last)
-            partial.append(float(last))
-        return partial, phi.tolist()
+        out = [solve(np.asarray(a, dtype=float)) for a in acf_arrays]
+        return pd.DataFrame(out, columns=["pacf", "phi"])
 
-    out = [solve(np.asarray(a, dtype=float)) for a in acf_arrays]
-    return pd.DataFrame(out, columns=["pacf", "phi"])
+    return walk
 
 
 def acf_pacf(df: DataFrame, keys: Sequence[str], nlags: int = 48, y: str = "y", ts: str = "ds") -> DataFrame:
     """Long (keys, lag, acf, pacf, bound) with the 95 % bound of white noise."""
-    a = acf(df, keys, nlags, y, ts).withColumn("_yw", yule_walker("acf"))
+    a = acf(df, keys, nlags, y, ts).withColumn("_yw", yule_walker()("acf"))
     return a.select(
         *keys,
         (F.lit(1.96) / F.sqrt("n")).alias("bound"),
@@ -89,23 +92,28 @@ def kpss(df: DataFrame, keys: Sequence[str], lags: int = 24, y: str = "y", ts: s
     return sums.select(*keys, stat.alias("kpss"), (stat > 0.463).alias("rejects_level"))
 
 
-@F.pandas_udf(T.DoubleType())
-def _first_t(xx: pd.Series, xy: pd.Series, yy: pd.Series, n: pd.Series) -> pd.Series:
-    """t statistic of the first coefficient from centred cross products of one series."""
+def _first_t():
+    """UDF, defined inside so that executors get it by value."""
 
-    def t(a, b, s, rows) -> float:
-        b = np.asarray(b, dtype=float)
-        k = len(b)
-        m = np.asarray(a, dtype=float).reshape(k, k)
-        try:
-            inv = np.linalg.inv(m)
-        except np.linalg.LinAlgError:
-            return float("nan")
-        beta = inv @ b
-        rss = s - beta @ b
-        return float(beta[0] / np.sqrt(rss / (rows - k - 1) * inv[0, 0]))
+    @F.pandas_udf(T.DoubleType())
+    def first_t(xx: pd.Series, xy: pd.Series, yy: pd.Series, n: pd.Series) -> pd.Series:
+        """t statistic of the first coefficient from centred cross products of one series."""
 
-    return pd.Series([t(*v) for v in zip(xx, xy, yy, n)])
+        def t(a, b, s, rows) -> float:
+            b = np.asarray(b, dtype=float)
+            k = len(b)
+            m = np.asarray(a, dtype=float).reshape(k, k)
+            try:
+                inv = np.linalg.inv(m)
+            except np.linalg.LinAlgError:
+                return float("nan")
+            beta = inv @ b
+            rss = s - beta @ b
+            return float(beta[0] / np.sqrt(rss / (rows - k - 1) * inv[0, 0]))
+
+        return pd.Series([t(*v) for v in zip(xx, xy, yy, n)])
+
+    return first_t
 
 
 def adf(df: DataFrame, keys: Sequence[str], lags: int = 24, y: str = "y", ts: str = "ds") -> DataFrame:
@@ -130,13 +138,13 @@ def adf(df: DataFrame, keys: Sequence[str], lags: int = 24, y: str = "y", ts: st
     k = len(names)
     xx = F.array(*[F.col(f"_c{min(i, j)}_{max(i, j)}") for i in range(k) for j in range(k)])
     xy = F.array(*[F.col(f"_b{i}") for i in range(k)])
-    stat = _first_t(xx, xy, F.col("_yy"), F.col("n"))
+    stat = _first_t()(xx, xy, F.col("_yy"), F.col("n"))
     return sums.select(*keys, "n", stat.alias("adf")).withColumn("rejects_unit_root", F.col("adf") < -2.86)
 
 
 def ar_residuals(df: DataFrame, keys: Sequence[str], order: int = 1, y: str = "y", ts: str = "ds") -> DataFrame:
     """Residuals of an AR model with Yule–Walker coefficients; the first ``order`` rows are null."""
-    coef = acf(df, keys, order, y, ts).select(*keys, yule_walker("acf")["phi"].alias("_phi"))
+    coef = acf(df, keys, order, y, ts).select(*keys, yule_walker()("acf")["phi"].alias("_phi"))
     rows = _lagged(centred(df, keys, y), keys, "_c", list(range(1, order + 1)), ts).join(coef, list(keys))
     fit: Column = F.lit(0.0)
     for k in range(1, order + 1):

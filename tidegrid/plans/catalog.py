@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from tidegrid.plans import q_eval, q_features, q_impute, q_intervals, q_stats  # noqa: F401
+from tidegrid.plans import (  # noqa: F401
+    q_attribution,
+    q_eval,
+    q_features,
+    q_frames,
+    q_impute,
+    q_intervals,
+    q_stats,
+)
 from tidegrid.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
