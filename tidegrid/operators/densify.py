@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.operators.chunked import carry_last
@@ -132,21 +132,24 @@ def daily_to_hourly(df: DataFrame, day: str = "day", ts: str = "ts") -> DataFram
 def upsert(
     old: DataFrame, new: DataFrame, keys: Sequence[str], keep: str = "last"
 ) -> DataFrame:
-    """Union of two tables, one row per key: the newer (or older) batch wins."""
+    """Union of two tables, one row per key: the newer (or older) batch wins.
+
+    A maximum by batch, so rows are combined before the exchange.
+    """
     both = old.withColumn("_batch", F.lit(0)).unionByName(
         new.withColumn("_batch", F.lit(1)), allowMissingColumns=True
     )
-    return keep_one(both, keys, [F.col("_batch").desc() if keep == "last" else F.col("_batch")]).drop(
-        "_batch"
-    )
+    rest = [c for c in both.columns if c not in keys and c != "_batch"]
+    pick = F.max_by if keep == "last" else F.min_by
+    return both.groupBy(*keys).agg(pick(F.struct(*rest), F.col("_batch")).alias("_r")).select(*keys, "_r.*")
 
 
 def keep_one(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """First row of each key in an explicit order.
+    """First row of each key in an explicit order: a minimum over ordered structs.
 
-    The key names one row of the result, so a group is only the duplicates of
-    one row; a group limit before the exchange keeps the shuffle to one row per
-    key and task.
+    ``order`` holds ascending columns; use a negated or inverted column to
+    prefer large values.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
+    rest = [c for c in df.columns if c not in keys]
+    item = F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(order)], *[F.col(c) for c in rest])
+    return df.groupBy(*keys).agg(F.min(item).alias("_r")).select(*keys, *[F.col(f"_r.`{c}`") for c in rest])

@@ -168,6 +168,29 @@ def mark_best(df: DataFrame, row: Sequence[str], value: str = "value", higher: C
     return df.withColumn("is_best", signed == best).withColumn("text", F.format_number(value, digits))
 
 
+def percent_text(share: Column, digits: int = 2) -> Column:
+    return F.concat(F.format_number(share * 100, digits), F.lit("%"))
+
+
+def dm_cell(statistic: Column, p: Column, digits: int = 2) -> Column:
+    """Statistic with its stars; an undefined one is a dash."""
+    return F.coalesce(F.concat(F.format_number(statistic, digits), stars(p)), F.lit("-"))
+
+
+def metric_order(metric: Column, order: Sequence[str]) -> Column:
+    """Place of a metric in a report; metrics not named come last."""
+    out = F.lit(len(order))
+    for i, name in reversed(list(enumerate(order))):
+        out = F.when(metric == name, F.lit(i)).otherwise(out)
+    return out
+
+
+def with_anchor_target(benchmarks: DataFrame, predictions: DataFrame, keys: Sequence[str], anchor: str) -> DataFrame:
+    """Benchmark forecasts with the target of one anchor model's rows."""
+    rows = predictions.where(F.col("model") == anchor).select(*keys, "y")
+    return benchmarks.drop("y").join(rows, list(keys))
+
+
 def stars(p: Column) -> Column:
     return F.when(p < 0.01, "***").when(p < 0.05, "**").when(p < 0.10, "*").otherwise("")
 
