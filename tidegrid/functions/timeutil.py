@@ -137,11 +137,7 @@ def holiday_calendar(spark: SparkSession, first: int, last: int) -> DataFrame:
 def add_calendar(
     df: DataFrame, at: Column, holidays: DataFrame | None = None, operator: str = "operator"
 ) -> DataFrame:
-    """Calendar columns of the instant ``at``.
-
-    The holiday table has one row per (day, operator) of a few decades at most,
-    so it is small by construction and joined by broadcast.
-    """
+    """Calendar columns of the instant ``at``; holidays join on (date, operator)."""
     out = (
         df.withColumn("_at", at)
         .withColumn("hour", F.hour("_at"))
@@ -158,7 +154,7 @@ def add_calendar(
         )
         out = (
             out.join(
-                F.broadcast(h),
+                h,
                 (F.to_date("_at") == F.col("_hd")) & (F.col(operator) == F.col("_ho")),
                 "left",
             )

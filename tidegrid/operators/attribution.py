@@ -273,6 +273,6 @@ def profile_distance(df: DataFrame, model: Sequence[str], profile: Sequence[str]
 
 def cluster_means(df: DataFrame, clusters: DataFrame, keys: Sequence[str], collapse: Callable[[Column], Column] = F.avg) -> DataFrame:
     """Profile of each cluster from a (feature, cluster) table."""
-    return df.join(F.broadcast(clusters), "feature").groupBy(*keys, "cluster").agg(
+    return df.join(clusters, "feature").groupBy(*keys, "cluster").agg(
         collapse(F.col("value")).alias("value"), F.count_distinct("feature").alias("n_features")
     )

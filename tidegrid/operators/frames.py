@@ -49,14 +49,11 @@ def window_roles(df: DataFrame, windows: DataFrame, keys: Sequence[str] = (), ts
     moved = windows
     for c in ("train_start", "valid_start", "test_start", "test_end"):
         moved = moved.withColumn(c, F.expr(f"{c} - make_dt_interval(0, {shift_hours})"))
-    cond = (F.col(ts) >= F.col("train_start")) & (F.col(ts) < F.col("test_end"))
-    if keys:
-        named = moved.select(*[F.col(k).alias(f"_w_{k}") for k in keys], *[c for c in moved.columns if c not in keys])
-        for k in keys:
-            cond = cond & (F.col(k) == F.col(f"_w_{k}"))
-        out = df.join(F.broadcast(named), cond).drop(*[f"_w_{k}" for k in keys])
-    else:
-        out = df.join(F.broadcast(moved), cond)
+    months = F.sequence(F.date_trunc("month", "train_start"), F.date_trunc("month", "test_end"), F.expr("INTERVAL 1 MONTH"))
+    listed = moved.withColumn("_month", F.explode(months))
+    out = df.withColumn("_month", F.date_trunc("month", ts)).join(listed, [*keys, "_month"]).where(
+        (F.col(ts) >= F.col("train_start")) & (F.col(ts) < F.col("test_end"))
+    ).drop("_month")
     role = (
         F.when(F.col(ts) < F.col("valid_start"), "train")
         .when(F.col(ts) < F.col("test_start"), "valid")
@@ -66,7 +63,7 @@ def window_roles(df: DataFrame, windows: DataFrame, keys: Sequence[str] = (), ts
 
 
 def first_training_slice(df: DataFrame, windows: DataFrame, ts: str = "ds") -> DataFrame:
-    first = windows.where("window_index = 0").select("train_start", "valid_start")
+    first = windows.where("window_index = 0").select("train_start", "valid_start").limit(1)
     return df.join(
         F.broadcast(first), (F.col(ts) >= F.col("train_start")) & (F.col(ts) < F.col("valid_start"))
     ).drop("train_start", "valid_start")
@@ -213,11 +210,15 @@ def inference_frames(
     lo = F.expr(f"origin - make_dt_interval(0, {history})")
     first = F.expr(f"origin + make_dt_interval(0, {shift_hours})")
     final = F.expr(f"origin + make_dt_interval(0, {shift_hours + horizon})")
-    spans = origins.withColumn("_lo", lo).withColumn("_f0", first).withColumn("_f1", final)
+    days = F.sequence(F.date_trunc("day", "_lo"), F.date_trunc("day", "_f1"), F.expr("INTERVAL 1 DAY"))
+    spans = (
+        origins.withColumn("_lo", lo).withColumn("_f0", first).withColumn("_f1", final)
+        .withColumn("_day", F.explode(days))
+    )
     t = F.col(ts)
     past, ahead = (t >= F.col("_lo")) & (t < F.col("origin")), (t >= F.col("_f0")) & (t < F.col("_f1"))
-    # the origins of one run are a few thousand rows at most
-    rows = df.join(F.broadcast(spans), past | ahead)
+    # an origin lists the days it needs: an equi-join instead of a range join
+    rows = df.withColumn("_day", F.date_trunc("day", ts)).join(spans, "_day").where(past | ahead).drop("_day")
     parts = F.array(
         F.when(past, F.struct(F.lit("history").alias("part"), F.lit(None).cast("int").alias("horizon"))),
         F.when(

@@ -12,8 +12,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.operators.chunked import carry_last, running_sum
-
 HOUR_US = 3_600_000_000
 
 
@@ -159,40 +157,42 @@ def hourly_activity(
 
 
 def isolated_intervals(
-    df: DataFrame, keys: Sequence[str] = (), bucket: str = "DAY"
+    df: DataFrame, keys: Sequence[str] = (), bucket: str = "HOUR"
 ) -> DataFrame:
     """Intervals (closed ends) that touch no other interval of their group.
 
-    No self join on ranges. A sorted interval is isolated when it begins after
-    every earlier end and ends before the next begin; both come from two-level
-    running values over (group, day).
+    No self join on ranges. Intervals with the same begin touch each other, so
+    they collapse to one row before the exchange. A begin is isolated when it
+    lies after every earlier end and its end before the next begin; both come
+    from two-level running values over (group, hour).
     """
     keys = list(keys)
-    rows = df.withColumn("_k", F.struct("begin_date", "end_date", "event_id"))
-    b = F.date_trunc(bucket, "begin_date")
-    inside = Window.partitionBy(*keys, "_b").orderBy("_k")
+    rest = [c for c in df.columns if c not in keys]
+    begins = df.groupBy(*keys, F.col("begin_date").alias("_at")).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.max("end_date").alias("_end"),
+        F.first(F.struct(*rest)).alias("_r"),
+    ).withColumn("_b", F.date_trunc(bucket, "_at"))
+    inside = Window.partitionBy(*keys, "_b").orderBy("_at")
     outer = Window.partitionBy(*keys).orderBy("_b")
-    rows = rows.withColumn("_b", b)
-    ends = rows.groupBy(*keys, "_b").agg(
+    edges = df.groupBy(*keys, F.date_trunc(bucket, "begin_date").alias("_b")).agg(
         F.max("end_date").alias("_mx"), F.min("begin_date").alias("_mn")
     )
-    ends = ends.select(
+    edges = edges.select(
         *keys,
         "_b",
         F.max("_mx").over(outer.rowsBetween(Window.unboundedPreceding, -1)).alias("_pe"),
         F.lead("_mn").over(outer).alias("_nb"),
     )
+    earlier = F.max("_end").over(inside.rowsBetween(Window.unboundedPreceding, -1))
     return (
-        rows.withColumn(
-            "_ie", F.max("end_date").over(inside.rowsBetween(Window.unboundedPreceding, -1))
-        )
-        .withColumn("_ib", F.lead("begin_date").over(inside))
-        .join(ends, [*keys, "_b"])
+        begins.withColumn("_ie", earlier)
+        .withColumn("_ib", F.lead("_at").over(inside))
+        .join(edges, [*keys, "_b"])
         .where(
-            "(coalesce(greatest(_ie, _pe), begin_date - INTERVAL 1 SECOND) < begin_date) AND "
-            "(coalesce(_ib, _nb, end_date + INTERVAL 1 SECOND) > end_date)"
+            "_n = 1 AND coalesce(greatest(_ie, _pe) < _at, true) AND coalesce(coalesce(_ib, _nb) > _end, true)"
         )
-        .drop("_k", "_b", "_ie", "_ib", "_pe", "_nb", "_mx", "_mn")
+        .select(*keys, *[F.col(f"_r.`{c}`") for c in rest])
     )
 
 
@@ -204,7 +204,6 @@ def expand_curve(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     position, quantity). ``A03`` holds the last value and starts at 0, ``A01``
     and ``A02`` keep the listed points, any other curve fails.
     """
-    listed = "points"
     held = (
         "transform(sequence(1, n_steps), i -> named_struct('position', i, 'quantity', "
         "coalesce(element_at(map_from_arrays(_sp.position, _sp.quantity), "
@@ -212,7 +211,7 @@ def expand_curve(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
     steps = F.expr(
         f"CASE WHEN curve_type = 'A03' THEN {held} "
-        f"WHEN curve_type IN ('A01', 'A02') THEN {listed} "
+        f"WHEN curve_type IN ('A01', 'A02') THEN points "
         "ELSE raise_error(concat('curve type not supported: ', curve_type)) END"
     )
     begin = (
@@ -233,15 +232,3 @@ def expand_curve(points: DataFrame, keys: Sequence[str]) -> DataFrame:
         )
     )
 
-
-__all__ = [
-    "active_duration",
-    "carry_last",
-    "expand_curve",
-    "hourly_activity",
-    "isolated_intervals",
-    "quarter_flags",
-    "running_sum",
-    "split_hourly",
-    "union_exposure",
-]

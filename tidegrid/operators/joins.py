@@ -69,7 +69,7 @@ def common_rows(frames: Sequence[DataFrame], keys: Sequence[str]) -> list[DataFr
 
 def common_models(frames: Sequence[DataFrame], model: str = "model") -> list[DataFrame]:
     shared = reduce(lambda a, b: a.intersect(b), [f.select(model).distinct() for f in frames])
-    return [f.join(F.broadcast(shared), model, "left_semi") for f in frames]
+    return [f.join(shared, model, "left_semi") for f in frames]
 
 
 def attach_to_windows(
@@ -80,7 +80,7 @@ def attach_to_windows(
     out = slots.join(benchmarks, list(keys), "left")
     seen = out.groupBy(window).agg(F.max(F.col("y_pred").isNotNull().cast("int")).alias("_any"))
     ok = F.assert_true(F.col("_any") == 1, F.lit("a window has no benchmark values"))
-    return out.join(F.broadcast(seen.where(ok.isNull())), window).drop("_any")
+    return out.join(seen.where(ok.isNull()), window).drop("_any")
 
 
 def compare_snapshots(a: DataFrame, b: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -118,13 +118,17 @@ def fail_on_conflict(df: DataFrame, keys: Sequence[str], value: str) -> DataFram
 def in_windows(
     df: DataFrame, windows: DataFrame, ts: str, lo: str, hi: str, closed: bool = False
 ) -> DataFrame:
-    """Rows fanned out to the windows that hold them.
+    """Rows fanned out to the windows that hold them; windows may overlap.
 
-    A window table has one row per month or regime, far below any broadcast
-    limit; windows overlap, so a row can appear several times.
+    The range join becomes an equi-join on the month: each window lists its
+    months, so a row meets only the windows of its month. Spark broadcasts the
+    window table when its size allows.
     """
     upper = F.col(ts) <= F.col(hi) if closed else F.col(ts) < F.col(hi)
-    return df.join(F.broadcast(windows), (F.col(ts) >= F.col(lo)) & upper)
+    months = F.sequence(F.date_trunc("month", lo), F.date_trunc("month", hi), F.expr("INTERVAL 1 MONTH"))
+    listed = windows.withColumn("_month", F.explode(months))
+    rows = df.withColumn("_month", F.date_trunc("month", ts))
+    return rows.join(listed, "_month").where((F.col(ts) >= F.col(lo)) & upper).drop("_month")
 
 
 def append_renumbered(old: DataFrame, new: DataFrame, index: str) -> DataFrame:

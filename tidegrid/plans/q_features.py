@@ -99,14 +99,14 @@ def flt6(spark, d):
 
 
 _DAILY = """
-dp AS (SELECT o_orderpriority AS prio, CAST(o_orderdate AS DATE) AS day, round(avg(o_totalprice) / 1000, 2) AS value FROM orders GROUP BY ALL)
+dp AS (SELECT o_orderpriority AS prio, CAST(o_orderdate AS DATE) AS day, round(avg(o_totalprice) / 1000, 7) AS value FROM orders GROUP BY ALL)
 """
 
 
 def _daily(spark, d):
     return derive.table(spark, d, "orders").groupBy(
         F.col("o_orderpriority").alias("prio"), F.to_date("o_orderdate").alias("day")
-    ).agg(F.round(F.avg("o_totalprice") / 1000, 2).alias("value"))
+    ).agg(F.round(F.avg("o_totalprice") / 1000, 7).alias("value"))
 
 
 @query(
@@ -480,9 +480,9 @@ f AS (SELECT day, last_value(power IGNORE NULLS) OVER o AS power, last_value(gas
   last_value(coal IGNORE NULLS) OVER o AS coal, last_value(carbon IGNORE NULLS) OVER o AS carbon FROM w WINDOW o AS (ORDER BY day)),
 c AS (SELECT *, gas - lag(gas) OVER (ORDER BY day) AS gc, carbon - lag(carbon) OVER (ORDER BY day) AS cc FROM f)
 SELECT CAST(day + 1 AS TIMESTAMP) + to_hours(CAST(h AS INT)) AS ts,
- round(power - gas / 0.55::DOUBLE - carbon * 0.35::DOUBLE / 0.55::DOUBLE, 5) AS clean_spark_spread,
- round(power - coal * (3.6::DOUBLE / 25.12::DOUBLE) / 0.4::DOUBLE - carbon * 0.95::DOUBLE / 0.4::DOUBLE, 5) AS clean_dark_spread,
- round(gc, 5) AS gas_change_24h, round(cc, 5) AS carbon_change_24h FROM c, range(24) t(h)""",
+ round(power - gas / 0.55::DOUBLE - carbon * 0.35::DOUBLE / 0.55::DOUBLE, 8) AS clean_spark_spread,
+ round(power - coal * (3.6::DOUBLE / 25.12::DOUBLE) / 0.4::DOUBLE - carbon * 0.95::DOUBLE / 0.4::DOUBLE, 8) AS clean_dark_spread,
+ round(gc, 8) AS gas_change_24h, round(cc, 8) AS carbon_change_24h FROM c, range(24) t(h)""",
 )
 def cmp3_futures(spark, d):
     prio = {"power": "1-URGENT", "gas": "2-HIGH", "coal": "3-MEDIUM", "carbon": "5-LOW"}
@@ -490,7 +490,7 @@ def cmp3_futures(spark, d):
         *[F.max(F.when(F.col("prio") == p, F.col("value"))).alias(n) for n, p in prio.items()]
     )
     out = loaders.futures(wide)
-    return _rounded(out, "clean_spark_spread", "clean_dark_spread", "gas_change_24h", "carbon_change_24h", n=5)
+    return _rounded(out, "clean_spark_spread", "clean_dark_spread", "gas_change_24h", "carbon_change_24h", n=8)
 
 
 _WIDE = """

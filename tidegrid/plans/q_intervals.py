@@ -282,7 +282,7 @@ full_target AS (SELECT operator, direction, ts, coalesce(total_load, 0) AS total
 @query(
     "den2_den3_hourly_target",
     with_cte(IV, _src(_METHOD), _SPLIT_SQL, _DEN3)
-    + "SELECT operator, direction, ts, round(total_load, 5) AS total_load FROM full_target",
+    + "SELECT operator, direction, ts, round(total_load, 8) AS total_load FROM full_target",
 )
 def den3(spark, d):
     iv = derive.interventions(spark, d)
@@ -290,7 +290,7 @@ def den3(spark, d):
         "operator", "direction", F.col("hour_begin").alias("ts"), F.col("hour_load").alias("total_load")
     )
     out = densify.target_series(rows, *_grid_lit())
-    return out.withColumn("total_load", F.round("total_load", 5))
+    return out.withColumn("total_load", F.round("total_load", 8))
 
 
 @query(

@@ -68,15 +68,14 @@ def relevant_interventions(
         "1 - try_divide(total_load, nullif(mean_load, 0D)) / "
         "((unix_micros(end_date) - unix_micros(begin_date)) / 3600000000D)"
     )
-    one = F.expr(
-        "assert_true(NOT contains(operator, '&'), 'more than one directing operator')"
-    ).isNull()
+    known = F.when(
+        F.col("operator").contains("&"), F.raise_error(F.lit("more than one directing operator")).cast("boolean")
+    ).otherwise(F.col("operator").isin(list(operators)))
     return (
         df.where(F.col("reason").isin(list(reasons)))
         .where(F.expr(f"NOT coalesce({gap} < {min_gap_ratio}D, false)"))
         .where("NOT coalesce(mean_load = 0 AND total_load > 0, false)")
-        .where(one)
-        .where(F.col("operator").isin(list(operators)) & F.col("primary_energy_type").isNotNull())
+        .where(known & F.col("primary_energy_type").isNotNull())
     )
 
 
@@ -142,10 +141,15 @@ def target_dataset(
     events = relevant_interventions(df, reasons, min_gap_ratio)
     rows = split_hourly(events, split_method(F.col("operator")))
     hours = hourly_activity(rows, keys, eps)
+    # the series of the grid come from the events: no second split, a tiny exchange
+    with_rows = events.where(
+        "NOT (total_load <=> 0D) AND begin_date < end_date "
+        "AND date_trunc('hour', end_date - INTERVAL 1 SECOND) >= date_trunc('hour', begin_date)"
+    )
     dense = complete_grid(
         hours,
         keys,
-        fixed_bounds(hours, keys, lo, hi),
+        fixed_bounds(with_rows, keys, lo, hi),
         {
             "total_load": 0.0,
             "total_active_duration": 0.0,

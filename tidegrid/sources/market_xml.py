@@ -122,7 +122,7 @@ def _periods(series: DataFrame, value: str) -> DataFrame:
         F.filter("p.Point", lambda x: x["position"].isNotNull()),
         lambda x: F.struct(
             x["position"].cast("int").alias("position"),
-            F.coalesce(x[f"`{value}`" if "." in value else value].try_cast("double"), F.lit(0.0)).alias("quantity"),
+            F.coalesce(x[value].try_cast("double"), F.lit(0.0)).alias("quantity"),
         ),
     )
     return series.withColumn("p", F.explode("s.Period")).withColumns(
