@@ -98,17 +98,22 @@ def carry_last(
     bucket: Column,
     cols: dict[str, Column],
     following: bool = False,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Last non-null value up to this row (or next one, ``following``), by two levels.
 
-    ``cols`` maps the new column to the value that is carried.
+    ``cols`` maps the new column to the value that is carried. ``source`` is a
+    cheaper table with the same keys, order and values for the chunk summary;
+    without it the summary reads ``df`` a second time.
     """
     keys = list(keys)
-    rows = df.withColumn("_b", bucket)
-    for name, value in cols.items():
-        rows = rows.withColumn(f"_v_{name}", value)
+
+    def valued(table: DataFrame) -> DataFrame:
+        return table.withColumns({"_b": bucket, **{f"_v_{n}": v for n, v in cols.items()}})
+
+    rows = valued(df)
     edge = F.min_by if following else F.max_by
-    ends = rows.groupBy(*keys, "_b").agg(
+    ends = (rows if source is None else valued(source)).groupBy(*keys, "_b").agg(
         *[
             edge(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.col(order))).alias(f"_e_{n}")
             for n in cols

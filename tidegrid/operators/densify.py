@@ -69,13 +69,19 @@ def reindex_forward_fill(
 
 
 def target_series(
-    hourly: DataFrame, lo: Column, hi: Column, keys: Sequence[str] = ("operator", "direction")
+    hourly: DataFrame, lo: Column, hi: Column, keys: Sequence[str] = ("operator", "direction"),
+    series: DataFrame | None = None,
 ) -> DataFrame:
-    """Hourly sum per series on the complete grid, hours without events are 0."""
+    """Hourly sum per series on the complete grid, hours without events are 0.
+
+    ``series`` names the series when a cheaper table than the hourly rows has them.
+    """
     summed = hourly.groupBy(*keys, "ts").agg(
         F.coalesce(F.sum("total_load"), F.lit(0.0)).alias("total_load")
     )
-    return complete_grid(summed, keys, fixed_bounds(summed, keys, lo, hi), {"total_load": 0.0})
+    return complete_grid(
+        summed, keys, fixed_bounds(hourly if series is None else series, keys, lo, hi), {"total_load": 0.0}
+    )
 
 
 def resample_hourly(

@@ -11,7 +11,7 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.operators.chunked import (
@@ -95,14 +95,6 @@ def rule_of(name: str) -> Rule:
 NIGHT_HOURS = (21, 22, 23, 0, 1)
 
 
-def pick(rules: Sequence[Rule], attr: str, metric: str = "metric") -> Column:
-    """Attribute of the first rule that matches the metric name."""
-    out = F.lit(getattr(rules[-1], attr))
-    for r in reversed(rules):
-        out = F.when(F.lower(metric).rlike(r.match) if r.match else F.lit(True), getattr(r, attr)).otherwise(out)
-    return out
-
-
 def gap_position(df: DataFrame, keys: Sequence[str], value: str = "value", ts: str = "ts") -> DataFrame:
     """Adds ``gap_position``: 1, 2, … inside a run of nulls, 0 on observed rows."""
     pos = hour_index(ts)
@@ -153,11 +145,16 @@ def seasonal_fill(
     return df.withColumns(part).join(stats, [*keys, *part], "left").drop(*part)
 
 
-def _cells(df: DataFrame, keys: Sequence[str], fit: Column | None, value: str, ts: str) -> DataFrame:
-    """One row per series: arrays of (median, n) by hour×month, hour×weekday, hour, and the global median."""
+def _cells(
+    df: DataFrame, keys: Sequence[str], rules: Sequence[Rule], fit: Column | None, value: str, ts: str, metric: str
+) -> DataFrame:
+    """One row per series: its rule, arrays of (median, n) by hour×month, hour×weekday, hour, the global median.
+
+    Name patterns are matched once per series here, not once per row.
+    """
     v = F.col(value) if fit is None else F.when(fit, F.col(value))
     rows = df.select(
-        *keys, v.alias("_v"), F.col(value).alias("_all"),
+        *keys, v.alias("_v"), F.col(metric).alias("_name"),
         F.hour(ts).alias("hour"), F.weekday(ts).alias("weekday"), F.month(ts).alias("month"),
     )
     ks = list(keys)
@@ -167,7 +164,7 @@ def _cells(df: DataFrame, keys: Sequence[str], fit: Column | None, value: str, t
     ).agg(
         F.percentile("_v", F.lit(0.5)).alias("med"),
         F.count("_v").alias("n"),
-        F.percentile("_all", F.lit(0.5)).alias("med_all"),
+        F.max("_name").alias("name"),
         F.grouping("month").alias("gm"),
         F.grouping("weekday").alias("gw"),
         F.grouping("hour").alias("gh"),
@@ -183,12 +180,18 @@ def _cells(df: DataFrame, keys: Sequence[str], fit: Column | None, value: str, t
     hw = (F.col("gw") == 0)
     h = (F.col("gm") == 1) & (F.col("gw") == 1) & (F.col("gh") == 0)
     g = F.col("gh") == 1
-    return stats.groupBy(*ks).agg(
+    cells = stats.groupBy(*ks).agg(
+        F.max("name").alias("_name"),
         table(hm, F.col("hour") * 12 + F.col("month") - 1, 288).alias("_hm"),
         table(hw, F.col("hour") * 7 + F.col("weekday"), 168).alias("_hw"),
         table(h, F.col("hour"), 24).alias("_h"),
-        F.max(F.when(g, F.coalesce("med", "med_all"))).alias("_global"),
-    )
+        F.max(F.when(g, F.col("med"))).alias("_global"),
+    ).withColumn("_rule", _rule_index(rules, "_name")).drop("_name")
+    if fit is None:
+        return cells
+    # a series without any fitted value falls back to the median of all its values
+    whole = df.groupBy(*ks).agg(F.percentile(value, F.lit(0.5)).alias("_whole"))
+    return cells.join(whole, ks).withColumn("_global", F.coalesce("_global", "_whole")).drop("_whole")
 
 
 def tiered_fill(
@@ -201,52 +204,77 @@ def tiered_fill(
     metric: str = "metric",
 ) -> DataFrame:
     """Adds ``fill``: first tier with enough values, else first with any, shrunk, else global."""
-    cells = _cells(df, keys, fit, value, ts)
-    tier = {
-        HOUR_MONTH: F.get("_hm", F.hour(ts) * 12 + F.month(ts) - 1),
-        HOUR_WEEKDAY: F.get("_hw", F.hour(ts) * 7 + F.weekday(ts)),
-        HOUR: F.get("_h", F.hour(ts)),
-    }
-
-    def one(rule: Rule) -> Column:
-        ts_ = [tier[tuple(t)] for t in rule.tiers]
-        parents = []
-        for i in range(len(ts_)):
-            if rule.shrink_to == "global":
-                parents.append(F.col("_global"))
-            else:
-                parents.append(F.coalesce(*[t["med"] for t in ts_[i + 1:]], F.col("_global")))
-
-        def shrunk(i: int) -> Column:
-            med, n = ts_[i]["med"], ts_[i]["n"]
-            if rule.shrink_k <= 0:
-                return med
-            w = n / (n + F.lit(float(rule.shrink_k)))
-            return F.coalesce(w * med + (F.lit(1.0) - w) * parents[i], med)
-
-        out = F.lit(None).cast("double")
-        for i in reversed(range(len(ts_))):
-            out = F.when(ts_[i]["med"].isNotNull() & (ts_[i]["n"] > 0), shrunk(i)).otherwise(out)
-        for i in reversed(range(len(ts_))):
-            out = F.when(
-                ts_[i]["med"].isNotNull() & (ts_[i]["n"] >= rule.min_count), shrunk(i)
-            ).otherwise(out)
-        return F.coalesce(out, F.col("_global")) if rule.global_fallback else out
-
-    out = F.lit(None).cast("double")
-    distinct: dict[tuple, list[Rule]] = {}
-    for r in rules:
-        if r.kind == "seasonal":
-            key = (tuple(r.tiers), r.min_count, r.shrink_k, r.shrink_to, r.global_fallback)
-            distinct.setdefault(key, []).append(r)
-    joined = df.join(cells, list(keys), "left").withColumn("_rule", _rule_index(rules, metric))
-    for group in distinct.values():
-        ids = [i for i, r in enumerate(rules) if r in group]
-        out = F.when(F.col("_rule").isin(ids), one(group[0])).otherwise(out)
-    return joined.withColumn("fill", out).drop("_hm", "_hw", "_h", "_global", "_rule")
+    return _tiered(df, keys, rules, fit, value, ts, metric).drop("_r")
+
+
+def _tiered(
+    df: DataFrame, keys: Sequence[str], rules: Sequence[Rule], fit: Column | None, value: str, ts: str, metric: str
+) -> DataFrame:
+    """Adds ``fill`` and the attributes of the series' rule as ``_r``.
+
+    One formula serves every rule: its parameters are columns of the one-row-per-series table.
+    """
+    cells = _cells(df, keys, rules, fit, value, ts, metric).withColumn("_r", F.get(_rule_table(rules), "_rule"))
+    joined = df.join(cells.drop("_rule"), list(keys), "left")
+    joined = joined.withColumns(
+        {
+            "_t1": F.when(F.col("_r.hm"), F.get("_hm", F.hour(ts) * 12 + F.month(ts) - 1)),
+            "_t2": F.when(F.col("_r.hw"), F.get("_hw", F.hour(ts) * 7 + F.weekday(ts))),
+            "_t3": F.when(F.col("_r.h"), F.get("_h", F.hour(ts))),
+        }
+    )
+    tiers = ("_t1", "_t2", "_t3")
+    tier = F.lit(0)
+    for least in (F.lit(1), F.col("_r.min_count")):
+        for i in (3, 2, 1):
+            has = F.col(f"_t{i}.med").isNotNull() & (F.col(f"_t{i}.n") >= least)
+            tier = F.when(has, F.lit(i)).otherwise(tier)
+    joined = joined.withColumn("_tier", tier)
+
+    def of(field: str) -> Column:
+        out = F.when(F.col("_tier") == 1, F.col(f"{tiers[0]}.{field}"))
+        for i in (2, 3):
+            out = out.when(F.col("_tier") == i, F.col(f"_t{i}.{field}"))
+        return out
+
+    coarser = (
+        F.when(F.col("_r.to_global"), F.col("_global"))
+        .when(F.col("_tier") == 1, F.coalesce("_t2.med", "_t3.med", "_global"))
+        .when(F.col("_tier") == 2, F.coalesce("_t3.med", "_global"))
+        .otherwise(F.col("_global"))
+    )
+    joined = joined.withColumns({"_med": of("med"), "_cnt": of("n"), "_parent": coarser})
+    weight = F.col("_cnt") / (F.col("_cnt") + F.col("_r.shrink_k"))
+    shrunk = F.when(
+        (F.col("_r.shrink_k") > 0) & F.col("_parent").isNotNull(),
+        weight * F.col("_med") + (F.lit(1.0) - weight) * F.col("_parent"),
+    ).otherwise(F.col("_med"))
+    fill = F.coalesce(shrunk, F.when(F.col("_r.fallback"), F.col("_global")))
+    return joined.withColumn("fill", F.when(F.col("_r.kind") == "seasonal", fill)).drop(
+        "_hm", "_hw", "_h", "_global", "_t1", "_t2", "_t3", "_tier", "_med", "_cnt", "_parent"
+    )
+
+
+def _rule_table(rules: Sequence[Rule]) -> Column:
+    """Rule attributes as an array of structs."""
+    order = [HOUR_MONTH, HOUR_WEEKDAY, HOUR]
+
+    def one(r: Rule) -> Column:
+        tiers = [tuple(t) for t in r.tiers]
+        if tiers != [t for t in order if t in tiers]:
+            raise ValueError("tiers are a selection of hour×month, hour×weekday, hour in this order")
+        fields = {
+            "kind": r.kind, "gap": r.gap, "hm": HOUR_MONTH in tiers, "hw": HOUR_WEEKDAY in tiers, "h": HOUR in tiers,
+            "min_count": max(r.min_count, 1), "shrink_k": float(r.shrink_k), "to_global": r.shrink_to == "global",
+            "fallback": r.global_fallback, "level": r.level, "level_gap": r.level_gap, "night": r.night_zero,
+        }
+        return F.struct(*[F.lit(v).alias(k) for k, v in fields.items()])
+
+    return F.array(*[one(r) for r in rules])
 
 
 def _rule_index(rules: Sequence[Rule], metric: str) -> Column:
+    """Position of the first rule that matches the metric name."""
     out = F.lit(len(rules) - 1)
     for i, r in reversed(list(enumerate(rules))):
         hit = F.lower(metric).rlike(r.match) if r.match else F.lit(True)
@@ -267,52 +295,42 @@ def impute(
     seasonal = [r for r in rules if r.kind == "seasonal"]
     reach = max([r.gap for r in seasonal], default=0) + 1
     back = max([reach] + [r.level_gap for r in seasonal if r.level])
-    filled = tiered_fill(df, keys, rules, fit, value, ts, metric)
+    filled = _tiered(df, keys, rules, fit, value, ts, metric)
     rows = with_halo(filled, hour_index(ts), before=back, after=reach)
     w = chunk_window(keys)
-    ahead, behind = w.rowsBetween(0, reach), w.rowsBetween(-reach, 0)
+    # everything back to the chunk start: at least ``back`` rows, in one running pass
+    ahead, behind = w.rowsBetween(0, reach), w.rowsBetween(Window.unboundedPreceding, 0)
     observed = F.col(value).isNotNull()
-    prev_pos = F.coalesce(F.max(F.when(observed, F.col("_pos"))).over(behind), F.min("_pos").over(behind) - 1)
+    seen = F.last(F.when(observed, F.col("_pos")), True).over(behind)
+    prev_pos = F.coalesce(seen, F.first("_pos").over(behind) - 1)
     next_pos = F.coalesce(F.min(F.when(observed, F.col("_pos"))).over(ahead), F.max("_pos").over(ahead) + 1)
-    rows = (
-        rows.withColumn("_rule", _rule_index(rules, metric))
-        .withColumn("_gap", next_pos - prev_pos - 1)
-        .withColumn("_near", F.last(value, True).over(behind))
-        .withColumn("_at", F.max(F.when(observed, F.col("_pos"))).over(w.rowsBetween(-back, 0)))
-        .withColumn(
-            "_res", F.last(F.col(value) - F.col("fill"), True).over(w.rowsBetween(-back, 0))
-        )
+    rows = rows.withColumns(
+        {
+            "_gap": next_pos - prev_pos - 1,
+            "_near": F.last(value, True).over(behind),
+            "_since": F.col("_pos") - seen,
+            "_res": F.last(F.col(value) - F.col("fill"), True).over(behind),
+        }
     )
-    rows = home_rows(
-        rows.withColumn("_since", F.col("_pos") - F.col("_at"))
-    )
-
-    def ids(test) -> list[int]:
-        return [i for i, r in enumerate(rules) if test(r)]
-
-    is_level = F.col("_rule").isin(ids(lambda r: r.kind == "seasonal" and r.level))
-    decay = F.greatest(1 - F.col("_since") / pick(rules, "level_gap", metric), F.lit(0.0))
-    long_fill = F.when(
-        is_level, F.col("fill") + F.coalesce(F.col("_res") * decay, F.lit(0.0))
-    ).otherwise(F.col("fill"))
-    out = F.when(F.col(value).isNotNull(), F.col(value)).when(
-        F.col("_rule").isin(ids(lambda r: r.kind == "seasonal")),
-        F.coalesce(
-            F.when(F.col("_gap") <= pick(rules, "gap", metric), F.col("_near")), long_fill
-        ),
+    rows = home_rows(rows)
+
+    decay = F.greatest(1 - F.col("_since") / F.col("_r.level_gap"), F.lit(0.0))
+    long_fill = F.col("fill") + F.when(
+        F.col("_r.level"), F.coalesce(F.col("_res") * decay, F.lit(0.0))
+    ).otherwise(F.lit(0.0))
+    kind = F.col("_r.kind")
+    out = (
+        F.when(F.col(value).isNotNull(), F.col(value))
+        .when(kind == "seasonal", F.coalesce(F.when(F.col("_gap") <= F.col("_r.gap"), F.col("_near")), long_fill))
+        .when(kind == "zero", F.lit(0.0))
     )
-    out = out.when(F.col("_rule").isin(ids(lambda r: r.kind == "zero")), F.lit(0.0))
-    dark = F.col("_rule").isin(ids(lambda r: r.night_zero)) & F.hour(ts).isin(*NIGHT_HOURS)
+    dark = F.col("_r.night") & F.hour(ts).isin(*NIGHT_HOURS)
     rows = rows.withColumn("imputed", F.when(dark, F.lit(0.0)).otherwise(out))
-    forward = ids(lambda r: r.kind == "forward")
-    if forward:
-        rows = carry_last(
-            rows, keys, ts, F.date_trunc("quarter", ts), {"_carried": F.col(value)}
-        ).withColumn(
-            "imputed",
-            F.when(F.col("_rule").isin(forward), F.col("_carried")).otherwise(F.col("imputed")),
+    if any(r.kind == "forward" for r in rules):
+        rows = carry_last(rows, keys, ts, F.date_trunc("quarter", ts), {"_carried": F.col(value)}, source=df).withColumn(
+            "imputed", F.when(kind == "forward", F.col("_carried")).otherwise(F.col("imputed"))
         ).drop("_carried")
-    return rows.drop("fill", "_rule", "_gap", "_near", "_at", "_res", "_since")
+    return rows.drop("fill", "_r", "_gap", "_near", "_res", "_since")
 
 
 def level_adjusted(

@@ -101,6 +101,14 @@ def split_hourly(df: DataFrame, method: Column | str = "equal") -> DataFrame:
     )
 
 
+def with_rows(df: DataFrame) -> DataFrame:
+    """Events that give at least one hourly row, without splitting them."""
+    return df.where(
+        "NOT (total_load <=> 0D) AND begin_date < end_date "
+        "AND date_trunc('hour', end_date - INTERVAL 1 SECOND) >= date_trunc('hour', begin_date)"
+    )
+
+
 def quarter_flags(rows: DataFrame) -> DataFrame:
     """Columns ``q0`` … ``q3``: does the event overlap this quarter of the hour."""
     for i in range(4):

@@ -289,7 +289,7 @@ def den3(spark, d):
     rows = intervals.split_hourly(iv, lookups.split_method(F.col("operator"))).select(
         "operator", "direction", F.col("hour_begin").alias("ts"), F.col("hour_load").alias("total_load")
     )
-    out = densify.target_series(rows, *_grid_lit())
+    out = densify.target_series(rows, *_grid_lit(), series=intervals.with_rows(iv))
     return out.withColumn("total_load", F.round("total_load", 8))
 
 

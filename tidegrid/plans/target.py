@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidegrid.functions.lookups import OPERATORS, STATE_OPERATOR, split_method
 from tidegrid.operators.chunked import chunk_window, home_rows, hour_index, with_halo
 from tidegrid.operators.densify import complete_grid, fixed_bounds
-from tidegrid.operators.intervals import hourly_activity, split_hourly
+from tidegrid.operators.intervals import hourly_activity, split_hourly, with_rows
 
 
 def until_last_full_month(df: DataFrame, start: Column | None = None) -> DataFrame:
@@ -142,14 +142,10 @@ def target_dataset(
     rows = split_hourly(events, split_method(F.col("operator")))
     hours = hourly_activity(rows, keys, eps)
     # the series of the grid come from the events: no second split, a tiny exchange
-    with_rows = events.where(
-        "NOT (total_load <=> 0D) AND begin_date < end_date "
-        "AND date_trunc('hour', end_date - INTERVAL 1 SECOND) >= date_trunc('hour', begin_date)"
-    )
     dense = complete_grid(
         hours,
         keys,
-        fixed_bounds(with_rows, keys, lo, hi),
+        fixed_bounds(with_rows(events), keys, lo, hi),
         {
             "total_load": 0.0,
             "total_active_duration": 0.0,

@@ -70,7 +70,7 @@ _OPTIONS = {"ignoreNamespace": "true", "attributePrefix": "_", "valueTag": "valu
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """One row per file: ``xml`` and ``file``."""
-    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(
+    return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(
         F.col("value").alias("xml"), F.col("_metadata.file_path").alias("file")
     )
 
