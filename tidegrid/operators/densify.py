@@ -52,6 +52,18 @@ def complete_grid(
     return out.fillna(fill) if fill else out
 
 
+def aggregate_on_grid(
+    rows: DataFrame, keys: Sequence[str], bounds: DataFrame, aggs: Sequence[Column], inclusive: bool = True, ts: str = "ts"
+) -> DataFrame:
+    """Hourly aggregates on the complete grid in one exchange.
+
+    The grid rows join the data rows before the aggregation, with nulls in the
+    value columns, so densifying needs no join and no sort of its own.
+    """
+    grid = hour_grid(bounds, inclusive, ts)
+    return rows.unionByName(grid, allowMissingColumns=True).groupBy(*keys, ts).agg(*aggs)
+
+
 def missing_hours(df: DataFrame, keys: Sequence[str], bounds: DataFrame, ts: str = "ts") -> DataFrame:
     return hour_grid(bounds, True, ts).join(df.select(*keys, ts), [*keys, ts], "left_anti")
 
@@ -76,12 +88,9 @@ def target_series(
 
     ``series`` names the series when a cheaper table than the hourly rows has them.
     """
-    summed = hourly.groupBy(*keys, "ts").agg(
-        F.coalesce(F.sum("total_load"), F.lit(0.0)).alias("total_load")
-    )
-    return complete_grid(
-        summed, keys, fixed_bounds(hourly if series is None else series, keys, lo, hi), {"total_load": 0.0}
-    )
+    bounds = fixed_bounds(hourly if series is None else series, keys, lo, hi)
+    total = F.coalesce(F.sum("total_load"), F.lit(0.0)).alias("total_load")
+    return aggregate_on_grid(hourly.select(*keys, "ts", "total_load"), keys, bounds, [total])
 
 
 def resample_hourly(

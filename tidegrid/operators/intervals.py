@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegrid.operators.densify import aggregate_on_grid
+
 HOUR_US = 3_600_000_000
 
 
@@ -142,26 +144,38 @@ def active_duration(eps: float) -> Column:
     )
 
 
-def activity_aggregates(eps: float) -> list[Column]:
-    """Aggregates of one (series, hour): load, active duration, events, weighted load."""
-    share = "CASE WHEN exposure_total > 0 THEN exposure / exposure_total ELSE 0D END"
-    return [
-        F.coalesce(F.sum("hour_load"), F.lit(0.0)).alias("total_load"),
-        F.sum(active_duration(eps) * F.expr(share)).alias("total_active_duration"),
-        F.sum(F.expr("CAST(exposure > 0 AS INT)")).alias("n_interventions"),
-        F.max(F.expr(f"coalesce(max_load, 0D) * ({share})")).alias("max_load_weighted"),
-    ]
-
-
 def hourly_activity(
-    rows: DataFrame, keys: Sequence[str] = ("operator", "direction"), eps: float = 0.3
+    rows: DataFrame, keys: Sequence[str] = ("operator", "direction"), eps: float = 0.3, bounds: DataFrame | None = None
 ) -> DataFrame:
-    """Energy, activity features and union exposure of every touched hour, in one exchange."""
-    agg = quarter_flags(rows).groupBy(*keys, F.col("hour_begin").alias("ts")).agg(
-        *activity_aggregates(eps), *[F.max(f"q{i}").alias(f"q{i}") for i in range(4)]
+    """Energy, activity features and union exposure per hour, in one exchange.
+
+    With ``bounds`` (keys, lo, hi) the result is the complete grid; its rows
+    enter the same aggregation.
+    """
+    share = "CASE WHEN exposure_total > 0 THEN exposure / exposure_total ELSE 0D END"
+    cells = quarter_flags(rows).select(
+        *keys,
+        F.col("hour_begin").alias("ts"),
+        F.col("hour_load").alias("load"),
+        (active_duration(eps) * F.expr(share)).alias("active"),
+        F.expr("CAST(exposure > 0 AS INT)").alias("on"),
+        F.expr(f"coalesce(max_load, 0D) * ({share})").alias("weighted"),
+        "q0", "q1", "q2", "q3",
     )
-    n = F.col("q0") + F.col("q1") + F.col("q2") + F.col("q3")
-    return agg.withColumn("union_exposure", n / 4.0).drop("q0", "q1", "q2", "q3")
+    zero = F.lit(0.0)
+    quarters = F.lit(0)
+    for i in range(4):
+        quarters = quarters + F.coalesce(F.max(f"q{i}"), F.lit(0))
+    aggs = [
+        F.coalesce(F.sum("load"), zero).alias("total_load"),
+        F.coalesce(F.sum("active"), zero).alias("total_active_duration"),
+        F.coalesce(F.sum("on"), F.lit(0)).alias("n_interventions"),
+        F.coalesce(F.max("weighted"), zero).alias("max_load_weighted"),
+        (quarters / 4.0).alias("union_exposure"),
+    ]
+    if bounds is None:
+        return cells.groupBy(*keys, "ts").agg(*aggs)
+    return aggregate_on_grid(cells, keys, bounds, aggs)
 
 
 def isolated_intervals(

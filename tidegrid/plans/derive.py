@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.operators.chunked import chunk_window, home_rows, hour_index, with_halo
-from tidegrid.operators.densify import common_bounds, complete_grid
+from tidegrid.operators.densify import aggregate_on_grid, common_bounds, complete_grid
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,12 +63,12 @@ iv AS (
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly sums of ten users per series on the complete grid, empty hours null."""
-    sums = (
-        table(spark, sf_dir, "events")
-        .groupBy(F.expr("user_id div 10").alias("series"), F.date_trunc("hour", "ts").alias("ts"))
-        .agg(F.round(F.sum("value"), 2).alias("value"))
+    rows = table(spark, sf_dir, "events").select(
+        F.expr("user_id div 10").alias("series"), F.date_trunc("hour", "ts").alias("ts"), "value"
+    )
+    return aggregate_on_grid(
+        rows, ["series"], common_bounds(rows, ["series"]), [F.round(F.sum("value"), 2).alias("value")]
     )
-    return complete_grid(sums, ["series"], common_bounds(sums, ["series"]))
 
 
 HS = """
@@ -103,17 +103,15 @@ MT = f"mt AS (SELECT concat({METRIC}, series) AS metric, ts, value FROM hs)"
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target panel (tso, unique_id, ds, y), hours without events are 0."""
-    sums = (
-        table(spark, sf_dir, "events")
-        .groupBy(
-            F.expr("concat('T', user_id div 10)").alias("tso"),
-            F.expr("CASE WHEN event_id % 2 = 0 THEN 'up' ELSE 'down' END").alias("unique_id"),
-            F.date_trunc("hour", "ts").alias("ds"),
-        )
-        .agg(F.round(F.sum("value"), 2).alias("y"))
+    rows = table(spark, sf_dir, "events").select(
+        F.expr("concat('T', user_id div 10)").alias("tso"),
+        F.expr("CASE WHEN event_id % 2 = 0 THEN 'up' ELSE 'down' END").alias("unique_id"),
+        F.date_trunc("hour", "ts").alias("ds"),
+        "value",
     )
     keys = ["tso", "unique_id"]
-    return complete_grid(sums, keys, common_bounds(sums, keys, "ds"), {"y": 0.0}, ts="ds")
+    y = F.coalesce(F.round(F.sum("value"), 2), F.lit(0.0)).alias("y")
+    return aggregate_on_grid(rows, keys, common_bounds(rows, keys, "ds"), [y], ts="ds")
 
 
 PN = """

@@ -140,20 +140,9 @@ def target_dataset(
     keys = list(keys)
     events = relevant_interventions(df, reasons, min_gap_ratio)
     rows = split_hourly(events, split_method(F.col("operator")))
-    hours = hourly_activity(rows, keys, eps)
     # the series of the grid come from the events: no second split, a tiny exchange
-    dense = complete_grid(
-        hours,
-        keys,
-        fixed_bounds(with_rows(events), keys, lo, hi),
-        {
-            "total_load": 0.0,
-            "total_active_duration": 0.0,
-            "n_interventions": 0,
-            "max_load_weighted": 0.0,
-            "union_exposure": 0.0,
-        },
-    )
+    bounds = fixed_bounds(with_rows(events), keys, lo, hi)
+    dense = hourly_activity(rows, keys, eps, bounds)
     return run_features(dense, keys).select(
         *keys,
         "ts",

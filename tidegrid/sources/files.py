@@ -57,7 +57,7 @@ def read_futures(spark: SparkSession, path: str, name: str) -> DataFrame:
     """Daily closing prices from a staged CSV; ``#N/A`` is null."""
     raw = spark.read.csv(path, header=True, schema="day STRING, price STRING", nullValue="#N/A N/A")
     return raw.select(
-        F.try_to_date("day").alias("day") if hasattr(F, "try_to_date") else F.col("day").try_cast("date").alias("day"),
+        F.col("day").try_cast("date").alias("day"),
         F.col("price").try_cast("double").alias(name),
     ).where("day IS NOT NULL")
 
