@@ -15,18 +15,18 @@ CALENDAR = ["hour", "day", "month", "is_weekend", "is_holiday", "is_workday"]
 
 def rolling_windows(
     bounds: DataFrame, n_train: int = 37, n_valid: int = 2, n_test: int = 1, min_coverage: float = 0.5,
-    keys: Sequence[str] = (), max_windows: int = 2400,
+    keys: Sequence[str] = (),
 ) -> DataFrame:
     """Monthly windows from (keys, lo, hi): stop at the first window with too little test data.
 
-    Month offsets count from the data start; 2,400 months bound the candidates.
+    Month offsets count from the data start; the months of the data bound the candidates.
     """
     def shifted(months: str) -> str:
         return f"timestampadd(MONTH, {months}, lo)"
 
     months = F.ceil(F.months_between("hi", "lo")).cast("int") + 2
     cand = bounds.withColumn(
-        "window_index", F.explode(F.sequence(F.lit(0), F.least(F.greatest(months, F.lit(0)), F.lit(max_windows))))
+        "window_index", F.explode(F.sequence(F.lit(0), F.greatest(months, F.lit(0))))
     )
     cand = (
         cand.withColumn("train_start", F.expr(shifted("window_index")))
