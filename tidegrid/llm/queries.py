@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import bpe, fingerprint, packing, token_files, topk, url_filter
+from tidegrid.llm import bpe, fingerprint, jaccard, packing, token_files, topk, url_filter
 from tidegrid.session import cut_lineage, staging_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,9 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of the longest rule for every page."""
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     return url_filter.judge(_table(spark, sf_dir, "pages"), rules, ["page_id"])
+
+
+@_query()
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents by three-word shingles at 0.9."""
+    return jaccard.join_components(_table(spark, sf_dir, "documents"))
