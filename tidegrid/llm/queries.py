@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import bpe, fingerprint, jaccard, packing, token_files, topk, url_filter
+from tidegrid.llm import bpe, fingerprint, jaccard, packing, token_files, topk, toxicity, url_filter
 from tidegrid.session import cut_lineage, staging_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents by three-word shingles at 0.9."""
     return jaccard.join_components(_table(spark, sf_dir, "documents"))
+
+
+@_query()
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, _table(spark, sf_dir, "labels")))
