@@ -33,6 +33,7 @@ from pyspark.sql.window import Window
 
 from tidegrid.llm import common
 from tidegrid.llm.components import components
+from tidegrid.llm.staging import staged
 from tidegrid.session import cut_lineage
 
 BLOCK = 512
@@ -231,7 +232,7 @@ def join_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100)
     """doc_id, n_shingles, component_id of every document; links at ``den`` * shared >= ``num`` * union."""
     rows = common.texts(docs).withColumn("tk", common.text_key(F.col("text")))
     scheme = Scheme(num, den)
-    named = cut_lineage(_classes(rows, n, scheme))
+    named = staged(_classes(rows, n, scheme), "sets")
     families = _families(named)
     one = named.where("n > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "tk")).alias("one"))
     placed = families.join(one, families["node"] == one["cls"]).select(
@@ -242,7 +243,7 @@ def join_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100)
     placed = placed.join(sizes, "family").withColumns(
         {"blocks": F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK)).cast("long")}
     ).withColumn("block", F.pmod(F.xxhash64(F.lit(7), "cls"), F.col("blocks")))
-    sets = cut_lineage(_sets(rows, placed.select("doc_id", "tk", "cls", "family", "blocks", "block"), n))
+    sets = staged(_sets(rows, placed.select("doc_id", "tk", "cls", "family", "blocks", "block"), n), "members")
     first = sets.where("block = 0")
     own = sets.select("family", F.col("block").alias("left"), F.lit(0).cast("long").alias("right"), F.lit(0).alias("side"), "cls", "hashes")
     pivots = first.where("blocks > 1").select(
