@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import bpe, fingerprint, jaccard, packing, repeats, token_files, topk, toxicity, url_filter
+from tidegrid.llm import bpe, ctw, fingerprint, jaccard, packing, repeats, token_files, topk, toxicity, url_filter
 from tidegrid.session import cut_lineage, staging_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,9 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of 400-byte strings that also start elsewhere."""
     return repeats.report(_table(spark, sf_dir, "documents"))
+
+
+@_query()
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Context-tree weighting scores of all texts."""
+    return ctw.score(_table(spark, sf_dir, "documents"))
