@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from tidegrid.llm import common
 from tidegrid.llm.staging import staged
 
-DEPTH = 5
+DEPTH = 6
 FOLDS, HELD_OUT = 7, 2
 #: Bytes of text in a block of documents, and words in a block of words: what a task holds at once.
 DOC_BLOCK, WORD_BLOCK = 32 << 20, 300_000

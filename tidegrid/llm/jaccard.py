@@ -228,8 +228,8 @@ def _compare(blocks: DataFrame, num: int, den: int) -> DataFrame:
     return blocks.groupBy("family", "left", "right").applyInPandas(run, "a long, b long")
 
 
-def join_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document; links at ``den`` * shared >= ``num`` * union."""
+def classes(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+    """doc_id, tk, n_shingles and ``class`` (of linked documents; null for an empty set) of every document."""
     rows = common.texts(docs).withColumn("tk", common.text_key(F.col("text")))
     scheme = Scheme(num, den)
     named = staged(_classes(rows, n, scheme), "sets")
@@ -256,15 +256,38 @@ def join_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100)
     if not large.isEmpty():
         links = links.unionByName(_rest(large, found, num, den))
         found = components(links)
-    classes = named.join(found, named["cls"] == found["node"], "left").select(
+    return named.join(found, named["cls"] == found["node"], "left").select(
         "doc_id", "tk", F.col("n").alias("n_shingles"), F.coalesce("root", F.when(F.col("n") > 0, F.col("cls"))).alias("class")
     )
-    least = classes.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
-    return classes.join(least, "class", "left").select(
+
+
+def join_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document; links at ``den`` * shared >= ``num`` * union."""
+    found = classes(docs, n, num, den)
+    least = found.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
+    return found.join(least, "class", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
 
+def keep_one(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+    """``docs``, all columns, with one row of each component: that of the smallest doc_id (null last).
+
+    Empty sets stay. Rows equal in id and text are one document.
+    """
+    found = classes(docs, n, num, den)
+    rows = found.groupBy("doc_id", "tk", "n_shingles", "class").agg(F.count("*").alias("times"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tk", "times")).alias("f")
+    chosen = rows.where("class IS NOT NULL").groupBy("class").agg(first).select("f.doc_id", "f.tk", "f.times")
+    chosen = chosen.unionByName(rows.where("class IS NULL").select("doc_id", "tk", F.lit(1).cast("long").alias("times")))
+    chosen = chosen.select(F.col("doc_id").alias("_c_id"), F.col("tk").alias("_c_tk"), F.col("times").alias("_times"))
+    names = docs.columns
+    keyed = docs.withColumn("_tk", common.text_key(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    kept = keyed.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col("_c_id")) & (F.col("_tk") == F.col("_c_tk")))
+    once = kept.where("_times = 1").select(*names)
+    return once.unionByName(kept.where("_times > 1").dropDuplicates(["_c_id", "_c_tk"]).select(*names))
+
+
 def _rest(large: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
     """Links of sets outside their family's largest component with all blocks of the family."""
     state = large.join(found, large["cls"] == found["node"], "left").select(
