@@ -27,8 +27,8 @@ from tidegrid.llm import common
 
 #: Bounds of the classifier's fit: labelled rows in the sample (8 bytes each when sent to tasks) and terms in the lexicon.
 SAMPLE, TERMS = 40_000, 4_000
-#: A term is in at least so many toxic documents, and its log odds and their significance reach these.
-LEAST_DOCS, LEAST_ODDS, LEAST_Z = 4, 3.0, 4.0
+#: A term's log odds, and the log-likelihood ratio (G squared) of its split between toxic and clean documents, reach these.
+LEAST_ODDS, LEAST_G = 3.0, 24.0
 FOLDS = 5
 WINDOW = 8
 #: Terms from this length on are also found with one edit.
@@ -185,17 +185,19 @@ def learn_terms(train: DataFrame) -> dict[str, float]:
     bad, good = F.col("bad"), F.col("good")
     one = totals.select(bad.alias("nb"), good.alias("ng"))
     odds = F.log((bad + 0.5) / (F.col("nb") + 1)) - F.log((good + 0.5) / (F.col("ng") + 1))
-    z = odds / F.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5))
+    share, df = F.col("nb") / (F.col("nb") + F.col("ng")), bad + good
+    part = lambda n, expected: F.when(n > 0, n * F.log(n / expected)).otherwise(0.0)
+    g = 2 * (part(bad, df * share) + part(good, df * (1 - share)))
     found = (
-        sums.where((F.col("docs") == 0) & (bad >= LEAST_DOCS)).join(F.broadcast(one))  # one row
-        .where("nb > 0 AND ng > 0").select("word", odds.alias("odds"), z.alias("z"))
-        .where((F.col("odds") >= LEAST_ODDS) & (F.col("z") >= LEAST_Z))
-        .orderBy(F.desc("z"), "word").limit(TERMS)
+        sums.where((F.col("docs") == 0) & (bad > 1)).join(F.broadcast(one))  # one row
+        .where("nb > 0 AND ng > 0").select("word", odds.alias("odds"), g.alias("g"))
+        .where((F.col("odds") >= LEAST_ODDS) & (F.col("g") >= LEAST_G))
+        .orderBy(F.desc("g"), "word").limit(TERMS)
     )
     return {r.word: float(r.odds) for r in found.collect()}
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
+def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 30) -> np.ndarray:
     """Logistic regression by Newton steps; the last coefficient is the intercept."""
     x = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(x.shape[1])
