@@ -1,4 +1,4 @@
-"""Connected components of a table of links, by smallest label and pointer jumping."""
+"""Connected components of a table of links, by contraction to the smallest neighbour."""
 
 from __future__ import annotations
 
@@ -11,17 +11,22 @@ from tidegrid.session import cut_lineage
 def components(links: DataFrame) -> DataFrame:
     """``node`` and ``root`` (smallest node reachable) of all nodes in ``a``, ``b``.
 
-    Each round takes the smallest label among neighbours, then the label of that label, so labels travel twice as far each
-    time. Rounds are cut by a checkpoint; the driver only sees the number of changed labels.
+    Each round every node goes to its smallest neighbour if that is smaller, links are renamed and those inside a node
+    vanish, so the table shrinks from round to round. Nodes should be numbered without order (hashes): then a round takes a
+    constant share of the links away. Rounds are cut by a checkpoint; the driver only sees whether links are left.
     """
-    both = links.select("a", "b").where("a <> b")
-    edges = cut_lineage(both.union(both.select("b", "a")).distinct())
-    labels = cut_lineage(edges.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")))
-    while True:
-        near = edges.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        low = labels.join(near, "node").select("node", "root", F.least("root", "near").alias("low"))
-        up = labels.select(F.col("node").alias("low"), F.col("root").alias("up"))
-        new = cut_lineage(low.join(up, "low").select("node", F.least("low", "up").alias("root"), (F.least("low", "up") < F.col("root")).alias("moved")))
-        if new.where("moved").isEmpty():
-            return new.select("node", "root")
-        labels = new.select("node", "root")
+    links = links.select("a", "b").where("a <> b")
+    links = cut_lineage(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    found = None
+    while found is None or not links.isEmpty():
+        goes = links.select("a", F.col("a").alias("b")).union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        goes = cut_lineage(goes.groupBy("a").agg(F.min("b").alias("to")))
+        if found is None:
+            found = goes.select(F.col("a").alias("node"), F.col("to").alias("root"))
+        else:
+            step = goes.select(F.col("a").alias("root"), "to")
+            found = cut_lineage(found.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+        left = links.join(goes, "a").select(F.col("to").alias("x"), "b")
+        both = left.join(goes.select(F.col("a").alias("b"), F.col("to").alias("y")), "b").where("x <> y")
+        links = cut_lineage(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    return found
