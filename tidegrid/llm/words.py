@@ -3,27 +3,29 @@
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Letters, then marks that the tokenizer keeps apart from letters; an apostrophe may join what follows.
-STEM = re.compile(r"([A-Za-z]+)([.,;:!?]+)?\Z")
+#: Marks that the tokenizer keeps apart from the letters before them.
+MARKS = ".,;:!?"
 
 
 class ChunkEncoder:
     """Encodes text between spaces once per distinct chunk.
 
     The tokenizer never joins what white space separates, so a text's ids are those of its chunks in order. ``capacity``
-    bounds the cached chunks; a full cache is emptied.
+    bounds the cached chunks, twice as much the cached parts of chunks; a full cache is emptied.
     """
 
-    def __init__(self, path: str, capacity: int = 400_000):
+    def __init__(self, path: str, capacity: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        ends = {i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")}
+        self.is_end = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        self.is_end[list(ends)] = True
         self.capacity = capacity
         self.known: dict[str, bytes] = {"": b""}
         self.parts: dict[str, bytes] = {}
@@ -31,16 +33,39 @@ class ChunkEncoder:
     def _encode(self, chunks: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
+    def _encode_letters(self, words: list[str]) -> list[bytes]:
+        """Words of letters only, many in one call: each ends with an id that closes a word."""
+        out = []
+        for at in range(0, len(words), 2048):
+            some = words[at : at + 2048]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.is_end[ids]) + 1
+            if len(ends) != len(some):  # a letter that becomes several marks in lower case
+                out += self._encode(some)
+                continue
+            raw, ends = ids.tobytes(), (4 * ends).tolist()
+            out += [raw[a:b] for a, b in zip([0, *ends], ends)]
+        return out
+
     def _learn(self, chunks: set[str]) -> None:
-        """Chunks of ASCII letters and marks are put together from their parts, the others are encoded whole."""
+        """Chunks of letters and marks are put together from their parts, the others are encoded whole."""
         if len(self.known) + len(chunks) > self.capacity:
-            self.known, self.parts = {"": b""}, {}
-        split = {c: (m[1].lower(), m[2]) for c in chunks if (m := STEM.match(c))}
-        new = list({p for pair in split.values() for p in pair if p and p not in self.parts})
-        self.parts.update(zip(new, self._encode(new)))
-        whole = [c for c in chunks if c not in split]
-        self.known.update(zip(whole, self._encode(whole)))
+            self.known = {"": b""}
+        if len(self.parts) > 2 * self.capacity:
+            self.parts = {}
+        split, whole = {}, []
+        for c in chunks:
+            word = c.rstrip(MARKS)
+            if word.isalpha():
+                split[c] = word.lower() if word.isascii() else word, c[len(word) :]
+            else:
+                whole.append(c)
         parts = self.parts
+        words = list({a for a, _ in split.values() if a not in parts})
+        parts.update(zip(words, self._encode_letters(words)))
+        marks = list({b for _, b in split.values() if b and b not in parts})
+        parts.update(zip(marks, self._encode(marks)))
+        self.known.update(zip(whole, self._encode(whole)))
         self.known.update((c, parts[a] + parts[b] if b else parts[a]) for c, (a, b) in split.items())
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -61,6 +86,9 @@ class ChunkEncoder:
     def _learn_more(self, chunks: set[str]) -> None:
         capacity, self.capacity = self.capacity, float("inf")
         self._learn(chunks)
+        ends = {i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")}
+        self.is_end = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        self.is_end[list(ends)] = True
         self.capacity = capacity
 
 
