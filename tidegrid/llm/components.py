@@ -5,28 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.session import cut_lineage
+from tidegrid.llm.staging import staged
 
 
 def components(links: DataFrame) -> DataFrame:
     """``node`` and ``root`` (smallest node reachable) of all nodes in ``a``, ``b``.
 
-    Each round every node goes to its smallest neighbour if that is smaller, links are renamed and those inside a node
-    vanish, so the table shrinks from round to round. Nodes should be numbered without order (hashes): then a round takes a
-    constant share of the links away. Rounds are cut by a checkpoint; the driver only sees whether links are left.
+    Each round every node goes to its neighbour of the smallest hash if that is below its own, links are renamed and those
+    inside a node vanish. Hashes are new in each round and have no order along a chain, so a round takes a constant share of
+    the nodes away. Rounds end in written tables (a checkpoint would hand the constraints of all earlier rounds to the
+    optimizer); the driver only sees whether links are left.
     """
     links = links.select("a", "b").where("a <> b")
-    links = cut_lineage(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    found = None
+    links = staged(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    found, turn = None, 0
     while found is None or not links.isEmpty():
-        goes = links.select("a", F.col("a").alias("b")).union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        goes = cut_lineage(goes.groupBy("a").agg(F.min("b").alias("to")))
+        turn += 1
+        ends = F.array(*(F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x in "ab" for y in "ab"))
+        goes = links.select(F.inline(ends))
+        goes = staged(goes.groupBy("a").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "b"), "b")).getField("b").alias("to")), "hooks")
         if found is None:
             found = goes.select(F.col("a").alias("node"), F.col("to").alias("root"))
         else:
             step = goes.select(F.col("a").alias("root"), "to")
-            found = cut_lineage(found.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+            found = staged(found.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
         left = links.join(goes, "a").select(F.col("to").alias("x"), "b")
         both = left.join(goes.select(F.col("a").alias("b"), F.col("to").alias("y")), "b").where("x <> y")
-        links = cut_lineage(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    return found
+        links = staged(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+    least = found.groupBy("root").agg(F.min("node").alias("least"))
+    return found.join(least, "root").select("node", F.col("least").alias("root"))
