@@ -561,12 +561,50 @@ def test_exactly_one_benchmark_file(spark, tmp_path):
         pred.read_benchmarks(spark, str(tmp_path), "ds", ["naive"], strict=True)
 
 
-def test_seed_folders():
-    assert pred.seed_folders("out_paper", 7)[0] == "out_nhits_only_seed7_paper"
-    assert pred.seed_folders("out", 7, shifted=True) == ["out_seed7"]
+def test_resolve_folder(spark):
+    files = spark.createDataFrame([("/r/out_seed7/x",), ("/r/out_b_seed8/x",), ("/r/out_seed8/x",)], "path string")
+    wanted = ["out_b_seed{seed}", "out_seed{seed}"]
+    assert [pred.resolve_folder(files, wanted, seed=n) for n in (7, 8, 9)] == ["out_seed7", "out_b_seed8", None]
+
+
+def test_predictions_with_a_column_per_model(spark, tmp_path):
+    ds = "timestampadd(HOUR, CAST(id AS INT), TIMESTAMP '2024-01-01')"
+    for m, tso in (("nhits_seed778", "50Hertz"), ("tft_quantile_seed7", "50Hertz")):
+        rows = spark.range(24).selectExpr("'up' AS unique_id", f"{ds} AS ds", "CAST(id AS INT) AS horizon", "1.0D AS y", f"id + 0.5D AS {m}")
+        rows.coalesce(1).write.parquet(str(tmp_path / tso / "d1" / "evaluation" / f"predictions_{m}_{tso}_x_window0.parquet"))
+    out = pred.read_predictions(spark, str(tmp_path), "d1", best=False)
+    got = {r.model: (r.n, r.k) for r in out.groupBy("model").agg(F.count("*").alias("n"), F.count("y_pred").alias("k")).collect()}
+    assert got == {"nhits_seed778": (24, 24), "tft_quantile_seed7": (24, 24)}
 
 
 def test_empty_table_is_not_written(spark, tmp_path):
     empty = spark.createDataFrame([], "a int")
     assert files.write_csv(empty, str(tmp_path / "x")) is False
     assert not (tmp_path / "x").exists()
+
+
+def test_csv_columns_by_name(spark, tmp_path):
+    spark.createDataFrame([("2024-01-01 00:00:00", "x", 1.0, 2.0)], "begin_date string, end_date string, wind double, load double").write.option(
+        "header", True
+    ).csv(str(tmp_path / "h"))
+    from tidegrid.sources import files
+
+    r = files.read_hourly_csv(spark, str(tmp_path / "h"), ["load", "wind"], long=False).first()
+    assert (r["load"], r["wind"]) == (2.0, 1.0)
+
+
+def test_null_groups_keep_their_quantile(spark):
+    from tidegrid.operators.chunked import exact_quantiles
+
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 2.0)], "k string, x double")
+    assert {tuple(r) for r in exact_quantiles(df, ["k"], "x", [0.5]).collect()} == {("a", 0.5, 2.0), (None, 0.5, 2.0)}
+
+
+def test_incomplete_forecasts_leave_the_comparison(spark):
+    from tidegrid.operators.bootstrap import wide_rows
+
+    rows = [("s", 1, 1.0, "a", 1.0), ("s", 1, 1.0, "b", 2.0), ("s", 2, 1.0, "a", 1.0)]
+    schema = "k string, ds long, y double, model string, y_pred double"
+    assert [r.ds for r in wide_rows(spark.createDataFrame(rows, schema), ["k"], ["a", "b"]).collect()] == [1]
+    with pytest.raises(Exception, match="two forecasts"):
+        wide_rows(spark.createDataFrame([*rows, rows[0]], schema), ["k"], ["a", "b"]).collect()

@@ -33,11 +33,17 @@ def integer_draw(seed: int) -> Draw:
 
 
 def wide_rows(df: DataFrame, keys: Sequence[str], models: Sequence[str], ts: str = "ds") -> DataFrame:
-    """One row per (keys, ts): y and an array of forecasts in the order of ``models``."""
-    return df.groupBy(*keys, ts).agg(
-        F.max("y").alias("y"),
-        F.array(*[F.max(F.when(F.col("model") == m, F.col("y_pred"))) for m in models]).alias("f"),
+    """One row per (keys, ts) that every model has: y and an array of forecasts in the order of ``models``.
+
+    A model with two forecasts for one row fails.
+    """
+    own = [F.when(F.col("model") == m, F.col("y_pred")) for m in models]
+    rows = df.groupBy(*keys, ts).agg(
+        F.max("y").alias("y"), F.array(*[F.max(c) for c in own]).alias("f"), F.greatest(F.lit(0), *[F.count(c) for c in own]).alias("_most")
     )
+    twice = F.raise_error(F.lit("two forecasts of one model for one row")).cast("array<double>")
+    rows = rows.where(F.forall("f", lambda x: x.isNotNull()))
+    return rows.withColumn("f", F.when(F.col("_most") > 1, twice).otherwise(F.col("f"))).drop("_most")
 
 
 def prefix_table(

@@ -20,6 +20,15 @@ HOME = "_home"
 POS = "_pos"
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where null equals null; the keys come once."""
+    names = {k: f"_r_{k}" for k in keys}
+    cond = F.lit(True)
+    for k, r in names.items():
+        cond = cond & F.col(k).eqNullSafe(F.col(r))
+    return left.join(right.withColumnsRenamed(names), cond, how).drop(*names.values())
+
+
 def hour_index(ts: str | Column) -> Column:
     """Hours since 1970; the row position of a complete hourly grid."""
     c = F.col(ts) if isinstance(ts, str) else ts
@@ -189,7 +198,7 @@ def exact_quantiles(
         F.count(F.lit(1)).alias("_n"),
     )
     if keys:
-        located = counted.join(cuts.drop("_n"), keys)
+        located = join_null_safe(counted, cuts.drop("_n"), keys)
     else:
         located = counted.crossJoin(F.broadcast(cuts.drop("_n")))
     located = located.withColumn(
@@ -208,16 +217,16 @@ def exact_quantiles(
     ).distinct()
     cond = (F.col("_r") >= F.col("_lo")) & (F.col("_r") < F.col("_lo") + F.col("_bn"))
     if keys:
-        wanted = ranks.join(sizes, keys).where(cond)
+        wanted = join_null_safe(ranks, sizes, keys).where(cond)
     else:
         wanted = ranks.crossJoin(sizes).where(cond)
     # tiny: (groups x probs x 2) rows
     inner = Window.partitionBy(*keys, "_bk").orderBy("_x")
-    needed = located.join(wanted.select(*keys, "_bk").distinct(), [*keys, "_bk"], "left_semi")
+    needed = join_null_safe(located, wanted.select(*keys, "_bk").distinct(), [*keys, "_bk"], "left_semi")
     ordered = needed.withColumn(
         "_hi", F.sum("_m").over(inner.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     )
-    hit = wanted.join(ordered, [*keys, "_bk"]).where(
+    hit = join_null_safe(wanted, ordered, [*keys, "_bk"]).where(
         (F.col("_r") - F.col("_lo") < F.col("_hi"))
         & (F.col("_r") - F.col("_lo") >= F.col("_hi") - F.col("_m"))
     )

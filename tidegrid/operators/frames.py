@@ -62,11 +62,15 @@ def window_roles(df: DataFrame, windows: DataFrame, keys: Sequence[str] = (), ts
     return out.withColumn("role", role).drop("train_start", "valid_start", "test_start", "test_end")
 
 
-def first_training_slice(df: DataFrame, windows: DataFrame, ts: str = "ds") -> DataFrame:
-    first = windows.where("window_index = 0").select("train_start", "valid_start").limit(1)
-    return df.join(
-        F.broadcast(first), (F.col(ts) >= F.col("train_start")) & (F.col(ts) < F.col("valid_start"))
-    ).drop("train_start", "valid_start")
+def first_training_slice(df: DataFrame, windows: DataFrame, ts: str = "ds", keys: Sequence[str] = ()) -> DataFrame:
+    """Rows in the training span of window 0; of each series' own window if the windows have ``keys``."""
+    first = windows.where("window_index = 0").select(
+        *[F.col(k).alias(f"_w_{k}") for k in keys], F.col("train_start").alias("_from"), F.col("valid_start").alias("_to")
+    ).distinct()
+    cond = (F.col(ts) >= F.col("_from")) & (F.col(ts) < F.col("_to"))
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_w_{k}"))
+    return df.join(first, cond).drop("_from", "_to", *[f"_w_{k}" for k in keys])
 
 
 def stride_dates(windows: DataFrame, horizon: int = 24) -> DataFrame:
@@ -103,12 +107,18 @@ def shifted_dataset(
     return out.dropna(subset=moved) if drop_incomplete and shift_hours > 0 else out
 
 
-def allowed_shifts(spark: SparkSession, low: int, high: int, exclude_multiples: Sequence[int] = ()) -> DataFrame:
-    days = spark.range(low, high + 1).select(F.col("id").cast("int").alias("days"))
+def is_allowed_shift(days: Column, exclude_multiples: Sequence[int] = ()) -> Column:
+    """Shifts that are no multiple of the given numbers."""
+    out = F.lit(True)
     for m in exclude_multiples:
         if m > 0:
-            days = days.where(F.pmod("days", F.lit(m)) != 0)
-    return days
+            out = out & (F.pmod(days, F.lit(m)) != 0)
+    return out
+
+
+def allowed_shifts(spark: SparkSession, low: int, high: int, exclude_multiples: Sequence[int] = ()) -> DataFrame:
+    days = spark.range(low, high + 1).select(F.col("id").cast("int").alias("days"))
+    return days.where(is_allowed_shift(F.col("days"), exclude_multiples))
 
 
 def sample_shift(spark: SparkSession, low: int, high: int, exclude_multiples: Sequence[int] = (), seed: int = 0) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.operators.chunked import (
+    join_null_safe,
     carry_last,
     chunk_window,
     home_rows,
@@ -142,7 +143,7 @@ def seasonal_fill(
         *keys, *[F.col(g).alias(f"_p_{g}") for g in groups],
         F.col("median").alias("seasonal_median"), F.col("n").alias("seasonal_count"),
     )
-    return df.withColumns(part).join(stats, [*keys, *part], "left").drop(*part)
+    return join_null_safe(df.withColumns(part), stats, [*keys, *part], "left").drop(*part)
 
 
 def _cells(

@@ -428,8 +428,8 @@ def flt7(spark, d):
 @query(
     "jon4_jon7_common_rows",
     with_cte(PN, PR)
-    + """SELECT tso, unique_id, ds, horizon, model, y_pred FROM pr WHERE ds >= TIMESTAMP '2024-01-05' AND ds < TIMESTAMP '2024-01-21'
- AND (tso, unique_id, ds) IN (SELECT (tso, unique_id, ds) FROM pr WHERE model = 'naive' AND y > 0)""",
+    + """SELECT p.tso, p.unique_id, p.ds, p.horizon, p.model, p.y_pred FROM pr p SEMI JOIN (SELECT * FROM pr WHERE model = 'naive' AND y > 0) k
+ ON p.tso = k.tso AND p.unique_id = k.unique_id AND p.ds = k.ds WHERE p.ds >= TIMESTAMP '2024-01-05' AND p.ds < TIMESTAMP '2024-01-21'""",
 )
 def jon4(spark, d):
     p = derive.predictions(spark, d)

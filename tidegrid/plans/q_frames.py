@@ -76,7 +76,7 @@ def shf2(spark, d):
         F.datediff(F.max("o_orderdate"), F.min("o_orderdate")).alias("span")
     )
     days = span.select(F.explode(F.sequence(F.lit(1), F.col("span"))).alias("days"))
-    return days.join(fr.allowed_shifts(spark, 1, 20000, [7, 30]), "days", "left_semi")
+    return days.where(fr.is_allowed_shift(F.col("days"), [7, 30]))
 
 
 _PANEL2 = """

@@ -421,9 +421,8 @@ def set4_first(spark, d):
 
 def _stream(spark, d):
     batch = spark.read.parquet(f"{d}/events.parquet")
-    return spark.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn(
-        "ts", F.col("ts").cast("timestamp")
-    )
+    # the table's own path, one file or a folder of part files; as a pattern, since a stream's plain path must be a folder
+    return spark.readStream.schema(batch.schema).parquet(f"{d}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 @query(
@@ -451,7 +450,7 @@ def str2(spark, d):
     "str3_interval_energy_stream",
     with_cte(IV, _src("'equal'"), _SPLIT_SQL)
     + """, a AS (SELECT operator, direction, ts, round(sum(hour_load), 6) AS total_load, count(*) AS n FROM hr GROUP BY ALL)
-SELECT a.* FROM a WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 12 HOUR FROM hr)""",
+SELECT a.* FROM a WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 23 HOUR FROM hr)""",
 )
 def str3(spark, d):
     path = staging_path(spark, "energy")
@@ -461,6 +460,6 @@ def str3(spark, d):
         f"CAST({derive.MEAN_LOAD} AS DOUBLE) AS mean_load", "value AS total_load",
         "CASE WHEN event_id % 2 = 0 THEN 'up' ELSE 'down' END AS direction", f"{derive.OPERATOR} AS operator",
     )
-    out = jobs.run_once(jobs.interval_energy_stream(s), f"{path}/out", f"{path}/checkpoint")
+    out = jobs.run_once(jobs.interval_energy_stream(s, longest_hours=11), f"{path}/out", f"{path}/checkpoint")
     return _r(out, "total_load", n=6)
 

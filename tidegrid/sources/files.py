@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tidegrid.functions.timeutil import parse_interval_columns
 from tidegrid.operators.densify import complete_grid, series_bounds, upsert
@@ -15,6 +16,22 @@ from tidegrid.sources import codes
 # sources
 
 
+def csv_by_name(spark: SparkSession, path: str, schema: str, positions: int = 0, **options) -> DataFrame:
+    """Columns of a CSV with a header, found by name whatever their order; other columns are left out.
+
+    The first ``positions`` columns are taken as they stand, under the schema's names. Files whose header differs fail.
+    """
+    wanted = StructType.fromDDL(schema)
+    header = spark.read.csv(path, header=True, **options).columns
+    by_name = {f.name: f.dataType for f in wanted}
+    for i, f in enumerate(wanted.fields[:positions]):
+        by_name[header[i]] = f.dataType
+    full = StructType([StructField(h, by_name.get(h, StringType())) for h in header])
+    rows = spark.read.csv(path, header=True, schema=full, enforceSchema=False, **options)
+    renamed = {header[i]: f.name for i, f in enumerate(wanted.fields[:positions])}
+    return rows.withColumnsRenamed(renamed).select(*[F.col(f"`{f.name}`") for f in wanted])
+
+
 def decimal_comma(text: Column) -> Column:
     return F.regexp_replace(text, ",", ".").try_cast("double")
 
@@ -28,7 +45,7 @@ def read_interventions(
     """
     names = [*codes.INTERVENTION_COLUMNS, *extra]
     schema = ", ".join(f"`{n}` STRING" for n in names)
-    raw = spark.read.csv(path, sep=";", header=True, schema=schema, enforceSchema=True)
+    raw = csv_by_name(spark, path, schema, sep=";")
     df = raw.withColumnsRenamed(codes.INTERVENTION_COLUMNS).drop("region")
     if translate:
         for column, words in codes.INTERVENTION_VALUES.items():
@@ -49,7 +66,7 @@ def read_hourly_csv(
 ) -> DataFrame:
     """Wide hourly CSV; by default unpivoted to (ts, metric, value)."""
     schema = ", ".join([f"`{ts}` TIMESTAMP", *[f"`{d}` STRING" for d in drop], *[f"`{c}` DOUBLE" for c in columns]])
-    wide = spark.read.csv(path, header=True, schema=schema, timestampFormat=fmt, enforceSchema=True).drop(*drop)
+    wide = csv_by_name(spark, path, schema, timestampFormat=fmt).drop(*drop)
     return wide.unpivot([ts], [f"`{c}`" for c in columns], "metric", "value") if long else wide
 
 
@@ -65,7 +82,7 @@ def read_futures(spark: SparkSession, path: str, name: str) -> DataFrame:
 def read_holidays(spark: SparkSession, path: str, operators: Sequence[str]) -> DataFrame:
     """(day, operator, is_holiday) from a table with one flag column per operator."""
     schema = "day DATE, states STRING, " + ", ".join(f"`{o}` INT" for o in operators)
-    wide = spark.read.csv(path, header=True, schema=schema, enforceSchema=True, ignoreTrailingWhiteSpace=True)
+    wide = csv_by_name(spark, path, schema, positions=2, ignoreTrailingWhiteSpace=True)
     return wide.unpivot(["day"], [f"`{o}`" for o in operators], "operator", "is_holiday")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,10 +23,18 @@ def hourly_stream(stream: DataFrame, keys: Sequence[str], ts: str = "ts", value:
 
 
 def interval_energy_stream(
-    stream: DataFrame, keys: Sequence[str] = ("operator", "direction"), method="equal", delay: str = "12 hours"
+    stream: DataFrame, keys: Sequence[str] = ("operator", "direction"), method="equal",
+    delay_hours: int = 12, longest_hours: int = 48,
 ) -> DataFrame:
-    """Events to hourly energy: the split is stateless, the hourly sum is watermarked on the hour."""
-    rows = split_hourly(stream, method).withWatermark("hour_begin", delay)
+    """Events to hourly energy: the split is stateless, the hourly sum is watermarked on the hour.
+
+    An event's last hour lies up to ``longest_hours`` after its begin, so the watermark waits that much longer: an event is late only
+    if its begin is more than ``delay_hours`` behind. A longer event fails the stream instead of dropping others.
+    """
+    seconds = F.unix_timestamp("end_date") - F.unix_timestamp("begin_date")
+    too_long = F.raise_error(F.lit(f"an event is longer than {longest_hours} hours")).cast("timestamp")
+    stream = stream.withColumn("end_date", F.when(seconds > 3600 * longest_hours, too_long).otherwise(F.col("end_date")))
+    rows = split_hourly(stream, method).withWatermark("hour_begin", f"{delay_hours + longest_hours} hours")
     return (
         rows.groupBy(F.window("hour_begin", "1 hour"), *keys)
         .agg(F.sum("hour_load").alias("total_load"), F.count(F.lit(1)).alias("n"))
@@ -69,6 +78,8 @@ def upsert_stream(spark: SparkSession, stream: DataFrame, path: str, checkpoint:
     while last >= 0:
         try:
             return spark.read.parquet(version(last))
-        except Exception:  # noqa: BLE001 - a batch without rows writes no version
+        except AnalysisException as e:  # a batch without rows writes no version
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             last -= 1
     raise RuntimeError("the stream had no batch")
