@@ -322,7 +322,8 @@ def _with_spans(rows: DataFrame, length: int, window: int) -> DataFrame:
 
 def report(docs: DataFrame, length: int = 400, window: int = 240) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every text."""
-    rows = common.texts(docs).withColumn("tk", common.text_key(F.col("text")))
+    # the same columns in the same order as the parse reads them: both then share one shuffle of the texts
+    rows = common.texts(docs).withColumn("tk", common.text_key(F.col("text"))).select("doc_id", "tk", "text")
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
