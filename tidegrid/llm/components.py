@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from tidegrid.llm.staging import staged
 
 
+#: Rows that a partition of the shrinking tables holds at most, on average.
+ROWS = 500_000
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node`` and ``root`` (smallest node reachable) of all nodes in ``a``, ``b``.
 
@@ -18,19 +22,22 @@ def components(links: DataFrame) -> DataFrame:
     """
     links = links.select("a", "b").where("a <> b")
     links = staged(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    found, turn = None, 0
-    while found is None or not links.isEmpty():
+    found, turn, nodes = None, 0, 0
+    while (size := links.count()) or found is None:
         turn += 1
+        # tables shrink with the links, and so do their partitions
+        few = -(-2 * size // ROWS) or 1
         ends = F.array(*(F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x in "ab" for y in "ab"))
         goes = links.select(F.inline(ends))
-        goes = staged(goes.groupBy("a").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "b"), "b")).getField("b").alias("to")), "hooks")
+        goes = staged(goes.groupBy("a").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "b"), "b")).getField("b").alias("to")).coalesce(few), "hooks")
         if found is None:
             found = goes.select(F.col("a").alias("node"), F.col("to").alias("root"))
+            nodes = few
         else:
             step = goes.select(F.col("a").alias("root"), "to")
-            found = staged(found.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
+            found = staged(found.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root")).coalesce(nodes), "roots")
         left = links.join(goes, "a").select(F.col("to").alias("x"), "b")
         both = left.join(goes.select(F.col("a").alias("b"), F.col("to").alias("y")), "b").where("x <> y")
-        links = staged(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+        links = staged(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().coalesce(few), "links")
     least = found.groupBy("root").agg(F.min("node").alias("least"))
     return found.join(least, "root").select("node", F.col("least").alias("root"))
