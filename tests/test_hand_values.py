@@ -185,16 +185,14 @@ def test_lag_and_backfill(spark):
     df = hours(spark, [float(i) for i in range(60)])
     plain = values(ft.lags(df, ["k"], (24,), backfill=False), "ts", col="lag_24h")
     assert plain[:24] == [None] * 24 and plain[24] == 0.0 and plain[48] == 24.0
-    for gaps in (True, False):
-        filled = values(ft.lags(df, ["k"], (24,), gaps=gaps), "ts", col="lag_24h")
-        assert filled[:24] == [0.0] * 24 and filled[48] == 24.0
+    filled = values(ft.lags(df, ["k"], (24,)), "ts", col="lag_24h")
+    assert filled[:24] == [0.0] * 24 and filled[48] == 24.0
 
 
-def test_both_backfills_agree(spark):
-    df = hours(spark, [float((i * 37) % 101) for i in range(24 * 20)])
-    a = values(ft.lag_and_rolling(df, ["k"], gaps=True), "ts", col="rollingmean_7d")
-    b = values(ft.lag_and_rolling(df, ["k"], gaps=False), "ts", col="rollingmean_7d")
-    assert a == pytest.approx(b)
+def test_backfill_passes_leading_nulls(spark):
+    df = hours(spark, [None] * 10 + [float(i) for i in range(30)])
+    filled = values(ft.lags(df, ["k"], (1,)), "ts", col="lag_1h")
+    assert filled[:11] == [0.0] * 11 and filled[12] == 1.0
 
 
 def test_no_look_ahead_without_backfill(spark):

@@ -28,22 +28,16 @@ def rolling_same_hour(
     spread: bool = False,
     value: str = "value",
     ts: str = "ts",
-    gaps: bool = True,
 ) -> DataFrame:
     """Mean of the same hour on the previous ``days`` days, today left out.
 
     Needs a complete hourly grid. ``spread`` adds the standard deviation and
     the mean absolute value. ``backfill`` copies the first result into the
-    warm-up, which looks ahead; switch it off for leakage-free features. A
-    series without nulls (``gaps=False``) finds it a bounded number of rows
-    ahead, so no second pass over the rows is needed.
+    warm-up, which looks ahead; switch it off for leakage-free features.
     """
     ks = [*keys, "_hour"]
     least = max(1, days // 2)
-    ahead = least + 1 if backfill and not gaps else 0
-    rows = with_halo(
-        df.withColumn("_hour", F.hour(ts)), day_index(ts), before=days + ahead, after=ahead, size=1024
-    )
+    rows = with_halo(df.withColumn("_hour", F.hour(ts)), day_index(ts), before=days, size=1024)
     w = chunk_window(ks).rowsBetween(-days, -1)
     enough = F.count(value).over(w) >= least
     cols = {f"rollingmean_{days}d": F.avg(value).over(w)}
@@ -51,10 +45,8 @@ def rolling_same_hour(
         cols[f"rollingstd_{days}d"] = F.stddev_samp(value).over(w)
         cols[f"rolling_absdev_{days}d"] = F.avg(F.abs(value)).over(w)
     rows = rows.select("*", *[F.when(enough, c).alias(n) for n, c in cols.items()])
-    if backfill and not gaps:
-        rows = _filled_ahead(rows, ks, list(cols), ahead)
     out = home_rows(rows)
-    if backfill and gaps:
+    if backfill:
         out = _back_filled(out, ks, list(cols), ts)
     return out.drop("_hour")
 
@@ -66,24 +58,14 @@ def lags(
     backfill: bool = True,
     value: str = "value",
     ts: str = "ts",
-    gaps: bool = True,
 ) -> DataFrame:
-    """Value n rows ago on a complete hourly grid; ``gaps`` as in the rolling mean."""
-    ahead = max(hours) if backfill and not gaps else 0
-    rows = with_halo(df, hour_index(ts), before=max(hours), after=ahead)
+    """Value n rows ago on a complete hourly grid."""
+    rows = with_halo(df, hour_index(ts), before=max(hours))
     w = chunk_window(keys)
     names = [f"lag_{n}h" for n in hours]
     rows = rows.select("*", *[F.lag(value, n).over(w).alias(a) for n, a in zip(hours, names)])
-    if backfill and not gaps:
-        rows = _filled_ahead(rows, keys, names, ahead)
     out = home_rows(rows)
-    return _back_filled(out, keys, names, ts) if backfill and gaps else out
-
-
-def _filled_ahead(rows: DataFrame, keys: Sequence[str], cols: Sequence[str], reach: int) -> DataFrame:
-    """Null warm-up cells take the first value ahead; only the start of a series has any."""
-    w = chunk_window(keys).rowsBetween(0, reach)
-    return rows.withColumns({c: F.first(c, True).over(w) for c in cols})
+    return _back_filled(out, keys, names, ts) if backfill else out
 
 
 def _back_filled(df: DataFrame, keys: Sequence[str], cols: Sequence[str], ts: str) -> DataFrame:
@@ -97,10 +79,10 @@ def _back_filled(df: DataFrame, keys: Sequence[str], cols: Sequence[str], ts: st
 
 def lag_and_rolling(
     df: DataFrame, keys: Sequence[str] = ("metric",), days: int = 7, hours: Sequence[int] = (1,),
-    backfill: bool = True, value: str = "value", ts: str = "ts", gaps: bool = True,
+    backfill: bool = True, value: str = "value", ts: str = "ts",
 ) -> DataFrame:
-    rolled = rolling_same_hour(df, keys, days, backfill, False, value, ts, gaps)
-    return lags(rolled, keys, hours, backfill, value, ts, gaps)
+    rolled = rolling_same_hour(df, keys, days, backfill, False, value, ts)
+    return lags(rolled, keys, hours, backfill, value, ts)
 
 
 def nonzero_runs(df: DataFrame, keys: Sequence[str], value: str = "value", ts: str = "ts") -> DataFrame:

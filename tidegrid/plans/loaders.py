@@ -64,7 +64,7 @@ def production_actuals(actual: DataFrame, days: int = 7, fit: Column | None = No
         "operator", "fuel", "ts", F.col("imputed").alias("value")
     )
     grouped = ft.group_sums(filled, ["operator", "ts"], fuel_group(F.col("fuel")))
-    return ft.lag_and_rolling(grouped, ["operator", "group"], days, (1,), backfill, gaps=False)
+    return ft.lag_and_rolling(grouped, ["operator", "group"], days, (1,), backfill)
 
 
 def consumption(actual: DataFrame, days: int = 7, fit: Column | None = None, backfill: bool = True, minimal: bool = True) -> DataFrame:
@@ -73,8 +73,8 @@ def consumption(actual: DataFrame, days: int = 7, fit: Column | None = None, bac
     filled = impute(named, [rule_of("consumption_load_actual_")], fit, keys=["area"]).select(
         "area", "ts", F.col("imputed").alias("value")
     )
-    rolled = ft.rolling_same_hour(filled, ["area"], days, backfill, not minimal, gaps=False)
-    return ft.lags(rolled, ["area"], (1,) if minimal else (1, 48), backfill, gaps=False)
+    rolled = ft.rolling_same_hour(filled, ["area"], days, backfill, not minimal)
+    return ft.lags(rolled, ["area"], (1,) if minimal else (1, 48), backfill)
 
 
 def consumption_forecasts(forecast: DataFrame, fit: Column | None = None) -> DataFrame:
@@ -93,7 +93,7 @@ def wind_pv(actual: DataFrame, days: int = 7, fit: Column | None = None, backfil
     )
     group = F.when(F.col("kind").startswith("wind"), F.lit("wind_actual_total")).otherwise(F.lit("pv_actual"))
     totals = ft.group_sums(filled, ["operator", "ts"], group)
-    return ft.lag_and_rolling(totals, ["operator", "group"], days, (1,), backfill, gaps=False)
+    return ft.lag_and_rolling(totals, ["operator", "group"], days, (1,), backfill)
 
 
 def cross_border(
@@ -108,7 +108,7 @@ def cross_border(
     net = ft.net_flow(filled, ["ts"], HOME).select("neighbour", "ts", F.col("net").alias("value"))
     net = ft.drop_sparse(net, ["neighbour"], max_missing, force_keep)
     net = ft.select_active(net, ["neighbour"], activity, magnitude)
-    return ft.lag_and_rolling(net, ["neighbour"], days, (1,), backfill, gaps=False)
+    return ft.lag_and_rolling(net, ["neighbour"], days, (1,), backfill)
 
 
 def scheduled_exchanges(flows: DataFrame, activity: float = 0.3, magnitude: float = 100.0) -> DataFrame:

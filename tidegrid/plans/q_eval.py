@@ -155,31 +155,31 @@ def agg4(spark, d):
 _COST = """
 cost AS (SELECT date_trunc('month', o_orderdate) AS begin_date, round(sum(o_totalprice) FILTER (WHERE r_name = 'AFRICA'), 2) AS AFRICA,
  round(sum(o_totalprice) FILTER (WHERE r_name = 'AMERICA'), 2) AS AMERICA, round(sum(o_totalprice) FILTER (WHERE r_name = 'ASIA'), 2) AS ASIA,
- round(sum(o_totalprice) FILTER (WHERE r_name = 'EUROPE'), 2) AS EUROPE
+ round(sum(o_totalprice) FILTER (WHERE r_name = 'EUROPE'), 2) AS EUROPE,
+ round(sum(o_totalprice) FILTER (WHERE r_name = 'MIDDLE EAST'), 2) AS MIDDLE_EAST
  FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY 1)
 """
-_REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE"]
+_REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE_EAST"]
 
 
 def _cost(spark, d):
     t = {n: derive.table(spark, d, n) for n in ("orders", "customer", "nation", "region")}
-    # nation and region are fixed small dimensions
     place = t["nation"].join(t["region"], F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
     rows = (
         t["orders"].join(t["customer"], F.col("o_custkey") == F.col("c_custkey"))
-        .join(F.broadcast(place), F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(place, F.col("c_nationkey") == F.col("n_nationkey"))
     )
     return rows.groupBy(F.date_trunc("month", "o_orderdate").alias("begin_date")).agg(
-        *[F.round(F.sum(F.when(F.col("r_name") == r, F.col("o_totalprice"))), 2).alias(r) for r in _REGIONS]
+        *[F.round(F.sum(F.when(F.translate("r_name", " ", "_") == r, F.col("o_totalprice"))), 2).alias(r) for r in _REGIONS]
     )
 
 
 @query(
     "agg20_yearly_cost",
     with_cte(_COST)
-    + """, y AS (SELECT CAST(year(begin_date) AS INT) AS year, sum(AFRICA)/1e6 AS AFRICA, sum(AMERICA)/1e6 AS AMERICA, sum(ASIA)/1e6 AS ASIA, sum(EUROPE)/1e6 AS EUROPE
- FROM (SELECT DISTINCT ON (AFRICA, AMERICA, ASIA, EUROPE) * FROM cost) GROUP BY 1)
-SELECT year, operator, round(cost_million, 5) AS cost_million FROM (UNPIVOT y ON AFRICA, AMERICA, ASIA, EUROPE INTO NAME operator VALUE cost_million)""",
+    + """, y AS (SELECT CAST(year(begin_date) AS INT) AS year, sum(AFRICA)/1e6 AS AFRICA, sum(AMERICA)/1e6 AS AMERICA, sum(ASIA)/1e6 AS ASIA, sum(EUROPE)/1e6 AS EUROPE, sum(MIDDLE_EAST)/1e6 AS MIDDLE_EAST
+ FROM (SELECT DISTINCT ON (AFRICA, AMERICA, ASIA, EUROPE, MIDDLE_EAST) * FROM cost) GROUP BY 1)
+SELECT year, operator, round(cost_million, 5) AS cost_million FROM (UNPIVOT y ON AFRICA, AMERICA, ASIA, EUROPE, MIDDLE_EAST INTO NAME operator VALUE cost_million)""",
 )
 def agg20(spark, d):
     return _r(me.yearly_cost(_cost(spark, d), _REGIONS), "cost_million", n=5)
@@ -288,7 +288,7 @@ def agg26(spark, d):
     rows = (
         t["lineitem"].join(t["orders"], F.col("l_orderkey") == F.col("o_orderkey"))
         .join(t["customer"], F.col("o_custkey") == F.col("c_custkey"))
-        .join(F.broadcast(place), F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(place, F.col("c_nationkey") == F.col("n_nationkey"))
         .select("r_name", F.col("l_linenumber").alias("version"), F.col("o_orderdate").alias("published"), F.col("l_shipdate").alias("start"))
     )
     return _r(me.lead_time(rows, ["r_name"], [0.25, 0.5, 0.9]), "quantile")
@@ -441,12 +441,12 @@ def jon4(spark, d):
 
 @query(
     "jon7_set2_common_models",
-    with_cte(PN, PR) + "SELECT model, window_index, count(*) AS n FROM pr WHERE window_index IN (0, 1) AND model IN ('blend', 'naive') GROUP BY ALL",
+    with_cte(PN, PR) + "SELECT model, window_index, count(*) AS n FROM pr WHERE model IN ('blend', 'naive') GROUP BY ALL",
 )
 def jon7(spark, d):
     p = derive.predictions(spark, d)
     a = p.where("window_index = 0 AND model <> 'seasonal' AND model <> 'damped'")
-    b = p.where("window_index = 1 AND model <> 'seasonal'")
+    b = p.where("window_index > 0 AND model <> 'seasonal'")
     a, b = joins.common_models([a, b])
     return a.unionByName(b).groupBy("model", "window_index").agg(F.count(F.lit(1)).alias("n"))
 
@@ -469,13 +469,13 @@ def jon6(spark, d):
     "jon8_piv1_piv2_wide_predictions",
     with_cte(PN, PR)
     + """SELECT tso, unique_id, ds, max(y_pred) FILTER (WHERE model = 'blend') AS blend, max(y_pred) FILTER (WHERE model = 'naive') AS naive,
- max(y_pred) FILTER (WHERE model = 'seasonal') AS seasonal FROM pr GROUP BY ALL""",
+ max(y_pred) FILTER (WHERE model = 'seasonal') AS seasonal, max(y_pred) FILTER (WHERE model = 'damped') AS damped FROM pr GROUP BY ALL""",
 )
 def jon8(spark, d):
     p = derive.predictions(spark, d)
-    wide = joins.to_wide(p, [*SERIES, "ds"], "model", "y_pred", ["blend", "naive", "seasonal"])
-    long = joins.to_long(wide, [*SERIES, "ds"], ["blend", "naive", "seasonal"], "model", "y_pred")
-    return joins.to_wide(long, [*SERIES, "ds"], "model", "y_pred", ["blend", "naive", "seasonal"])
+    wide = joins.to_wide(p, [*SERIES, "ds"], "model", "y_pred", ["blend", "naive", "seasonal", "damped"])
+    long = joins.to_long(wide, [*SERIES, "ds"], ["blend", "naive", "seasonal", "damped"], "model", "y_pred")
+    return joins.to_wide(long, [*SERIES, "ds"], "model", "y_pred", ["blend", "naive", "seasonal", "damped"])
 
 
 @query(
@@ -542,18 +542,27 @@ def set5(spark, d):
 
 @query(
     "set6_append_renumbered",
-    """WITH a AS (SELECT event_id AS stride, value FROM events WHERE event_type IN ('click', 'view')),
-b AS (SELECT CAST(row_number() OVER (ORDER BY event_id) - 1 AS BIGINT) AS stride, value FROM events WHERE event_type = 'error')
+    """WITH a AS (SELECT event_id AS stride, value FROM events WHERE event_type IS DISTINCT FROM 'error'),
+b AS (SELECT event_id AS stride, value FROM events WHERE event_type = 'error')
 SELECT stride, value FROM a UNION ALL SELECT stride + (SELECT max(stride) + 1 FROM a), value FROM b""",
 )
 def set6(spark, d):
-    from tidegrid.operators.chunked import row_position
+    e = derive.table(spark, d, "events").withColumnRenamed("event_id", "stride")
+    error = F.col("event_type").eqNullSafe("error")
+    return joins.append_renumbered(e.where(~error).select("stride", "value"), e.where(error).select("stride", "value"), "stride")
 
-    e = derive.table(spark, d, "events")
-    a = e.where("event_type IN ('click', 'view')").select(F.col("event_id").alias("stride"), "value")
-    b = e.where("event_type = 'error'").withColumn("_k", F.lit(1))
-    b = row_position(b, ["_k"], ["event_id"], F.expr("event_id div 4096"), "stride").select("stride", "value")
-    return joins.append_renumbered(a, b, "stride")
+
+@query(
+    "set3_missing_hours",
+    """WITH h AS (SELECT DISTINCT user_id, date_trunc('hour', ts) AS ts FROM events),
+g AS (SELECT user_id, unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS ts FROM h GROUP BY user_id)
+SELECT user_id, ts FROM g ANTI JOIN h USING (user_id, ts)""",
+)
+def set3(spark, d):
+    from tidegrid.operators import densify
+
+    hours = derive.table(spark, d, "events").select("user_id", F.date_trunc("hour", "ts").alias("ts"))
+    return densify.missing_hours(hours, ["user_id"], densify.series_bounds(hours, ["user_id"]))
 
 
 @query(

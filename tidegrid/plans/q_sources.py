@@ -264,44 +264,45 @@ def _stage_predictions(spark, d, attribution=False):
     return root
 
 
-_PSQL = with_cte(PN, PR) + "SELECT tso, unique_id, ds, horizon, y, window_index, model || '_seed7' AS model, y_pred FROM pr WHERE model LIKE '%a%'"
+_PSQL = with_cte(PN, PR) + "SELECT tso, unique_id, ds, horizon, y, window_index, model || '_seed7' AS model, y_pred FROM pr"
 
 
 @query("src8_src9_window_predictions", _PSQL)
 def src8(spark, d):
-    out = pred.read_predictions(spark, _stage_predictions(spark, d), "ds1", True, "a")
+    out = pred.read_predictions(spark, _stage_predictions(spark, d), "ds1", True, "seed")
     return out.where("model <> ''")
 
 
 @query(
     "src10_attribution_predictions",
     with_cte(PN, PR)
-    + """SELECT tso, unique_id, ds, horizon, y, max(y_pred) FILTER (WHERE model = 'blend') AS blend_seed7, max(y_pred) FILTER (WHERE model = 'naive') AS naive_seed7 FROM pr GROUP BY ALL""",
+    + """SELECT tso, unique_id, ds, horizon, y, max(y_pred) FILTER (WHERE model = 'blend') AS blend_seed7, max(y_pred) FILTER (WHERE model = 'naive') AS naive_seed7,
+ max(y_pred) FILTER (WHERE model = 'seasonal') AS seasonal_seed7, max(y_pred) FILTER (WHERE model = 'damped') AS damped_seed7 FROM pr GROUP BY ALL""",
 )
 def src10(spark, d):
     long = pred.read_predictions(spark, _stage_predictions(spark, d, True), "ds1", True, "seed", only=["attribution"])
-    return pred.averaged(long, ["blend_seed7", "naive_seed7"])
+    return pred.averaged(long, ["blend_seed7", "naive_seed7", "seasonal_seed7", "damped_seed7"])
 
 
 @query(
     "src11_src12_src21_benchmark_csv",
     with_cte(PN, PR)
     + """SELECT tso, unique_id, ds, CAST(row_number() OVER (PARTITION BY tso, unique_id, model, date_trunc('day', ds) ORDER BY ds) AS INT) AS horizon, y,
- CASE model WHEN 'blend' THEN 'ridge_regression' ELSE model END AS model, y_pred FROM pr WHERE model IN ('blend', 'naive')""",
+ CASE model WHEN 'blend' THEN 'ridge_regression' ELSE model END AS model, y_pred FROM pr""",
 )
 def src11(spark, d):
     p = derive.predictions(spark, d).groupBy(*SERIES, "ds").agg(
         F.max("y").alias("y"),
         F.max(F.when(F.col("model") == "blend", F.col("y_pred"))).alias("linear_regression"),
-        F.max(F.when(F.col("model") == "naive", F.col("y_pred"))).alias("naive"),
+        *[F.max(F.when(F.col("model") == m, F.col("y_pred"))).alias(m) for m in ("naive", "seasonal", "damped")],
     )
     root = staging_path(spark, "benchmarks")
     p.select(
-        "unique_id", F.date_format("ds", "yyyy-MM-dd HH:mm:ss").alias("ds"), "y", "linear_regression", "naive",
+        "unique_id", F.date_format("ds", "yyyy-MM-dd HH:mm:ss").alias("ds"), "y", "linear_regression", "naive", "seasonal", "damped",
         F.col("tso").alias("k1"), F.lit("ds1").alias("k2"), F.lit("evaluation").alias("k3"), F.lit("benchmarks_a.csv").alias("k4"),
     ).repartition("k1").write.partitionBy("k1", "k2", "k3", "k4").option("header", True).csv(root)
     name = pred.resolve_dataset(pred.list_files(spark, root, "*.csv"), "other")
-    return pred.read_benchmarks(spark, root, name, ["linear_regression", "naive"], strict=True)
+    return pred.read_benchmarks(spark, root, name, ["seasonal", "linear_regression", "damped", "naive"], strict=True)
 
 
 @query(
@@ -321,13 +322,11 @@ def src13(spark, d):
 
 @query(
     "src14_holiday_csv",
-    """WITH y AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE month(o_orderdate) = 5 AND day(o_orderdate) <= 3)
+    """WITH y AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders)
 SELECT CAST(day AS TIMESTAMP) AS day, unnest(['50Hertz', 'TenneT DE']) AS operator, CAST(unnest([CAST(day(day) = 1 AS INT), CAST(day(day) <= 2 AS INT)]) AS INT) AS is_holiday FROM y""",
 )
 def src14(spark, d):
-    days = derive.table(spark, d, "orders").select(F.to_date("o_orderdate").alias("day")).distinct().where(
-        "month(day) = 5 AND day(day) <= 3"
-    )
+    days = derive.table(spark, d, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
     path = staging_path(spark, "holidays")
     days.select(
         "day", F.lit("some").alias("states"), (F.dayofmonth("day") == 1).cast("int").alias("50Hertz"),

@@ -222,6 +222,18 @@ def sta11_horizon(spark, d):
     return _r(bs.dominance(bs.superiority(reps, keys, MODELS), SERIES, ["horizon"]), "dominance")
 
 
+@query(
+    "sta11_dominance_by_sparsity",
+    with_cte(PN, PR, _fb_cte("tso, unique_id"), _SUP.format(keys="tso, unique_id"), _DOM.format(keys="tso, unique_id"))
+    + """, c AS (SELECT tso, unique_id, CASE WHEN avg(CASE WHEN y = 0 THEN 1 ELSE 0 END) >= 0.35 THEN 'Sparse' ELSE 'Dense' END AS sparsity_class FROM pn GROUP BY ALL)
+SELECT sparsity_class, model, round(avg(d), 8) AS dominance FROM dm_ JOIN c USING (tso, unique_id) GROUP BY ALL""",
+)
+def sta11_class(spark, d):
+    sup = bs.superiority(_replicates(derive.predictions(spark, d), SERIES), SERIES, MODELS)
+    classes = me.series_class(derive.panel(spark, d), SERIES, 0.35)
+    return _r(bs.dominance(sup.join(classes, SERIES), SERIES, ["sparsity_class"]), "dominance")
+
+
 # model confidence set, elimination written out round by round
 _MODELS_SQL = "['blend', 'damped', 'naive', 'seasonal']"
 

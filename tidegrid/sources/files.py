@@ -16,12 +16,13 @@ from tidegrid.sources import codes
 # sources
 
 
-def csv_by_name(spark: SparkSession, path: str, schema: str, positions: int = 0, **options) -> DataFrame:
+def csv_by_name(spark: SparkSession, path: str | Sequence[str], schema: str, positions: int = 0, **options) -> DataFrame:
     """Columns of a CSV with a header, found by name whatever their order; other columns are left out.
 
     The first ``positions`` columns are taken as they stand, under the schema's names. Files whose header differs fail.
     """
     wanted = StructType.fromDDL(schema)
+    path = path if isinstance(path, str) else list(path)
     header = spark.read.csv(path, header=True, **options).columns
     by_name = {f.name: f.dataType for f in wanted}
     for i, f in enumerate(wanted.fields[:positions]):
