@@ -7,8 +7,8 @@ import os
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Marks that the tokenizer keeps apart from the letters before them.
-MARKS = ".,;:!?"
+#: Marks that the tokenizer keeps apart from the letters before them. Not all: an apostrophe may open an ending of its own.
+MARKS = "!\"#$%&()*+,-./:;=?@[]^_{}~"
 
 
 class ChunkEncoder:
@@ -18,7 +18,7 @@ class ChunkEncoder:
     bounds the cached chunks, twice as much the cached parts of chunks; a full cache is emptied.
     """
 
-    def __init__(self, path: str, capacity: int = 300_000):
+    def __init__(self, path: str, capacity: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
@@ -53,26 +53,28 @@ class ChunkEncoder:
             self.known = {"": b""}
         if len(self.parts) > 2 * self.capacity:
             self.parts = {}
-        split, whole = {}, []
+        plain, split, whole = [], [], []
         for c in chunks:
-            word = c.rstrip(MARKS)
-            if word.isalpha():
-                split[c] = word.lower() if word.isascii() else word, c[len(word) :]
+            if c.isalpha():
+                plain.append(c)
+            elif (word := c.rstrip(MARKS)).isalpha():
+                split.append((c, word, c[len(word) :]))
             else:
                 whole.append(c)
         parts = self.parts
-        words = list({a for a, _ in split.values() if a not in parts})
+        words = list({*plain, *(a for _, a, _ in split)}.difference(parts))
         parts.update(zip(words, self._encode_letters(words)))
-        marks = list({b for _, b in split.values() if b and b not in parts})
+        marks = list({b for _, _, b in split}.difference(parts))
         parts.update(zip(marks, self._encode(marks)))
         self.known.update(zip(whole, self._encode(whole)))
-        self.known.update((c, parts[a] + parts[b] if b else parts[a]) for c, (a, b) in split.items())
+        self.known.update(zip(plain, map(parts.__getitem__, plain)))
+        self.known.update((c, parts[a] + parts[b]) for c, a, b in split)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         out = []
         for at in range(0, len(texts), 256):
-            chunks = [t.replace("\n", " ").split(" ") for t in texts[at : at + 256]]
+            chunks = [self._plain(t).replace("\n", " ").split(" ") for t in texts[at : at + 256]]
             known = self.known
             if new := {c for row in chunks for c in row if c not in known}:
                 self._learn(new)
@@ -83,12 +85,14 @@ class ChunkEncoder:
             out += [b"".join(map(known.__getitem__, row)) for row in chunks]
         return out
 
+    @staticmethod
+    def _plain(text: str) -> str:
+        """A-Z in lower case, as the tokenizer puts them, so that chunks repeat; special tokens keep their case."""
+        return text if "<|" in text else text.encode().lower().decode()
+
     def _learn_more(self, chunks: set[str]) -> None:
         capacity, self.capacity = self.capacity, float("inf")
         self._learn(chunks)
-        ends = {i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")}
-        self.is_end = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
-        self.is_end[list(ends)] = True
         self.capacity = capacity
 
 
