@@ -357,3 +357,20 @@ def test_pipeline_stages_on_the_table(spark, docs, empty, tmp_path, monkeypatch)
                 assert out.columns == table.columns, name
             at = out
         assert at.select("doc_id").distinct().count() == (0 if table is empty else len({r.doc_id for r in jaccard.keep_one(docs).collect()}))
+
+
+def test_pipeline_cuts_passages_of_over_50_words(spark):
+    import corpus_pipeline
+
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    rows, want = [], {}
+    for n in [40, *range(51, 66)]:
+        passage = prose(n)
+        for side in (0, 1):
+            head, tail = f"{prose(30)} {side}", f"{side} {prose(30)}"
+            rows.append((2 * n + side, f"{head}| {passage} |{tail}"))
+            want[2 * n + side] = rows[-1][1] if n <= 50 else head + tail
+    got = corpus_pipeline.cut_repeats(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert {x.doc_id: x.text for x in got} == want

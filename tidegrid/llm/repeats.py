@@ -341,16 +341,24 @@ def report(docs: DataFrame, length: int = 400, window: int = 240) -> DataFrame:
     )
 
 
-def cut(docs: DataFrame, length: int = 400, window: int = 240) -> DataFrame:
+def of_words(b: bytes, runs: np.ndarray, least: int, always: int) -> np.ndarray:
+    """Runs that hold at least ``least`` words (cut ones at the ends counted) or ``always`` bytes."""
+    wide = [hi - lo >= always or len(b[lo:hi].decode("utf-8", "ignore").split()) >= least for lo, hi in runs.tolist()]
+    return runs[np.array(wide, bool)]
+
+
+def cut(docs: DataFrame, length: int = 400, window: int = 240, least_words: int = 0, always: int = 400) -> DataFrame:
     """``docs`` (doc_id, text and any other columns) with the repeated bytes cut out of ``text``.
 
-    Characters of which a byte was removed go as a whole.
+    Characters of which a byte was removed go as a whole. With ``least_words``, runs of fewer words stay unless they have ``always``
+    bytes; a repeated passage lies in one run, so none of that many words (and ``length`` bytes) is left.
     """
     @F.pandas_udf("string")
     def rest(texts: pd.Series, spans: pd.Series) -> pd.Series:
         def one(t: str, s) -> str:
             b = t.encode()
-            return kept(b, removed(len(b), list(s) if s is not None else None, length)).decode("utf-8", "ignore")
+            runs = removed(len(b), list(s) if s is not None else None, length)
+            return kept(b, of_words(b, runs, least_words, always)).decode("utf-8", "ignore")
 
         return pd.Series([one(t, s) for t, s in zip(texts, spans)], dtype=object)
 
