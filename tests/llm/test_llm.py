@@ -374,3 +374,32 @@ def test_pipeline_cuts_passages_of_over_50_words(spark):
             want[2 * n + side] = rows[-1][1] if n <= 50 else head + tail
     got = corpus_pipeline.cut_repeats(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert {x.doc_id: x.text for x in got} == want
+
+
+def test_index_lists_reach_every_link_at_80():
+    r = np.random.default_rng(4)
+    scheme = jaccard.Scheme(80, 100)
+    reached = 0
+    for n in [1, 2, 4, 5, 6, 9, 10, 19, 20, 50, 200, 1000]:
+        for _ in range(30):
+            a = np.unique(r.integers(0, 2**63, n, dtype=np.uint64))
+            drop, add = r.integers(0, n // 5 + 2), r.integers(0, n // 5 + 2)
+            b = np.unique(np.concatenate([r.permutation(a)[drop:], r.integers(0, 2**63, add, dtype=np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            if len(b) and 100 * both >= 80 * (len(a) + len(b) - both):
+                reached += 1
+                assert set(scheme.keys(a)) & set(scheme.keys(b)), (n, drop, add)
+    assert reached > 100
+
+
+def test_pipeline_drops_near_copies_of_five_words_at_80(spark):
+    import corpus_pipeline
+
+    r = random.Random(9)
+    words = [f"w{r.randrange(10**9)}" for _ in range(400)]
+    run = words[:200] + [f"x{i}" for i in range(30)] + words[230:]  # 362 of 430 shingles of five, 366 of 430 of three
+    spread = [f"y{i}" if i % 50 == 25 else w for i, w in enumerate(words)]  # 2 % of the words
+    less = [f"z{i}" if i % 25 == 12 else w for i, w in enumerate(words)]  # 4 %: below 0.8
+    rows = [(1, words), (2, run), (3, spread), (4, less), (5, ["a", "B", "c"]), (6, ["a", "b", "c"])]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    assert {x.doc_id for x in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == {1, 4, 5}
