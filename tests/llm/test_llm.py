@@ -403,3 +403,12 @@ def test_pipeline_drops_near_copies_of_five_words_at_80(spark):
     rows = [(1, words), (2, run), (3, spread), (4, less), (5, ["a", "B", "c"]), (6, ["a", "b", "c"])]
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
     assert {x.doc_id for x in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == {1, 4, 5}
+
+
+def test_masked_terms_are_found():
+    find = toxicity.Finder({"stupid": 5.0, "idiot": 4.0, "moron": 3.0})
+    found = ["id1ot", "st*pid", "mor0n", "1diot", "idio7", "(id1ot),", "l'id1ot", "st*pid-looking", "you/mor0n", "st_pid", "st.pid", "idiott", "stupd"]
+    assert {w: find(f"you are {w} now")[1] > 0 for w in found} == dict.fromkeys(found, True)
+    clean = ["id10t", "s**pid", "idea", "st-p", "2024-01-01", "1,000", "***", "_"]
+    assert {w: find(f"you are {w} now") for w in clean} == dict.fromkeys(clean, [0.0] * 5)
+    assert find("you idiot2 and stupid,moron!")[:2] == [float(np.log1p(2)), 0.0]

@@ -1,7 +1,8 @@
 """Toxicity by a lexicon trie met with Levenshtein automata, and windows around each find.
 
 The lexicon is learned: words far more frequent in toxic than in clean training documents. A word of a text is run through the product of the
-trie and a Levenshtein automaton, made deterministic state by state, so a term is also found misspelled by one letter.
+trie and a Levenshtein automaton, made deterministic state by state, so a term is also found misspelled by one letter, or
+masked by one digit or sign.
 Each find has a window of words around it: marks of quotation there make it quoted speech, further finds make it
 abuse. Sums over quoted and plain finds are the features of a logistic regression.
 
@@ -35,6 +36,22 @@ WINDOW = 8
 EDIT_FROM = 5
 QUOTES = frozenset("\"'«»“”„‘’‹›")
 LETTERS = re.compile(r"[^\W\d_]+")
+#: Parts of a chunk between marks that stand between words; digits and other signs stay inside.
+PARTS = re.compile(r"[^\s\-‐–—/\\,;:.…\"«»“”„‹›'‘’()\[\]{}<>]+")
+
+
+def candidates(chunk: str) -> dict[str, None]:
+    """Words of a chunk: its runs of letters, and what has a digit or sign inside (``id1ot``, ``st*pid``), without outer punctuation."""
+    out = dict.fromkeys(LETTERS.findall(chunk))
+    for part in (chunk, *PARTS.findall(chunk)):
+        lo, hi = 0, len(part)
+        while lo < hi and not part[lo].isalnum():
+            lo += 1
+        while lo < hi and not part[hi - 1].isalnum():
+            hi -= 1
+        if lo < hi:
+            out[part[lo:hi]] = None
+    return out
 
 
 class LexiconAutomaton:
@@ -120,7 +137,7 @@ class Finder:
         self.known: dict[str, tuple[float, int] | None] = {}
 
     def _look(self, chunk: str) -> tuple[float, int] | None:
-        found = [f for w in LETTERS.findall(chunk.lower()) if (f := self.automaton.find(w))]
+        found = [f for w in candidates(chunk.lower()) if (f := self.automaton.find(w))]
         if len(self.known) >= self.capacity:
             self.known.clear()
         self.known[chunk] = best = min(found, key=lambda f: (f[1], -f[0]), default=None)
