@@ -412,3 +412,18 @@ def test_masked_terms_are_found():
     clean = ["id10t", "s**pid", "idea", "st-p", "2024-01-01", "1,000", "***", "_"]
     assert {w: find(f"you are {w} now") for w in clean} == dict.fromkeys(clean, [0.0] * 5)
     assert find("you idiot2 and stupid,moron!")[:2] == [float(np.log1p(2)), 0.0]
+
+
+def test_quotation_needs_an_opening_and_a_closing_mark():
+    find = toxicity.Finder({"worthless": 5.0, "idiot": 4.0})
+    plain = [
+        "you're a worthless man and don't matter", "you’re worthless and don’t matter", "l'homme est un idiot qu'on voit", "l’homme est un idiot d’ici",
+        'he said "hello" you worthless man "bye" now', "the dogs' worthless owners' house", "it's worthless", 'a worthless man said "no"', "rock 'n' roll is worthless 'n' loud",
+        "l'idiot d'ici",
+    ]
+    assert {t: find(t)[0] > 0 and find(t)[2] == 0 for t in plain} == dict.fromkeys(plain, True)
+    quoted = [
+        'he said "you are worthless" today', "he said 'you are worthless' today", "he said ‘you’re a worthless man’ today", "il dit « idiot » ici", "il dit «quel idiot», puis",
+        "er sagt „du idiot“ und", 'said:"worthless", she', '("worthless")', "she said 'worthless.'", 'he said " worthless " today', "l'«idiot» ici", "he said “don't be worthless,” she said",
+    ]
+    assert {t: find(t)[0] == 0 and find(t)[2] > 0 for t in quoted} == dict.fromkeys(quoted, True)

@@ -3,8 +3,8 @@
 The lexicon is learned: words far more frequent in toxic than in clean training documents. A word of a text is run through the product of the
 trie and a Levenshtein automaton, made deterministic state by state, so a term is also found misspelled by one letter, or
 masked by one digit or sign.
-Each find has a window of words around it: marks of quotation there make it quoted speech, further finds make it
-abuse. Sums over quoted and plain finds are the features of a logistic regression.
+Each find has a window of words around it: an opening mark of quotation before it and a closing one after it there make it
+quoted speech, further finds make it abuse. Sums over quoted and plain finds are the features of a logistic regression.
 
 Training uses labelled rows whose crc32(id) modulo 5 is not 0, at most ``SAMPLE`` of them (in order of a hash of the id); labels
 serve only there, and language, source and id never reach a score. Everything else covers all rows and whole texts.
@@ -34,7 +34,11 @@ FOLDS = 5
 WINDOW = 8
 #: Terms from this length on are also found with one edit.
 EDIT_FROM = 5
-QUOTES = frozenset("\"'«»“”„‘’‹›")
+#: Marks of quotation, double and single ones. Apostrophes count only at a chunk's outer edge, beside a word.
+QUOTES = (frozenset("\"«»“”„"), frozenset("'‘’‹›"))
+APOSTROPHES = frozenset("'’")
+#: What a mark does where its place does not tell.
+OPENING, CLOSING = frozenset("\"«“„‘‹"), frozenset("\"»”›")
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Parts of a chunk between marks that stand between words; digits and other signs stay inside.
 PARTS = re.compile(r"[^\s\-‐–—/\\,;:.…\"«»“”„‹›'‘’()\[\]{}<>]+")
@@ -54,6 +58,25 @@ def candidates(chunk: str) -> dict[str, None]:
     return out
 
 
+def marks(chunk: str, kind: frozenset[str]) -> list[str]:
+    """For each mark of a kind: ``(`` if it opens (before a word), ``)`` if it closes (after one), ``|`` if it may do either."""
+    if kind.isdisjoint(chunk):
+        return []
+    word = [p for p, c in enumerate(chunk) if c.isalnum()] or [len(chunk), -1]
+    out = []
+    for p, m in enumerate(chunk):
+        if m not in kind:
+            continue
+        before, after = word[0] < p, word[-1] > p
+        if before and after and m not in APOSTROPHES:  # inside: the side that touches a word
+            before, after = chunk[p - 1].isalnum(), chunk[p + 1].isalnum()
+        if before != after:
+            out.append("(" if after else ")")
+        elif m not in APOSTROPHES:
+            out.append("|" if m in OPENING and m in CLOSING else "(" if m in OPENING else ")")
+    return out
+
+
 class LexiconAutomaton:
     """Finds words within one edit of a term: the subset construction of trie x Levenshtein automaton, grown as needed."""
 
@@ -144,10 +167,17 @@ class Finder:
         return best
 
     def quoted(self, chunks: list[str], i: int) -> bool:
-        """Quotation marks on both sides within the window, or on both ends of the chunk."""
-        left = any(QUOTES & set(c) for c in (*chunks[max(0, i - WINDOW) : i], chunks[i][:1]))
-        right = any(QUOTES & set(c) for c in (*chunks[i + 1 : i + 1 + WINDOW], chunks[i][1:][-2:]))
-        return left and right
+        """Within a quotation: of one kind of marks, the nearest on the left opens it and the nearest on the right closes it.
+
+        The chunk's own marks come first, then those of the window on either side.
+        """
+        for kind in QUOTES:
+            own = marks(chunks[i], kind)
+            left = next((m[-1] for c in reversed(chunks[max(0, i - WINDOW) : i]) if (m := marks(c, kind))), ")")
+            right = next((m[0] for c in chunks[i + 1 : i + 1 + WINDOW] if (m := marks(c, kind))), "(")
+            if ("(" in own or left != ")") and (")" in own or right != "("):
+                return True
+        return False
 
     def __call__(self, text: str) -> list[float]:
         chunks, known = text.split(), self.known
