@@ -427,3 +427,18 @@ def test_quotation_needs_an_opening_and_a_closing_mark():
         "er sagt „du idiot“ und", 'said:"worthless", she', '("worthless")', "she said 'worthless.'", 'he said " worthless " today', "l'«idiot» ici", "he said “don't be worthless,” she said",
     ]
     assert {t: find(t)[0] == 0 and find(t)[2] > 0 for t in quoted} == dict.fromkeys(quoted, True)
+
+
+def test_packing_results_come_from_the_ids(spark, docs, empty, tmp_path):
+    import corpus_pipeline
+    from tidegrid.llm import queries
+
+    got = corpus_pipeline.pack(spark, docs, "").collect()
+    assert got and all(len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in got)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    out = queries.op6_packing(spark, str(tmp_path))
+    assert out.columns == packing.pack(empty, WORD, 1, with_ids=False).columns
+    _same(out, [tuple(r[c] for c in out.columns) for r in got])
+    packed = packing.pack(docs, WORD, 1)
+    spoilt = packing.digests(packed.withColumn("ids_crc32", F.lit(0).cast("long")))  # the checksum is that of the ids
+    _same(spoilt.select("ids_crc32"), [(r.ids_crc32,) for r in got])

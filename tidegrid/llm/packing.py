@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidegrid.llm import common, words
-from tidegrid.session import cut_lineage
+from tidegrid.llm.staging import staged
 
 
 def cuts(n: int, longest: int) -> list[int]:
@@ -63,13 +63,13 @@ def number(found: DataFrame) -> DataFrame:
     """
     order = ["length", "doc_id", "start", "ids_crc32", "doc_tokens"]
     dealt = found.repartitionByRange(*order).sortWithinPartitions(*order)
-    marked = cut_lineage(dealt.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    marked = staged(dealt.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "order")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     bases = marked.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first")).select(
         "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_base")
     )
     return (
-        marked.join(bases, "_part")
+        marked.join(F.broadcast(bases), "_part")  # a row per range
         .withColumns({"sequence_id": F.col("_at") + F.col("_base"), "offset": F.lit(0).cast("long")})
         .drop("_part", "_at", "_base")
     )
@@ -77,4 +77,21 @@ def number(found: DataFrame) -> DataFrame:
 
 def pack(docs: DataFrame, path: str, end_id: int, longest: int = 2048, with_ids: bool = True) -> DataFrame:
     """All pieces with their sequences. Lineage is cut after encoding: the order's ranges are sampled from the result."""
-    return number(cut_lineage(pieces(docs, path, end_id, longest, with_ids)))
+    return number(staged(pieces(docs, path, end_id, longest, with_ids), "pieces"))
+
+
+def digests(packed: DataFrame) -> DataFrame:
+    """Packed pieces with their ids' checksum, taken from the ids, in place of the ids."""
+    columns = [c for c in packed.columns if c != "ids"]
+    at = columns.index("ids_crc32")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column("ids")
+            flat, ends = ids.values.to_numpy(zero_copy_only=False).astype("<u4"), ids.offsets.to_numpy()
+            sums = [zlib.crc32(flat[lo:hi].tobytes()) for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist())]
+            out = [b.column(c) for c in columns]
+            out[at] = pa.array(sums, pa.int64())
+            yield pa.RecordBatch.from_arrays(out, columns)
+
+    return packed.mapInArrow(run, packed.drop("ids").schema)

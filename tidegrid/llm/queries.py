@@ -56,7 +56,7 @@ def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Power-of-two pieces of all documents."""
-    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1, with_ids=False)
+    return packing.digests(packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1))
 
 
 @_query()
