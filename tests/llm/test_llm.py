@@ -442,3 +442,68 @@ def test_packing_results_come_from_the_ids(spark, docs, empty, tmp_path):
     packed = packing.pack(docs, WORD, 1)
     spoilt = packing.digests(packed.withColumn("ids_crc32", F.lit(0).cast("long")))  # the checksum is that of the ids
     _same(spoilt.select("ids_crc32"), [(r.ids_crc32,) for r in got])
+
+
+def test_context_trees_across_words(spark, docs, rows, empty, monkeypatch):
+    monkeypatch.setattr(ctw, "DOC_BLOCK", 20_000)
+    monkeypatch.setattr(ctw, "GRAM_BYTES", 500)
+    monkeypatch.setattr(ctw, "GRAMS_HELD", 300)
+    depth = ctw.DEPTH
+    code = lambda x: b" " * depth + b"".join(w + b" " for w in (x or "").encode().lower().split()) + b" "
+    decisions = lambda c: [((1 << k) | (c >> (8 - k)), (c >> (7 - k)) & 1) for k in range(8)]
+    grams = Counter()
+    for i, x in rows:
+        if zlib.crc32(str("" if i is None else i).encode()) % 7 != 2:
+            s = code(x)
+            grams.update(s[j - depth : j + 1] for j in range(depth, len(s)))
+    cells, kids = defaultdict(lambda: [0, 0]), defaultdict(set)
+    for g, c in grams.items():
+        for node, bit in decisions(g[-1]):
+            for d in range(depth + 1):
+                cells[g[depth - d : depth], node][bit] += c
+                if d:
+                    kids[g[depth - d + 1 : depth], node].add(g[depth - d : depth])
+    kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+    memo = {}
+
+    def weighted(c, node):
+        if (c, node) not in memo:
+            e = kt(*cells.get((c, node), (0, 0)))
+            memo[c, node] = e if len(c) == depth else np.logaddexp(e, sum(weighted(k, node) for k in kids.get((c, node), ()))) - math.log(2)
+        return memo[c, node]
+
+    def one(c, node, d=0):
+        a, b = cells.get((c[depth - d :], node), (0, 0))
+        own = (b + 0.5) / (a + b + 1)
+        if d == depth:
+            return own
+        share = math.exp(kt(a, b) - math.log(2) - weighted(c[depth - d :], node))
+        return share * own + (1 - share) * one(c, node, d + 1)
+
+    want = {}
+    for i, x in rows:
+        s = code(x)
+        if len(s) < 800:
+            p = [one(s[j - depth : j], node) if bit else 1 - one(s[j - depth : j], node) for j in range(depth, len(s)) for node, bit in decisions(s[j])]
+            want[i, len((x or "").encode().split()) + 1, -sum(map(math.log2, p)) / (len(s) - depth)] = sum(map(math.log10, p))
+    got = ctw.score_texts(docs).collect()
+    plain = ctw.score(docs).collect()
+    base = lambda found: sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in found)
+    assert base(got) == base(plain)
+    for (i, n, bits), score in want.items():
+        assert any(r.doc_id == i and r.n_tokens == n and r.score == pytest.approx(score, abs=1e-5) and r.bits_per_byte == pytest.approx(bits, abs=1e-6) for r in got), i
+    assert ctw.score_texts(empty).count() == 0
+
+
+def test_op3_sees_the_order_of_words(spark, tmp_path):
+    from tidegrid.llm import queries
+
+    r = random.Random(4)
+    pairs = [("red", "apples"), ("green", "leaves"), ("blue", "waters"), ("old", "houses")]
+    text = lambda: " ".join(w for _ in range(30) for w in r.choice(pairs))
+    told = text()
+    mixed = told.split()
+    r.shuffle(mixed)
+    spark.createDataFrame([*((i, text()) for i in range(200)), (1000, told), (1000, " ".join(mixed))], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    low, high = sorted(x.score for x in queries.op3_lm_score(spark, str(tmp_path)).where("doc_id = 1000").collect())
+    assert low < high - 5

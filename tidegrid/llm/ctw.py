@@ -13,6 +13,11 @@ tree below such a node is complete there. The three top levels are grouped sums.
 the blocks of words, words to the blocks of documents, each block with a row for each distinct one. No model is collected or
 broadcast, so it may grow with the corpus.
 
+Across words. ``score`` cuts contexts at the start of each word. ``score_texts`` codes the same bytes with contexts from the
+whole text: the last d bytes, across spaces and words (spaces before the text's start), so the order of words counts. Then
+grams come from the texts: blocks of documents emit their distinct grams with the training counts, and get them back
+scored; one row for each distinct gram and block.
+
 Training documents are those whose crc32(id) modulo 7 is not 2.
 
 Defined results: null or blank text has the end only; without training documents every count is 0 and each bit costs one bit;
@@ -27,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +44,8 @@ DEPTH = 6
 FOLDS, HELD_OUT = 7, 2
 #: Bytes of text in a block of documents, and words in a block of words: what a task holds at once.
 DOC_BLOCK, WORD_BLOCK = 32 << 20, 300_000
+#: Bytes of text whose grams a task makes at a time, and grams that it holds before equal ones are summed.
+GRAM_BYTES, GRAMS_HELD = 1 << 20, 4_000_000
 LN2, LN10 = math.log(2), math.log(10)
 
 
@@ -322,3 +330,99 @@ def score(docs: DataFrame) -> DataFrame:
 
     ddl = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(add, ddl)
+
+
+def coded(words: list[bytes]) -> bytes:
+    """A text's code without the space of its end."""
+    return b"".join(w + b" " for w in words)
+
+
+def _some(sizes: list[int], n_bytes: int) -> Iterator[slice]:
+    """Slices of texts of about ``n_bytes`` together."""
+    at = size = 0
+    for i, n in enumerate(sizes):
+        size += n + DEPTH + 1
+        if size >= n_bytes:
+            yield slice(at, i + 1)
+            at, size = i + 1, 0
+    if at < len(sizes):
+        yield slice(at, len(sizes))
+
+
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    u, inv = np.unique(np.concatenate(keys), return_inverse=True)
+    return u, np.bincount(inv, np.concatenate(counts), len(u)).astype(np.int64)
+
+
+def score_texts(docs: DataFrame) -> DataFrame:
+    """The columns of ``score``, with contexts across words."""
+    rows = common.texts(docs).withColumn("held_out", common.id_remainder(F.col("doc_id"), FOLDS) == HELD_OUT)
+    size = rows.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0
+    blocks = max(1, -(-size // DOC_BLOCK))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", common.text_key(F.col("text"))), F.lit(blocks)))
+    schema = pa.schema([("block", pa.int64()), ("word", pa.bool_()), ("key", pa.int64()), ("n", pa.int64())])
+
+    def emit(t: pa.Table) -> pa.Table:
+        texts, train = t.column("text"), ~t.column("held_out").to_numpy()
+        sizes = pc.binary_length(texts).to_pylist()
+        counts: dict[bytes, int] = {}
+        keys, sums, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        for part in _some(sizes, GRAM_BYTES):
+            found = [tokens(x.as_py()) for x in texts[part]]
+            for words, yes in zip(found, train[part].tolist()):
+                for w in (*words, b""):
+                    counts[w] = counts.get(w, 0) + yes
+            key, owner = grams(list(map(coded, found)))
+            u, n = _summed([key], [train[part][owner]])
+            keys.append(u)
+            sums.append(n)
+            held += len(u)
+            if held > GRAMS_HELD:
+                u, n = _summed(keys, sums)
+                keys, sums, held = [u], [n], 0
+        u, n = _summed(keys, sums)
+        block = np.full(len(counts) + len(u), t.column("block")[0].as_py())
+        hashes = np.fromiter(map(word_hash, counts), np.int64, len(counts))
+        kind = np.arange(len(block)) < len(counts)
+        n_words = np.fromiter(counts.values(), np.int64, len(counts))
+        return pa.table([block, kind, np.concatenate([hashes, u]), np.concatenate([n_words, n])], schema=schema)
+
+    asked = staged(dealt.groupBy("block").applyInArrow(emit, "block long, word boolean, key long, n long"), "grams")
+    words = staged(asked.where("word").groupBy("key").agg(F.sum("n").alias("n")), "words")
+    total = words.agg(F.sum("n").alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v")).first()
+    all_n, distinct = total.n or 0, total.v
+    scores = gram_scores(asked.where("NOT word").groupBy("key").agg(F.sum("n").alias("n")).withColumnRenamed("key", "gram"))
+    known = words.select(F.lit(True).alias("word"), "key", F.col("n").cast("double").alias("value")).unionByName(
+        scores.select(F.lit(False).alias("word"), F.col("gram").alias("key"), F.col("logp").alias("value"))
+    )
+    answers = asked.select("block", "word", "key").join(known, ["word", "key"])
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
+    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+    out = pa.schema(list(zip(names, kinds)))
+
+    def add(t: pa.Table, answer: pa.Table) -> pa.Table:
+        if not t.num_rows:
+            return out.empty_table()
+        word, key, value = _columns(answer, "word", "key", "value")
+        word = word.astype(bool)
+        count = dict(zip(key[word].tolist(), value[word].tolist()))
+        gram, logp = key[~word], value[~word]
+        order = np.argsort(gram)
+        gram, logp = gram[order], logp[order]
+        result, texts = [], t.column("text")
+        sizes = pc.binary_length(texts).to_pylist()
+        for part in _some(sizes, GRAM_BYTES):
+            found = [tokens(x.as_py()) for x in texts[part]]
+            asked_key, owner = grams(list(map(coded, found)))
+            u, inv = np.unique(asked_key, return_inverse=True)
+            each = np.bincount(owner, logp[np.searchsorted(gram, u)][inv], len(found))
+            ids, held = (t.column(c)[part].to_pylist() for c in ("doc_id", "held_out"))
+            for i, h, words, ln in zip(ids, held, found, each.tolist()):
+                n = np.array([count[word_hash(w)] for w in (*words, b"")])
+                base = float(np.log10((n + 1) / (all_n + distinct + 1)).sum())
+                n_coded = sum(map(len, words)) + len(words) + 1
+                result.append((i, h, len(n), int((n > 0).sum()), all_n, base, ln / LN10, -ln / LN2 / n_coded))
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*result), out)], schema=out)
+
+    ddl = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(add, ddl)

@@ -126,4 +126,4 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Context-tree weighting scores of all texts."""
-    return ctw.score(_table(spark, sf_dir, "documents"))
+    return ctw.score_texts(_table(spark, sf_dir, "documents"))
