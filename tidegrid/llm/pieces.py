@@ -101,6 +101,35 @@ class Numbers(dict):
         return n
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """Packed numbers, byte by byte of equal rank: the upper ones are nearly constant."""
+    return _pack(numbers.astype("<u4").view("u1").reshape(-1, 4).T.tobytes())
+
+
+def _numbers(load: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(load, "u1").reshape(4, -1).T).view("<u4").reshape(-1)
+
+
+def _short(numbers: np.ndarray) -> bytes:
+    """Packed numbers of one to four bytes, seven bits each, the lowest first."""
+    groups = numbers[:, None] >> np.arange(0, 28, 7, dtype="u4") & 127
+    more = numbers[:, None] >> np.arange(7, 35, 7, dtype="u8") > 0
+    used = np.concatenate([np.ones((len(numbers), 1), bool), more[:, :-1]], axis=1)
+    return _pack((groups | more.astype("u4") << 7).astype("u1")[used].tobytes())
+
+
+def _long(load: bytes) -> np.ndarray:
+    """What ``_short`` packed."""
+    raw = np.frombuffer(load, "u1")
+    last = np.flatnonzero(raw < 128)
+    first = np.concatenate([[0], last[:-1] + 1])[: len(last)]
+    out = np.zeros(len(last), "<u4")
+    for k in range(4):
+        has = first + k <= last
+        out[has] |= (raw[first[has] + k] & 127).astype("u4") << 7 * k
+    return out
+
+
 class Block:
     """Documents of one block as chunk numbers, and the block's questions."""
 
@@ -109,25 +138,37 @@ class Block:
         self.seen, self.size = Numbers(), 0
         self.ids: list[int | None] = []
         self.coded: list[np.ndarray] = []
-        self.held = 0
 
     def add(self, doc_id: int | None, text: str, chunks: list[str]) -> None:
         self.size += len(text)
         self.ids.append(doc_id)
         self.coded.append(np.fromiter(map(self.seen.__getitem__, chunks), "<u4", len(chunks)))
-        self.held += len(chunks) + 1
-
-    def documents(self) -> tuple:
-        """The documents held, as one message."""
-        flat = np.concatenate(self.coded)
-        # the bytes of all numbers by rank: the upper ones are nearly constant
-        load = _pack(flat.view("u1").reshape(-1, 4).T.tobytes())
-        row = (self.number, DOCS, self.ids, [len(c) for c in self.coded], load)
-        self.ids, self.coded, self.held = [], [], 0
-        return row
-
-    def questions(self) -> Iterator[tuple]:
-        names = [c.encode() for c in self.seen]
+
+    def messages(self, row: int) -> Iterator[tuple]:
+        """The block's questions, then its documents in rows of about ``row`` chunks.
+
+        Chunks are numbered anew by falling count, equal counts by name: frequent numbers are short, and names beside each other alike.
+        """
+        if self.seen:
+            by_name = sorted(self.seen)
+            at = np.fromiter(map(self.seen.__getitem__, by_name), "i8", len(by_name))
+            counts = np.zeros(len(at), "i8")
+            for c in self.coded:
+                np.add.at(counts, c, 1)
+            ranked = np.argsort(-counts[at], kind="stable")
+            rank = np.empty(len(at), "<u4")
+            rank[at[ranked]] = np.arange(len(at))
+            yield from self._questions([by_name[i].encode() for i in ranked.tolist()])
+            self.coded = [rank[c] for c in self.coded]
+        lo = held = 0
+        for hi, c in enumerate(self.coded, 1):
+            held += len(c) + 1
+            if held >= row or hi == len(self.coded):
+                some = self.coded[lo:hi]
+                yield self.number, DOCS, self.ids[lo:hi], [len(x) for x in some], _short(np.concatenate(some))
+                lo, held = hi, 0
+
+    def _questions(self, names: list[bytes]) -> Iterator[tuple]:
         part = np.fromiter((zlib.crc32(n) % self.parts for n in names), "<u2", len(names))
         yield self.number, ORDER, None, None, _pack(part.tobytes())
         by_part = np.argsort(part, kind="stable")
@@ -148,8 +189,6 @@ def number_chunks(docs: DataFrame, path: str, parts: int, size: int = BLOCK, row
         for ids, texts in common.records(batches, "doc_id", "text"):
             for i, text in zip(ids, texts):
                 block.add(i, text, cut(text))
-                if block.held >= row:
-                    yield common.batch(MESSAGE, *zip(block.documents()))
                 if block.size >= size:
                     yield from finish(block)
                     n += 1
@@ -157,11 +196,8 @@ def number_chunks(docs: DataFrame, path: str, parts: int, size: int = BLOCK, row
         yield from finish(block)
 
     def finish(block: Block) -> Iterator[pa.RecordBatch]:
-        if block.ids:
-            yield common.batch(MESSAGE, *zip(block.documents()))
-        if block.seen:
-            for message in block.questions():
-                yield common.batch(MESSAGE, *zip(message))
+        for message in block.messages(row):
+            yield common.batch(MESSAGE, *zip(message))
 
     return common.texts(docs).mapInArrow(run, MESSAGE_DDL)
 
@@ -182,7 +218,7 @@ def answer(questions: DataFrame, path: str, room: int = TABLE) -> DataFrame:
                 table.update(zip(new, (np.array(ids, "<u4") for ids in segment([c.decode() for c in new]))))
                 found = [table[c] for c in asked]
                 sizes = np.fromiter(map(len, found), "<u4", len(found))
-                reply = _pack(np.concatenate([[len(found)], sizes, *found]).astype("<u4").tobytes())
+                reply = _planes(np.concatenate([[len(found)], sizes, *found]))
                 yield common.batch(MESSAGE, [block], [part], [None], [None], [reply])
 
     asked = questions.repartition("part").sortWithinPartitions("part", "block")
@@ -196,7 +232,7 @@ class Answers:
         part = np.frombuffer(order, "<u2")
         all_sizes, all_ids = [np.zeros(0, "<u4")], [np.zeros(0, "<u4")]
         for reply in replies:
-            words = np.frombuffer(reply, "<u4")
+            words = _numbers(reply)
             n = int(words[0])
             all_sizes.append(words[1 : 1 + n])
             all_ids.append(words[1 + n :])
@@ -251,7 +287,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Answers, list,
                 replies.append(load)
             else:
                 sizes = b.column("sizes")[row].as_py()
-                flat = np.ascontiguousarray(np.frombuffer(load, "u1").reshape(4, -1).T).view("<u4").reshape(-1)
+                flat = _long(load)
                 if answers is None:
                     # a block without any chunk asks nothing
                     answers = Answers(order, replies)
