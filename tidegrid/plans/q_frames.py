@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidegrid.operators import features as ft, frames as fr, models as mo
+from tidegrid.operators import boosting as bo, features as ft, frames as fr, models as mo
 from tidegrid.operators.joins import to_wide
 from tidegrid.plans import derive
 from tidegrid.plans.derive import HS, PN, PR, with_cte
@@ -279,6 +279,64 @@ def shf9(spark, d):
     return out.select(*SERIES, "ds", F.round("y_pred", 4).alias("y_pred"))
 
 
+_SWEEPW = """
+wn AS (SELECT * FROM (VALUES (0, TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-15', TIMESTAMP '2024-01-18', TIMESTAMP '2024-01-25'),
+ (1, TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-19', TIMESTAMP '2024-01-22', TIMESTAMP '2024-01-29')) t(window_index, train_start, valid_start, test_start, test_end)),
+"""
+
+def _sweep_windows(spark):
+    rows = [(0, "2024-01-01", "2024-01-15", "2024-01-18", "2024-01-25"), (1, "2024-01-05", "2024-01-19", "2024-01-22", "2024-01-29")]
+    names = ("train_start", "valid_start", "test_start", "test_end")
+    return spark.createDataFrame(rows, "window_index int, a string, b string, c string, d string").select(
+        "window_index", *[F.col(s).cast("timestamp").alias(n) for s, n in zip("abcd", names)]
+    )
+
+
+def _horizon_rows(spark, d):
+    """Origins with the lags before them as features; horizons 1 and 6 as keys."""
+    rows = mo.direct_targets(fr.lag_design(derive.panel(spark, d), SERIES, [1, 24]), SERIES, 6)
+    rows = rows.dropna(subset=["y_lag-24"]).withColumn("h", F.hour("ds").cast("double"))
+    return bo.horizons(rows, {1: "y+1", 6: "y+6"})
+
+
+@query(
+    "shf9_boosted_stumps_by_window_and_horizon",
+    with_cte(PN)
+    + ","
+    + _SWEEPW
+    + """dz AS (SELECT tso, unique_id, ds, lag(y, 1) OVER w AS a, lag(y, 24) OVER w AS b, hour(ds)::DOUBLE AS h, y AS y1, lead(y, 5) OVER w AS y6
+  FROM pn WINDOW w AS (PARTITION BY tso, unique_id ORDER BY ds)),
+hz AS (SELECT tso, unique_id, ds, a, b, h, 1 AS horizon, y1 AS y FROM dz WHERE b IS NOT NULL UNION ALL SELECT tso, unique_id, ds, a, b, h, 6, y6 FROM dz WHERE b IS NOT NULL),
+rl AS (SELECT hz.*, window_index, CASE WHEN ds < valid_start THEN 'train' WHEN ds < test_start THEN 'valid' ELSE 'test' END AS role FROM hz JOIN wn ON ds >= train_start AND ds < test_end),
+tr AS (SELECT * FROM rl WHERE role = 'train' AND y IS NOT NULL),
+bs AS (SELECT window_index, tso, unique_id, horizon, quantile_disc(y, 0.5)::DOUBLE AS base FROM tr GROUP BY ALL),
+xs AS (SELECT window_index, tso, unique_id, horizon, y, unnest([0, 1, 2]) AS f, unnest([a, b, h])::DOUBLE AS x FROM tr),
+qs AS (SELECT window_index, tso, unique_id, horizon, f, quantile_disc(x, [0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875]) AS q FROM xs GROUP BY ALL),
+ds_ AS (SELECT DISTINCT window_index, tso, unique_id, horizon, f, unnest(q) AS cut FROM qs),
+st AS (SELECT e.window_index, e.tso, e.unique_id, e.horizon, e.f, e.cut, count(*) FILTER (x <= cut) AS nl, count(*) AS n, coalesce(sum(sign(y - base)) FILTER (x <= cut), 0) AS gl, sum(sign(y - base)) AS g
+  FROM ds_ e JOIN xs USING (window_index, tso, unique_id, horizon, f) JOIN bs USING (window_index, tso, unique_id, horizon) GROUP BY ALL),
+gn AS (SELECT *, gl::DOUBLE * gl / nl + (g - gl)::DOUBLE * (g - gl) / (n - nl) - g::DOUBLE * g / n AS gain FROM st WHERE nl >= 20 AND n - nl >= 20),
+sp AS (SELECT window_index, tso, unique_id, horizon, f, cut FROM (SELECT *, row_number() OVER (PARTITION BY window_index, tso, unique_id, horizon ORDER BY gain DESC, f, cut) AS r FROM gn WHERE gain > 1e-9) WHERE r = 1),
+nd AS (SELECT rl.*, base, coalesce(CASE f WHEN 0 THEN a WHEN 1 THEN b ELSE h END > cut, false) AS side FROM rl JOIN bs USING (window_index, tso, unique_id, horizon) LEFT JOIN sp USING (window_index, tso, unique_id, horizon)),
+lf AS (SELECT window_index, tso, unique_id, horizon, side, quantile_disc(y - base, 0.5)::DOUBLE AS leaf FROM nd WHERE role = 'train' AND y IS NOT NULL GROUP BY ALL)
+SELECT window_index, tso, unique_id, CAST(horizon AS INT) AS horizon, ds, round(base + coalesce(leaf, 0) * 0.5, 6) AS y_pred FROM nd LEFT JOIN lf USING (window_index, tso, unique_id, horizon, side) WHERE role = 'test'""",
+)
+def shf9_stumps(spark, d):
+    out = bo.rolling_boosted(
+        _horizon_rows(spark, d), _sweep_windows(spark), [*SERIES, "horizon"], ["y_lag-1", "y_lag-24", "h"], rounds=1, depth=1, bins=8, rate=0.5
+    )
+    return _r(out.select("window_index", *SERIES, "horizon", "ds", "y_pred"), "y_pred", n=6)
+
+
+@query("shf9_boosted_trees_rolling")
+def shf9_rolling(spark, d):
+    """Several rounds have no SQL form; the operator is compared with a plain loop in the tests."""
+    out = bo.rolling_boosted(
+        _horizon_rows(spark, d), _sweep_windows(spark), [*SERIES, "horizon"], ["y_lag-1", "y_lag-24", "h"], rounds=4, depth=2, bins=16, rate=0.3, patience=2
+    )
+    return _r(out.select("window_index", *SERIES, "horizon", "ds", "y_pred"), "y_pred", n=6)
+
+
 @query(
     "shf10_intermittent_demand",
     with_cte(PN)
@@ -307,10 +365,6 @@ def shf11(spark, d):
     return mo.finalize(a.unionByName(b), KEYS)
 
 
-_SWEEPW = """
-wn AS (SELECT * FROM (VALUES (0, TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-15', TIMESTAMP '2024-01-18', TIMESTAMP '2024-01-25'),
- (1, TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-19', TIMESTAMP '2024-01-22', TIMESTAMP '2024-01-29')) t(window_index, train_start, valid_start, test_start, test_end)),
-"""
 
 
 @query(
@@ -326,13 +380,7 @@ SELECT md.window_index, md.tso, md.unique_id, ds, model, 1 AS horizon, round(mt
 FROM md JOIN wn USING (window_index) JOIN dz ON dz.tso = md.tso AND dz.unique_id = md.unique_id AND ds >= test_start AND ds < test_end""",
 )
 def shf16(spark, d):
-    windows = spark.createDataFrame(
-        [(0, "2024-01-01", "2024-01-15", "2024-01-18", "2024-01-25"), (1, "2024-01-05", "2024-01-19", "2024-01-22", "2024-01-29")],
-        "window_index int, a string, b string, c string, d string",
-    ).select(
-        "window_index",
-        *[F.col(s).cast("timestamp").alias(n) for s, n in zip("abcd", ("train_start", "valid_start", "test_start", "test_end"))],
-    )
+    windows = _sweep_windows(spark)
     rows = fr.lag_design(derive.panel(spark, d), SERIES, [24])
     out = mo.sweep(
         rows, windows, SERIES, ["y_lag-24"], ["y"],
