@@ -50,38 +50,44 @@ def _grams(df: DataFrame, keys: Sequence[str], x: Sequence[str], y: Sequence[str
     )
 
 
+def _elastic(a: np.ndarray, b: np.ndarray, l1: float, l2: float, sweeps: int = 1000) -> np.ndarray:
+    """Coordinate descent on cross products."""
+    w = np.zeros(len(b))
+    diag = np.diag(a)
+    for _ in range(sweeps):
+        step = 0.0
+        for j in np.flatnonzero(diag > 0):
+            rest = b[j] - a[j] @ w + diag[j] * w[j]
+            new = np.sign(rest) * max(abs(rest) - l1, 0.0) / (diag[j] + l2)
+            step = max(step, abs(new - w[j]))
+            w[j] = new
+        if step < 1e-10:
+            break
+    return w
+
+
+def solve_gram(g: np.ndarray, n_x: int, n_y: int, alpha: float, ratio: float) -> list[list[float]]:
+    """[intercept, slopes] of each target from the cross products of [1, x, y]."""
+    n, mean = g[0, 0], g[0] / g[0, 0]
+    c = g - n * np.outer(mean, mean)
+    xx, xy = c[1 : 1 + n_x, 1 : 1 + n_x], c[1 : 1 + n_x, 1 + n_x :]
+    out = []
+    for k in range(n_y):
+        if ratio == 0:
+            w = np.linalg.pinv(xx + alpha * np.eye(n_x), hermitian=True) @ xy[:, k]
+        else:
+            w = _elastic(xx / n, xy[:, k] / n, alpha * ratio, alpha * (1 - ratio))
+        out.append([float(mean[1 + n_x + k] - mean[1 : 1 + n_x] @ w), *w.tolist()])
+    return out
+
+
 def _solver(n_x: int, n_y: int):
-    """UDF: coefficients [intercept, slopes] of each target from one Gram matrix."""
-
-    def elastic(a: np.ndarray, b: np.ndarray, l1: float, l2: float, sweeps: int = 1000) -> np.ndarray:
-        w = np.zeros(len(b))
-        diag = np.diag(a)
-        for _ in range(sweeps):
-            step = 0.0
-            for j in np.flatnonzero(diag > 0):
-                rest = b[j] - a[j] @ w + diag[j] * w[j]
-                new = np.sign(rest) * max(abs(rest) - l1, 0.0) / (diag[j] + l2)
-                step = max(step, abs(new - w[j]))
-                w[j] = new
-            if step < 1e-10:
-                break
-        return w
+    """UDF: coefficients of each target from one Gram matrix."""
 
     @F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
     def solve(gram: pd.Series, alpha: pd.Series, l1_ratio: pd.Series) -> pd.Series:
         def one(flat, a, ratio) -> list[list[float]]:
-            g = np.asarray(flat, dtype=float).reshape(1 + n_x + n_y, -1)
-            n, mean = g[0, 0], g[0] / g[0, 0]
-            c = g - n * np.outer(mean, mean)
-            xx, xy = c[1 : 1 + n_x, 1 : 1 + n_x], c[1 : 1 + n_x, 1 + n_x :]
-            out = []
-            for k in range(n_y):
-                if ratio == 0:
-                    w = np.linalg.pinv(xx + a * np.eye(n_x), hermitian=True) @ xy[:, k]
-                else:
-                    w = elastic(xx / n, xy[:, k] / n, a * ratio, a * (1 - ratio))
-                out.append([float(mean[1 + n_x + k] - mean[1 : 1 + n_x] @ w), *w.tolist()])
-            return out
+            return solve_gram(np.asarray(flat, dtype=float).reshape(1 + n_x + n_y, -1), n_x, n_y, a, ratio)
 
         return pd.Series([one(*v) for v in zip(gram, alpha, l1_ratio)])
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidegrid.operators import boosting as bo, features as ft, frames as fr, models as mo
+from tidegrid.operators import boosting as bo, features as ft, frames as fr, models as mo, sweeps as sw
 from tidegrid.operators.joins import to_wide
 from tidegrid.plans import derive
 from tidegrid.plans.derive import HS, PN, PR, with_cte
@@ -387,3 +387,60 @@ def shf16(spark, d):
         [("ridge_alpha_1p0", 1.0, 0.0), ("ridge_alpha_900p0", 900.0, 0.0)],
     )
     return _r(out, "y_pred", n=6)
+
+
+# ridge of up to three lags: cross products of the rows that have ``size`` lags inside the window, adjugate of the 3 x 3 matrix
+_NESTED = """
+og AS (SELECT tso, unique_id, ds, y AS t1, lead(y, 1) OVER w AS t2, lag(y, 1) OVER w AS a, lag(y, 2) OVER w AS b, lag(y, 3) OVER w AS c FROM pn WINDOW w AS (PARTITION BY tso, unique_id ORDER BY ds)),
+sz AS (SELECT unnest([1, 2, 3]) AS size),
+tr AS (SELECT window_index, size, tso, unique_id, a, CASE WHEN size > 1 THEN b ELSE 0 END AS b, CASE WHEN size > 2 THEN c ELSE 0 END AS c, unnest([1, 2]) AS horizon, unnest([t1, t2]) AS t
+  FROM og JOIN wn ON ds < valid_start - INTERVAL 1 HOUR CROSS JOIN sz
+  WHERE ds >= train_start + to_hours(CAST(size AS INT)) AND t2 IS NOT NULL AND (size > 2 OR a IS NOT NULL) AND (size < 2 OR b IS NOT NULL) AND (size < 3 OR c IS NOT NULL)),
+mo AS (SELECT window_index, size, tso, unique_id, horizon, count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, avg(t) AS mt,
+  covar_pop(a, a) * count(*) AS aa, covar_pop(a, b) * count(*) AS ab, covar_pop(a, c) * count(*) AS ac, covar_pop(b, b) * count(*) AS bb, covar_pop(b, c) * count(*) AS bc, covar_pop(c, c) * count(*) AS cc,
+  covar_pop(a, t) * count(*) AS at_, covar_pop(b, t) * count(*) AS bt, covar_pop(c, t) * count(*) AS ct FROM tr GROUP BY ALL),
+md AS (SELECT * REPLACE (aa + alpha AS aa, bb + alpha AS bb, cc + alpha AS cc) FROM (SELECT *, unnest(['ridge_alpha_5p0', 'ridge_alpha_900p0']) AS model, unnest([5.0, 900.0]) AS alpha FROM mo)),
+aj AS (SELECT *, bb * cc - bc * bc AS p, ac * bc - ab * cc AS q, ab * bc - ac * bb AS r, aa * cc - ac * ac AS s, ab * ac - aa * bc AS u, aa * bb - ab * ab AS v FROM md),
+dt AS (SELECT *, aa * p + ab * q + ac * r AS det FROM aj),
+cf AS (SELECT window_index, size, tso, unique_id, horizon, model, ma, mb, mc, mt, (p * at_ + q * bt + r * ct) / det AS wa, (q * at_ + s * bt + u * ct) / det AS wb, (r * at_ + u * bt + v * ct) / det AS wc FROM dt)
+SELECT window_index, tso, unique_id, og.ds + to_hours(CAST(horizon - 1 AS INT)) AS ds, model, CAST(size AS INT) AS input_size, CAST(horizon AS INT) AS horizon,
+  round(mt + wa * (a - ma) + CASE WHEN size > 1 THEN wb * (b - mb) ELSE 0 END + CASE WHEN size > 2 THEN wc * (c - mc) ELSE 0 END, 5) AS y_pred
+FROM cf JOIN wn USING (window_index) JOIN og USING (tso, unique_id)
+WHERE og.ds >= test_start AND og.ds < test_end AND (epoch(og.ds) - epoch(test_start)) % 7200 = 0 AND og.ds + to_hours(CAST(horizon - 1 AS INT)) < test_end
+"""
+
+
+@query("shf16_nested_input_sizes", with_cte(PN) + "," + _SWEEPW + _NESTED)
+def shf16_nested(spark, d):
+    out = sw.linear_sweep(
+        derive.panel(spark, d), _sweep_windows(spark), SERIES, sw.Design((1, 2, 3), horizon=2),
+        [("ridge_alpha_5p0", 5.0, 0.0), ("ridge_alpha_900p0", 900.0, 0.0)],
+    )
+    return _r(out, "y_pred", n=5)
+
+
+@query(
+    "shf16_intermittent_sweep",
+    with_cte(PN)
+    + ","
+    + _SWEEPW
+    + """og AS (SELECT DISTINCT window_index, tso, unique_id, train_start, date_trunc('day', ds) AS origin FROM pn JOIN wn ON ds >= test_start AND ds < test_end),
+hs_ AS (SELECT window_index, og.tso, og.unique_id, origin, list(CASE WHEN y > 0 THEN 1.0 ELSE 0.0 END::DOUBLE ORDER BY ds) AS ps, list(y::DOUBLE ORDER BY ds) FILTER (WHERE y > 0) AS ys
+ FROM og JOIN pn ON pn.tso = og.tso AND pn.unique_id = og.unique_id AND pn.ds < origin AND pn.ds >= train_start GROUP BY ALL),
+pr_ AS (SELECT * EXCLUDE (ps, ys), 'croston_tsb_ad0p1_ap0p3' AS model, list_reduce(ps, lambda a, x: (0.7::DOUBLE * a + 0.3::DOUBLE * x)::DOUBLE) * coalesce(list_reduce(ys, lambda a, x: (0.9::DOUBLE * a + 0.1::DOUBLE * x)::DOUBLE), 0) AS f FROM hs_
+ UNION ALL SELECT * EXCLUDE (ps, ys), 'croston_tsb_ad0p2_ap0p1', list_reduce(ps, lambda a, x: (0.9::DOUBLE * a + 0.1::DOUBLE * x)::DOUBLE) * coalesce(list_reduce(ys, lambda a, x: (0.8::DOUBLE * a + 0.2::DOUBLE * x)::DOUBLE), 0) FROM hs_)
+SELECT window_index, tso, unique_id, origin + to_hours(CAST(h AS INT)) AS ds, model, CAST(h + 1 AS INT) AS horizon, round(f, 6) AS y_pred
+FROM pr_, range(24) t(h)""",
+)
+def shf16_intermittent(spark, d):
+    out = sw.intermittent_sweep(derive.panel(spark, d), _sweep_windows(spark), SERIES, [(0.1, 0.3), (0.2, 0.1)])
+    return _r(out.drop("input_size"), "y_pred", n=6)
+
+
+@query("shf16_tree_sweep")
+def shf16_trees(spark, d):
+    """No SQL form; the tests compare one arm with the trees fitted alone."""
+    out = sw.tree_sweep(
+        derive.panel(spark, d), _sweep_windows(spark), SERIES, sw.Design((1, 24), horizon=2), [20], rounds=1, depth=2, bins=8, rate=0.5
+    )
+    return _r(out, "y_pred", n=6)
