@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegrid.operators.chunked import join_null_safe
+
 # Feature name patterns and their group, first match wins.
 GROUPS = [
     (r"^stat_exog_", "static_covariates"),
@@ -61,7 +63,7 @@ def shares(
     share = F.coalesce(F.try_divide(F.col("_a"), total), F.lit(0.0))
     sums = parts.withColumn("_s", share).groupBy(*keep, "label").agg(F.sum("_s").alias("_s"))
     n = df.groupBy(*sample).agg(F.lit(1).alias("_one")).groupBy(*keep).agg(F.count(F.lit(1)).alias("n_predictions"))
-    return sums.join(n, list(keep)).select(
+    return join_null_safe(sums, n, keep).select(
         *keep, "label", (F.col("_s") / F.col("n_predictions")).alias("share"), "n_predictions"
     )
 
@@ -164,7 +166,7 @@ def importance(
     rows = strides
     if drop_last:
         last = strides.groupBy(*model).agg(F.max("feature").alias("_last"))
-        rows = strides.join(last, list(model)).where(F.col("feature") < F.col("_last")).drop("_last")
+        rows = join_null_safe(strides, last, model).where(F.col("feature") < F.col("_last")).drop("_last")
     avg = rows.groupBy(*keys, batch, "feature").agg(F.avg("value").alias("_v"))
     tot = avg.groupBy(*keys, "feature").agg(
         F.sum(F.abs("_v")).alias("abs_combined"),
@@ -271,8 +273,10 @@ def profile_distance(df: DataFrame, model: Sequence[str], profile: Sequence[str]
     )
 
 
-def cluster_means(df: DataFrame, clusters: DataFrame, keys: Sequence[str], collapse: Callable[[Column], Column] = F.avg) -> DataFrame:
-    """Profile of each cluster from a (feature, cluster) table."""
-    return df.join(clusters, "feature").groupBy(*keys, "cluster").agg(
+def cluster_means(
+    df: DataFrame, clusters: DataFrame, keys: Sequence[str], collapse: Callable[[Column], Column] = F.avg, model: Sequence[str] = ()
+) -> DataFrame:
+    """Profile of each cluster from a (feature, cluster) table, or from one with ``model`` keys of its own."""
+    return join_null_safe(df, clusters, ["feature", *model]).groupBy(*keys, "cluster").agg(
         collapse(F.col("value")).alias("value"), F.count_distinct("feature").alias("n_features")
     )

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.functions.stats import fbeta
-from tidegrid.operators.chunked import running_sum
+from tidegrid.operators.chunked import join_null_safe, running_sum
 from tidegrid.session import cut_lineage
 
 Draw = Callable[[Column, Column], Column]
@@ -90,21 +90,39 @@ def fixed_blocks(
 def stationary_blocks(
     sizes: DataFrame, keys: Sequence[str], reps: int, mean_len: Column, draw: Draw
 ) -> DataFrame:
-    """Blocks of geometric length on the circle: a new block starts with probability 1/mean_len."""
+    """Blocks of geometric length on the circle: each row begins a new block with probability 1/mean_len.
+
+    Lengths come from the inverse of their distribution, one draw a block, so a replicate costs about n / mean_len rows. Nearly always the
+    first handful of blocks beyond that number covers the series; a replicate that they don't cover draws on, n blocks at most.
+    """
     from pyspark.sql import Window
 
     replicate = _spread(
         sizes.withColumn("_l", mean_len).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))),
         [*keys, "rep"],
     )
-    steps = replicate.withColumn("_t", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
-    u = F.pmod(draw(F.col("rep"), F.col("_t") * 2 + 1), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    starts = steps.where((F.col("_t") == 0) | (u < F.lit(1.0) / F.col("_l"))).withColumn(
-        "start", F.pmod(draw(F.col("rep"), F.col("_t") * 2), F.col("n"))
+    stop = F.lit(1.0) / F.col("_l")
+
+    def length(block: Column) -> Column:
+        u = F.pmod(draw(F.col("rep"), block * 2 + 1), F.lit(1_000_003)) / F.lit(1_000_003.0)
+        return F.when(stop >= 1, F.lit(1)).otherwise(F.floor(F.log(1 - u) / F.log(1 - stop)) + 1).cast("long")
+
+    def covered(blocks: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(0), blocks - 1), F.lit(0).cast("long"), lambda a, block: a + length(block))
+
+    usual = F.least(F.col("n"), F.ceil(F.col("n") * stop + 4 * F.sqrt(F.col("n") * stop) + 8)).cast("int")
+    drawn = (
+        replicate.withColumn("_m", usual)
+        .withColumn("_m", F.when(covered(F.col("_m")) >= F.col("n"), F.col("_m")).otherwise(F.col("n")).cast("int"))
+        .withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
+        .withColumn("_len", length(F.col("_block")))
+    )
+    w = Window.partitionBy(*keys, "rep").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = drawn.withColumn("_at", F.coalesce(F.sum("_len").over(w), F.lit(0))).where(F.col("_at") < F.col("n"))
+    return blocks.select(
+        *keys, "n", "rep", F.pmod(draw(F.col("rep"), F.col("_block") * 2), F.col("n")).alias("start"),
+        F.least(F.col("_len"), F.col("n") - F.col("_at")).alias("len"),
     )
-    w = Window.partitionBy(*keys, "rep").orderBy("_t")
-    nxt = F.coalesce(F.lead("_t").over(w), F.col("n"))
-    return starts.withColumn("len", nxt - F.col("_t")).select(*keys, "n", "rep", "start", "len")
 
 
 def replicate_sums(
@@ -122,7 +140,7 @@ def replicate_sums(
         .select(*keys, "rep", F.col("p.pos").cast("long").alias("pos"), F.col("p.sign").alias("sign"))
         .where("pos > 0")
     )
-    return marks.join(prefix, [*keys, "pos"]).groupBy(*keys, "rep").agg(
+    return join_null_safe(marks, prefix, [*keys, "pos"]).groupBy(*keys, "rep").agg(
         *[F.sum(F.col("sign") * F.col(c)).alias(c) for c in cols]
     )
 
@@ -209,23 +227,83 @@ def dominance(sup: DataFrame, series: Sequence[str], slices: Sequence[str] = ())
 
 def mean_interval(
     df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], bucket: Column,
-    reps: int = 500, alpha: float = 0.05, draw: Draw | None = None,
+    reps: int = 500, alpha: float = 0.05, draw: Draw | None = None, seed: int = 11,
 ) -> DataFrame:
-    """Percentile interval of the mean from independent draws of single rows."""
-    from tidegrid.operators.chunked import row_position
+    """Percentile interval of the mean from independent draws of single rows.
 
-    draw = draw or hashed_draw(11, keys)
-    rows = cut_lineage(
-        row_position(df, keys, order, bucket, "pos").select(*keys, "pos", F.col(value).alias("_v"))
-    )
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    draws = fixed_blocks(sizes, keys, reps, 1, draw, circular=True).select(
-        *keys, "rep", F.col("start").cast("long").alias("pos")
-    )
-    means = draws.join(rows, [*keys, "pos"]).groupBy(*keys, "rep").agg(F.avg("_v").alias("_m"))
+    Without ``draw`` no row is joined: see ``drawn_sums``. A ``draw`` of (replicate, number) names every drawn position itself
+    and joins replicates with rows, for draws that have to be repeated elsewhere.
+    """
+    if draw is None:
+        sums = drawn_sums(df, keys, value, order, bucket, reps, seed)
+        means = sums.withColumn("_m", F.try_divide("sum", "n"))
+    else:
+        from tidegrid.operators.chunked import row_position
+
+        rows = cut_lineage(
+            row_position(df, keys, order, bucket, "pos").select(*keys, "pos", F.col(value).alias("_v"))
+        )
+        sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        draws = fixed_blocks(sizes, keys, reps, 1, draw, circular=True).select(
+            *keys, "rep", F.col("start").cast("long").alias("pos")
+        )
+        means = join_null_safe(draws, rows, [*keys, "pos"]).groupBy(*keys, "rep").agg(F.avg("_v").alias("_m"))
     q = F.percentile("_m", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
     return means.groupBy(*keys).agg(q.alias("_q")).select(
         *keys, F.col("_q")[0].alias("low"), F.col("_q")[1].alias("high")
     )
 
 
+#: Neighbouring rows that a task draws from at once.
+DRAW_ROWS = 4096
+
+
+def drawn_sums(
+    df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], bucket: Column, reps: int = 500, seed: int = 11, size: int = DRAW_ROWS
+) -> DataFrame:
+    """(keys, rep, sum, n): total and count of the non-null values among as many independent draws as a series has rows.
+
+    How many draws fall into which ``size`` neighbouring rows is multinomial. It is split downwards: the halves of a span share its draws
+    by a binomial number that follows from (seed, series, span), so every task finds the count of its own rows by itself and then draws
+    them. Rows move once; a replicate leaves one number for each ``size`` rows.
+    """
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    from tidegrid.operators.chunked import row_position
+
+    keys = list(keys)
+    placed = row_position(df, keys, order, bucket, "_pos").select(*keys, "_pos", F.col(value).cast("double").alias("_v"))
+    sizes = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    salt = F.xxhash64(F.lit(seed), *[F.coalesce(F.col(k).cast("string"), F.lit("\0")) for k in keys])
+    rows = join_null_safe(placed, sizes, keys).withColumns({"_part": F.floor(F.col("_pos") / size), "_salt": salt})
+
+    def run(group: pa.Table) -> pa.Table:
+        n, part, own = (group[c][0].as_py() for c in ("_n", "_part", "_salt"))
+        order = np.argsort(group["_pos"].to_numpy(), kind="stable")
+        values = group["_v"].to_numpy().astype(float)[order]
+
+        def numbers(*place: int) -> np.random.Generator:
+            return np.random.default_rng([own & (2**64 - 1), *place])
+
+        counts, lo, hi = np.full(reps, n), 0, -(-n // size)
+        while hi - lo > 1:
+            middle = (lo + hi) // 2
+            rows_left, rows_all = (middle - lo) * size, min(hi * size, n) - lo * size
+            left = numbers(0, lo, hi).binomial(counts, rows_left / rows_all)
+            counts, lo, hi = (left, lo, middle) if part < middle else (counts - left, middle, hi)
+        known = ~np.isnan(values)
+        told = np.where(known, values, 0.0)
+        draws = numbers(1, part)
+        sums, seen = np.empty(reps), np.empty(reps, int)
+        for r, m in enumerate(counts.tolist()):
+            at = draws.integers(0, len(values), m)
+            sums[r], seen[r] = told[at].sum(), known[at].sum()
+        out = {k: pa.chunked_array([pa.concat_arrays([group[k].slice(0, 1).combine_chunks()] * reps)]) for k in keys}
+        return pa.table(out | {"rep": pa.array(range(reps), pa.int32()), "_s": sums, "_c": pa.array(seen, pa.int64())})
+
+    fields = [f for k in keys for f in df.schema.fields if f.name == k]
+    more = [T.StructField("rep", T.IntegerType()), T.StructField("_s", T.DoubleType()), T.StructField("_c", T.LongType())]
+    parts = rows.groupBy(*keys, "_part").applyInArrow(run, T.StructType([*fields, *more]))
+    return parts.groupBy(*keys, "rep").agg(F.sum("_s").alias("sum"), F.sum("_c").alias("n"))

@@ -29,6 +29,11 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(right.withColumnsRenamed(names), cond, how).drop(*names.values())
 
 
+def _one_key(keys: Sequence[str]) -> Column:
+    """All keys as one value: null equals null in joins on it, and windows, sums and joins share one partitioning."""
+    return F.struct(*keys) if keys else F.lit(0)
+
+
 def hour_index(ts: str | Column) -> Column:
     """Hours since 1970; the row position of a complete hourly grid."""
     c = F.col(ts) if isinstance(ts, str) else ts
@@ -85,18 +90,18 @@ def row_position(
     ``bucket`` must rise with the order (a month or a day of the time column).
     """
     keys, order = list(keys), list(order)
-    rows = df.withColumn("_rp_b", bucket)
-    sizes = rows.groupBy(*keys, "_rp_b").agg(F.count(F.lit(1)).alias("_rp_n"))
-    before = Window.partitionBy(*keys).orderBy("_rp_b").rowsBetween(Window.unboundedPreceding, -1)
+    rows = df.withColumns({"_rp_k": _one_key(keys), "_rp_b": bucket})
+    sizes = rows.groupBy("_rp_k", "_rp_b").agg(F.count(F.lit(1)).alias("_rp_n"))
+    before = Window.partitionBy("_rp_k").orderBy("_rp_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
-        *keys, "_rp_b", F.coalesce(F.sum("_rp_n").over(before), F.lit(0)).alias("_rp_off")
+        "_rp_k", "_rp_b", F.coalesce(F.sum("_rp_n").over(before), F.lit(0)).alias("_rp_off")
     )
-    inside = Window.partitionBy(*keys, "_rp_b").orderBy(*order)
+    inside = Window.partitionBy("_rp_k", "_rp_b").orderBy(*order)
     return (
         rows.withColumn("_rp_rn", F.row_number().over(inside) - 1)
-        .join(offsets, [*keys, "_rp_b"])
+        .join(offsets, ["_rp_k", "_rp_b"])
         .withColumn(name, (F.col("_rp_rn") + F.col("_rp_off")).cast("long"))
-        .drop("_rp_b", "_rp_rn", "_rp_off")
+        .drop("_rp_k", "_rp_b", "_rp_rn", "_rp_off")
     )
 
 
@@ -118,11 +123,11 @@ def carry_last(
     keys = list(keys)
 
     def valued(table: DataFrame) -> DataFrame:
-        return table.withColumns({"_b": bucket, **{f"_v_{n}": v for n, v in cols.items()}})
+        return table.withColumns({"_k": _one_key(keys), "_b": bucket, **{f"_v_{n}": v for n, v in cols.items()}})
 
     rows = valued(df)
     edge = F.min_by if following else F.max_by
-    ends = (rows if source is None else valued(source)).groupBy(*keys, "_b").agg(
+    ends = (rows if source is None else valued(source)).groupBy("_k", "_b").agg(
         *[
             edge(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.col(order))).alias(f"_e_{n}")
             for n in cols
@@ -130,23 +135,23 @@ def carry_last(
     )
     outer_order = F.col("_b").desc() if following else F.col("_b").asc()
     outside = (
-        Window.partitionBy(*keys).orderBy(outer_order).rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("_k").orderBy(outer_order).rowsBetween(Window.unboundedPreceding, -1)
     )
     carries = ends.select(
-        *keys, "_b", *[F.last(f"_e_{n}", True).over(outside).alias(f"_c_{n}") for n in cols]
+        "_k", "_b", *[F.last(f"_e_{n}", True).over(outside).alias(f"_c_{n}") for n in cols]
     )
     inner_order = F.col(order).desc() if following else F.col(order).asc()
     inside = (
-        Window.partitionBy(*keys, "_b")
+        Window.partitionBy("_k", "_b")
         .orderBy(inner_order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     out = rows.select(
         "*", *[F.last(f"_v_{n}", True).over(inside).alias(f"_i_{n}") for n in cols]
-    ).join(carries, [*keys, "_b"])
+    ).join(carries, ["_k", "_b"])
     for n in cols:
         out = out.withColumn(n, F.coalesce(f"_i_{n}", f"_c_{n}"))
-    return out.drop("_b", *[f"_{p}_{n}" for n in cols for p in "vic"])
+    return out.drop("_k", "_b", *[f"_{p}_{n}" for n in cols for p in "vic"])
 
 
 def running_sum(
@@ -154,27 +159,27 @@ def running_sum(
 ) -> DataFrame:
     """Inclusive running sums inside a series, by two levels."""
     keys = list(keys)
-    rows = df.withColumn("_b", bucket)
+    rows = df.withColumns({"_k": _one_key(keys), "_b": bucket})
     for name, value in cols.items():
         rows = rows.withColumn(f"_v_{name}", value)
-    totals = rows.groupBy(*keys, "_b").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in cols])
-    outside = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("_k", "_b").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in cols])
+    outside = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *keys,
+        "_k",
         "_b",
         *[F.coalesce(F.sum(f"_t_{n}").over(outside), F.lit(0)).alias(f"_o_{n}") for n in cols],
     )
     inside = (
-        Window.partitionBy(*keys, "_b")
+        Window.partitionBy("_k", "_b")
         .orderBy(order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     out = rows.select(
         "*", *[F.sum(f"_v_{n}").over(inside).alias(f"_i_{n}") for n in cols]
-    ).join(offsets, [*keys, "_b"])
+    ).join(offsets, ["_k", "_b"])
     for n in cols:
         out = out.withColumn(n, F.coalesce(F.col(f"_i_{n}"), F.lit(0)) + F.col(f"_o_{n}"))
-    return out.drop("_b", *[f"_{p}_{n}" for n in cols for p in "vio"])
+    return out.drop("_k", "_b", *[f"_{p}_{n}" for n in cols for p in "vio"])
 
 
 def exact_quantiles(

@@ -14,6 +14,7 @@ from tidegrid.operators.chunked import (
     chunk_window,
     home_rows,
     hour_index,
+    join_null_safe,
     row_position,
     with_halo,
 )
@@ -59,9 +60,7 @@ def compare_sets(
 ) -> DataFrame:
     """Same models in two prediction sets, paired on their keys."""
     on = [*keys, "ds", "horizon"]
-    pair = a.select(*on, "y", F.col("y_pred").alias("_p1")).join(
-        b.select(*on, F.col("y_pred").alias("_p2")), on
-    )
+    pair = join_null_safe(a.select(*on, "y", F.col("y_pred").alias("_p1")), b.select(*on, F.col("y_pred").alias("_p2")), on)
     e1, e2 = F.col("y") - F.col("_p1"), F.col("y") - F.col("_p2")
     return dm_test(pair, keys, e1 * e1 - e2 * e2, horizon, "ds", dense)
 

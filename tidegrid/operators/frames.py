@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.functions.timeutil import add_calendar
-from tidegrid.operators.chunked import chunk_window, home_rows, hour_index, row_position, with_halo
+from tidegrid.operators.chunked import chunk_window, home_rows, hour_index, join_null_safe, row_position, with_halo
 
 CALENDAR = ["hour", "day", "month", "is_weekend", "is_holiday", "is_workday"]
 
@@ -146,14 +146,14 @@ def circular_shift(
 def _circular(rows: DataFrame, keys: Sequence[str], cols: Sequence[str], hours: int, period: int | None) -> DataFrame:
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     size = F.col("_n") if period is None else F.least(F.lit(period), F.col("_n"))
-    moved = rows.join(sizes, list(keys)).withColumn("_t", size).withColumn(
+    moved = join_null_safe(rows, sizes, keys).withColumn("_t", size).withColumn(
         "_src",
         F.when(F.pmod(F.lit(hours), F.col("_t")) == 0, F.col("_rn")).otherwise(
             F.pmod(F.col("_rn") + F.lit(hours), F.col("_t"))
         ),
     )
     source = rows.select(*keys, F.col("_rn").alias("_src"), *[F.col(c).alias(f"_m_{c}") for c in cols])
-    out = moved.drop(*cols).join(source, [*keys, "_src"])
+    out = join_null_safe(moved.drop(*cols), source, [*keys, "_src"])
     return out.select(
         *[F.col(f"_m_{c}").alias(c) if c in cols else F.col(c) for c in rows.columns if c != "_rn"]
     )
@@ -183,7 +183,7 @@ def standard_scaler(
 def scale(df: DataFrame, scaler: DataFrame, keys: Sequence[str], value: str = "value", inverse: bool = False) -> DataFrame:
     v = F.col(value)
     new = v * F.col("scale") + F.col("centre") if inverse else (v - F.col("centre")) / F.col("scale")
-    return df.join(scaler, list(keys)).withColumn(value, new).drop("centre", "scale")
+    return join_null_safe(df, scaler, keys).withColumn(value, new).drop("centre", "scale")
 
 
 def lag_design(
@@ -291,7 +291,7 @@ def dataset_compatibility(old: DataFrame, new: DataFrame, keys: Sequence[str], v
 def tail_rows(df: DataFrame, keys: Sequence[str], n: int, ts: str = "ds") -> DataFrame:
     """Last n hours of each series on a complete grid: a maximum per series, no ordering of the rows."""
     ends = df.groupBy(*keys).agg(F.max(ts).alias("_end"))
-    return df.join(ends, list(keys)).where(
+    return join_null_safe(df, ends, keys).where(
         F.col(ts) > F.expr(f"_end - make_dt_interval(0, {n})")
     ).drop("_end")
 
@@ -301,7 +301,7 @@ def history_before(
 ) -> DataFrame:
     """Actual values from ``hours`` before the first forecast of a window to its last one."""
     spans = predictions.groupBy(*keys, window).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
-    return actuals.join(spans, list(keys)).where(
+    return join_null_safe(actuals, spans, keys).where(
         (F.col(ts) >= F.expr(f"_lo - make_dt_interval(0, {hours})")) & (F.col(ts) <= F.col("_hi"))
     ).drop("_lo", "_hi")
 

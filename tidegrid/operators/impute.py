@@ -105,7 +105,7 @@ def gap_position(df: DataFrame, keys: Sequence[str], value: str = "value", ts: s
     )
     first = df.groupBy(*keys).agg(F.min(pos).alias("_first"))
     return (
-        seen.join(first, list(keys))
+        join_null_safe(seen, first, keys)
         .withColumn(
             "gap_position",
             F.when(F.col(value).isNotNull(), 0)
@@ -192,7 +192,7 @@ def _cells(
         return cells
     # a series without any fitted value falls back to the median of all its values
     whole = df.groupBy(*ks).agg(F.percentile(value, F.lit(0.5)).alias("_whole"))
-    return cells.join(whole, ks).withColumn("_global", F.coalesce("_global", "_whole")).drop("_whole")
+    return join_null_safe(cells, whole, ks).withColumn("_global", F.coalesce("_global", "_whole")).drop("_whole")
 
 
 def tiered_fill(
@@ -216,7 +216,7 @@ def _tiered(
     One formula serves every rule: its parameters are columns of the one-row-per-series table.
     """
     cells = _cells(df, keys, rules, fit, value, ts, metric).withColumn("_r", F.get(_rule_table(rules), "_rule"))
-    joined = df.join(cells.drop("_rule"), list(keys), "left")
+    joined = join_null_safe(df, cells.drop("_rule"), keys, "left")
     joined = joined.withColumns(
         {
             "_t1": F.when(F.col("_r.hm"), F.get("_hm", F.hour(ts) * 12 + F.month(ts) - 1)),

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegrid.operators.chunked import join_null_safe
 from tidegrid.operators.densify import aggregate_on_grid
 
 HOUR_US = 3_600_000_000
@@ -208,9 +209,7 @@ def isolated_intervals(
     )
     earlier = F.max("_end").over(inside.rowsBetween(Window.unboundedPreceding, -1))
     return (
-        begins.withColumn("_ie", earlier)
-        .withColumn("_ib", F.lead("_at").over(inside))
-        .join(edges, [*keys, "_b"])
+        join_null_safe(begins.withColumn("_ie", earlier).withColumn("_ib", F.lead("_at").over(inside)), edges, [*keys, "_b"])
         .where(
             "_n = 1 AND coalesce(greatest(_ie, _pe) < _at, true) AND coalesce(coalesce(_ib, _nb) > _end, true)"
         )

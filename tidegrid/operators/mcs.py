@@ -26,6 +26,7 @@ from tidegrid.operators.bootstrap import (
     stationary_blocks,
     wide_rows,
 )
+from tidegrid.operators.chunked import join_null_safe
 
 
 def absolute_loss(y: Column, p: Column) -> Column:
@@ -88,7 +89,7 @@ def replicate_losses(
         F.array(*[F.max_by(c, "pos") for c in cols]).alias("_t"),
     )
     mean = F.transform("_t", lambda x: x / F.col("n"))
-    out = sums.join(ends, list(keys)).select(
+    out = join_null_safe(sums, ends, keys).select(
         *keys, "rep", F.array(*[F.col(c) / F.col("n") for c in cols]).alias("_b"), mean.alias("d")
     )
     return out.withColumn("c", F.zip_with("_b", "d", lambda b, d: b - d)).drop("_b")
@@ -151,7 +152,7 @@ def model_confidence_set(
     plan = plan.withColumn("_alive", alive).withColumn(
         "_obs", F.transform("_alive", lambda s: value("d", s))
     )
-    beyond = losses.drop("d").join(plan, list(keys)).withColumn(
+    beyond = join_null_safe(losses.drop("d"), plan, keys).withColumn(
         "_boot", F.transform("_alive", lambda s: value("c", s))
     )
     hits = beyond.groupBy(*keys).agg(
@@ -168,9 +169,9 @@ def model_confidence_set(
         ]
     )
     names = F.array(*[F.lit(x) for x in models])
-    rows = hits.select(*keys, "_order", F.explode(steps).alias("s")).select(
-        *keys, F.get(names, F.get("_order", F.col("s.round"))).alias("model"),
-        F.col("s.round").alias("round"), F.col("s.p").alias("_p"),
+    rows = hits.select(*keys, "_order", F.explode(steps).alias("_step")).select(
+        *keys, F.get(names, F.get("_order", F.col("_step.round"))).alias("model"),
+        F.col("_step.round").alias("round"), F.col("_step.p").alias("_p"),
     )
     # at most one row per model and series
     upto = Window.partitionBy(*keys).orderBy("round").rowsBetween(Window.unboundedPreceding, 0)

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidegrid.operators.chunked import join_null_safe
+
 GRAM_KEYS_PER_TASK = 512
 
 
@@ -125,7 +127,7 @@ def predict_linear(
     df: DataFrame, coefficients: DataFrame, keys: Sequence[str], x: Sequence[str], ts: str = "ds"
 ) -> DataFrame:
     """(keys, ts, model, horizon, y_pred) for every target of the fitted rows."""
-    joined = df.join(coefficients, list(keys))
+    joined = join_null_safe(df, coefficients, keys)
     values = F.array(F.lit(1.0), *[F.col(c).cast("double") for c in x])
     return joined.withColumn("_x", values).select(
         *keys, ts, "model", F.posexplode("coef").alias("_k", "_c"), "_x"
@@ -221,10 +223,8 @@ def intermittent_demand(
     earlier = Window.partitionBy(*keys).orderBy("_month").rowsBetween(Window.unboundedPreceding, -1)
     months = months.select(*keys, "_month", fold(F.collect_list("mm").over(earlier)).alias("_before"))
     inside = Window.partitionBy(*keys, "_month").orderBy("_day").rowsBetween(Window.unboundedPreceding, 0)
-    state = (
-        days.withColumn("_in", fold(F.collect_list("m").over(inside)))
-        .join(months, [*keys, "_month"])
-        .join(first, list(keys))
+    state = join_null_safe(
+        join_null_safe(days.withColumn("_in", fold(F.collect_list("m").over(inside))), months, [*keys, "_month"]), first, keys
     )
 
     def level(a: str, b: str, start: str) -> Column:

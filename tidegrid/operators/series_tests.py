@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegrid.functions.stats import chi2_tail
-from tidegrid.operators.chunked import chunk_window, home_rows, hour_index, running_sum, with_halo
+from tidegrid.operators.chunked import chunk_window, home_rows, hour_index, join_null_safe, running_sum, with_halo
 
 
 def centred(df: DataFrame, keys: Sequence[str], y: str = "y") -> DataFrame:
     """Adds ``_c``: value minus the mean of its series (one row per series is joined)."""
     means = df.groupBy(*keys).agg(F.avg(y).alias("_mean"))
-    return df.join(means, list(keys)).withColumn("_c", F.col(y) - F.col("_mean"))
+    return join_null_safe(df, means, keys).withColumn("_c", F.col(y) - F.col("_mean"))
 
 
 def _lagged(df: DataFrame, keys: Sequence[str], value: str, lags: Sequence[int], ts: str) -> DataFrame:
@@ -145,7 +145,7 @@ def adf(df: DataFrame, keys: Sequence[str], lags: int = 24, y: str = "y", ts: st
 def ar_residuals(df: DataFrame, keys: Sequence[str], order: int = 1, y: str = "y", ts: str = "ds") -> DataFrame:
     """Residuals of an AR model with Yule–Walker coefficients; the first ``order`` rows are null."""
     coef = acf(df, keys, order, y, ts).select(*keys, yule_walker()("acf")["phi"].alias("_phi"))
-    rows = _lagged(centred(df, keys, y), keys, "_c", list(range(1, order + 1)), ts).join(coef, list(keys))
+    rows = join_null_safe(_lagged(centred(df, keys, y), keys, "_c", list(range(1, order + 1)), ts), coef, keys)
     fit: Column = F.lit(0.0)
     for k in range(1, order + 1):
         fit = fit + F.col("_phi")[k - 1] * F.col(f"_l{k}")
@@ -166,8 +166,8 @@ def ljung_box(
     for k in range(1, lags + 1):
         q = q + F.pow(F.col("acf")[k], 2) / (n - k)
     return (
-        a.withColumn("ljung_box", n * (n + 2) * q)
+        join_null_safe(a, moments, keys)
+        .withColumn("ljung_box", n * (n + 2) * q)
         .withColumn("p_value", chi2_tail(F.col("ljung_box"), lags))
-        .join(moments, list(keys))
         .select(*keys, "ljung_box", "p_value", "residual_mean", "residual_std")
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidegrid.operators import attribution as at
+from tidegrid.operators import attribution as at, clusters as cl
 from tidegrid.plans import derive
 from tidegrid.plans.derive import with_cte
 from tidegrid.plans.q_eval import _r
@@ -259,3 +259,58 @@ def sta21(spark, d):
 def sta21_means(spark, d):
     clusters = spark.createDataFrame([(f, i % 3) for i, f in enumerate(FEATURES)], "feature string, cluster int")
     return _r(at.cluster_means(_values(spark, d), clusters, ["tso", "horizon"]), "value", n=9)
+
+
+def _groups_cte(n_clusters: int, cell: str) -> str:
+    """The bisection step by step; a step splits the widest cluster of every model."""
+    far = lambda rows, centre: f"SELECT m.tso, m.feature, round(sum((m.z - c.z) * (m.z - c.z)), 9) AS d FROM {rows} m JOIN {centre} c ON m.tso = c.tso AND m.cell = c.cell GROUP BY ALL"
+    parts = [
+        f"vm AS (SELECT tso, feature, {cell} AS cell, avg(value) AS v FROM atv GROUP BY ALL)",
+        "vg AS (SELECT a.tso, a.feature, b.cell, coalesce(v, 0) AS v FROM (SELECT DISTINCT tso, feature FROM vm) a JOIN (SELECT DISTINCT tso, cell FROM vm) b USING (tso) LEFT JOIN vm USING (tso, feature, cell))",
+        "vs AS (SELECT tso, feature, avg(v) AS mean, stddev_pop(v) AS sd, count(*) AS n FROM vg GROUP BY ALL HAVING stddev_pop(v) > 1e-12)",
+        "z AS (SELECT tso, feature, cell, (v - mean) / (sd * sqrt(n)) AS z FROM vg JOIN vs USING (tso, feature))",
+        "l0 AS (SELECT DISTINCT tso, feature, 0 AS cluster FROM z)",
+    ]
+    for i in range(1, n_clusters):
+        parts += [
+            f"r{i} AS (SELECT z.*, cluster FROM z JOIN l{i - 1} USING (tso, feature))",
+            f"c{i} AS (SELECT tso, cluster, cell, avg(z) AS z FROM r{i} GROUP BY ALL)",
+            f"f{i} AS (SELECT m.tso, m.feature, m.cluster, round(sum((m.z - c.z) * (m.z - c.z)), 9) AS d FROM r{i} m JOIN c{i} c ON m.tso = c.tso AND m.cell = c.cell AND m.cluster = c.cluster GROUP BY ALL)",
+            f"e{i} AS (SELECT tso, cluster, round(sum(d), 9) AS sse FROM f{i} GROUP BY ALL)",
+            f"w{i} AS (SELECT tso, cluster FROM (SELECT *, row_number() OVER (PARTITION BY tso ORDER BY sse DESC, cluster) AS k FROM e{i} WHERE sse > 0) WHERE k = 1)",
+            f"m{i} AS (SELECT r{i}.* FROM r{i} JOIN w{i} USING (tso, cluster))",
+            f"s{i} AS (SELECT tso, feature FROM (SELECT *, row_number() OVER (PARTITION BY tso ORDER BY d DESC, feature) AS k FROM f{i} JOIN w{i} USING (tso, cluster)) WHERE k = 1)",
+            f"a{i} AS (SELECT m{i}.* FROM m{i} JOIN s{i} USING (tso, feature))",
+            f"t{i} AS (SELECT tso, feature FROM (SELECT *, row_number() OVER (PARTITION BY tso ORDER BY d DESC, feature) AS k FROM ({far(f'm{i}', f'a{i}')})) WHERE k = 1)",
+            f"b{i} AS (SELECT m{i}.* FROM m{i} JOIN t{i} USING (tso, feature))",
+            f"n{i} AS (SELECT x.tso, x.feature, y.d < x.d AS far FROM ({far(f'm{i}', f'a{i}')}) x JOIN ({far(f'm{i}', f'b{i}')}) y USING (tso, feature))",
+            f"g{i} AS (SELECT tso, cell, far, avg(z) AS z FROM m{i} JOIN n{i} USING (tso, feature) GROUP BY ALL)",
+            f"h0_{i} AS (SELECT * FROM g{i} WHERE NOT far)",
+            f"h1_{i} AS (SELECT * FROM g{i} WHERE far)",
+            f"o{i} AS (SELECT x.tso, x.feature, y.d < x.d AS far FROM ({far(f'm{i}', f'h0_{i}')}) x JOIN ({far(f'm{i}', f'h1_{i}')}) y USING (tso, feature))",
+            f"l{i} AS (SELECT tso, feature, CASE WHEN coalesce(far, false) THEN {i} ELSE cluster END AS cluster FROM l{i - 1} LEFT JOIN o{i} USING (tso, feature))",
+        ]
+    parts.append(f"grp AS (SELECT DISTINCT atv.tso, atv.feature, CAST(coalesce(cluster, -1) AS INT) AS cluster FROM atv LEFT JOIN l{n_clusters - 1} USING (tso, feature))")
+    return ",\n".join(parts)
+
+
+_GRP = _groups_cte(4, "(direction, horizon)")
+
+
+def _feature_groups(spark, d):
+    return cl.feature_groups(_values(spark, d), MODEL, ["direction", "horizon"], 4)
+
+
+@query("sta21_feature_groups", with_cte(_AT, _GRP) + "SELECT * FROM grp")
+def sta21_groups(spark, d):
+    return _feature_groups(spark, d)
+
+
+@query(
+    "sta21_group_means",
+    with_cte(_AT, _GRP)
+    + "SELECT tso, horizon, cluster, round(avg(value), 9) AS value, count(DISTINCT feature) AS n_features FROM atv JOIN grp USING (tso, feature) GROUP BY ALL",
+)
+def sta21_group_means(spark, d):
+    out = at.cluster_means(_values(spark, d), _feature_groups(spark, d), ["tso", "horizon"], model=MODEL)
+    return _r(out, "value", n=9)

@@ -445,6 +445,15 @@ def str2(spark, d):
     return jobs.upsert_stream(spark, stream, f"{path}/table", f"{path}/checkpoint", ["user_id", "event_type"])
 
 
+def _event_stream(spark, d):
+    return _stream(spark, d).selectExpr(
+        "event_id", "date_trunc('minute', ts) AS begin_date",
+        "timestampadd(MINUTE, CAST(15 + event_id % 600 AS INT), date_trunc('minute', ts)) AS end_date",
+        f"CAST({derive.MEAN_LOAD} AS DOUBLE) AS mean_load", "value AS total_load",
+        "CASE WHEN event_id % 2 = 0 THEN 'up' ELSE 'down' END AS direction", f"{derive.OPERATOR} AS operator",
+    )
+
+
 @query(
     "str3_interval_energy_stream",
     with_cte(IV, _src("'equal'"), _SPLIT_SQL)
@@ -453,12 +462,18 @@ SELECT a.* FROM a WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 23 HO
 )
 def str3(spark, d):
     path = staging_path(spark, "energy")
-    s = _stream(spark, d).selectExpr(
-        "event_id", "date_trunc('minute', ts) AS begin_date",
-        "timestampadd(MINUTE, CAST(15 + event_id % 600 AS INT), date_trunc('minute', ts)) AS end_date",
-        f"CAST({derive.MEAN_LOAD} AS DOUBLE) AS mean_load", "value AS total_load",
-        "CASE WHEN event_id % 2 = 0 THEN 'up' ELSE 'down' END AS direction", f"{derive.OPERATOR} AS operator",
-    )
-    out = jobs.run_once(jobs.interval_energy_stream(s, longest_hours=11), f"{path}/out", f"{path}/checkpoint")
+    out = jobs.run_once(jobs.interval_energy_stream(_event_stream(spark, d), longest_hours=11), f"{path}/out", f"{path}/checkpoint")
     return _r(out, "total_load", n=6)
 
+
+@query(
+    "str3_dead_letters",
+    with_cte(IV)
+    + """SELECT event_id, begin_date, end_date, round(mean_load, 6) AS mean_load, round(total_load, 6) AS total_load, direction, operator, 'longer than 8 hours' AS reason
+FROM iv WHERE epoch(end_date) - epoch(begin_date) > 8 * 3600""",
+)
+def str3_dead(spark, d):
+    path = staging_path(spark, "energy")
+    _, aside = jobs.run_energy(_event_stream(spark, d), f"{path}/out", f"{path}/checkpoint", longest_hours=8)
+    return _r(aside, "mean_load", "total_load", n=6)
+

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions.stats import TAIL_DENOMINATOR, TAIL_NUMERATOR
 from tidegrid.operators import bootstrap as bs, dm, joins, mcs, metrics as me, series_tests as st
+from tidegrid.operators.chunked import join_null_safe
 from tidegrid.plans import derive
 from tidegrid.plans.derive import MODELS, PN, PR, with_cte
 from tidegrid.plans.q_eval import _RG, SERIES, _r, regimes
@@ -238,12 +239,23 @@ def sta11_class(spark, d):
 _MODELS_SQL = "['blend', 'damped', 'naive', 'seasonal']"
 
 
-def _mcs_cte(keys: str, src: str = "pr") -> str:
+_STATIONARY = f"""
+bk AS (SELECT *, (rep * 7919 + 2 * block * 104729 + 17) % n AS start, CAST(floor(ln(1 - ((rep * 7919 + (2 * block + 1) * 104729 + 17) % 1000003) / 1000003.0::DOUBLE) / ln(1 - 1.0::DOUBLE / bl)) + 1 AS BIGINT) AS len
+ FROM nn, range({REPS}) r(rep), LATERAL (SELECT unnest(range(n)) AS block)),
+bc AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY {{keys}}, rep ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM bk),
+ix AS (SELECT {{keys}}, rep, (start + k) % n AS pos FROM bc, LATERAL (SELECT unnest(range(CAST(least(len, n - done) AS BIGINT))) AS k) WHERE done < n)
+"""
+
+
+def _mcs_cte(keys: str, src: str = "pr", stationary: bool = False) -> str:
     pairs = [(i, j) for i in range(4) for j in range(4)]
     on = keys.replace(" ", "").split(",")
     eq = lambda a, b: " AND ".join(f"{a}.{k} = {b}.{k}" for k in on)
+    first = _resample(_WIDE_SQL.format(keys=keys, src=src).strip(), keys, "floor(sqrt(count(*)))", True).strip()
+    if stationary:
+        first = first[: first.index(",\nix AS")] + ",\n" + _STATIONARY.format(keys=keys).strip()
     parts = [
-        _resample(_WIDE_SQL.format(keys=keys, src=src).strip(), keys, "floor(sqrt(count(*)))", True).strip(),
+        first,
         f"ml AS (SELECT {keys}, [{', '.join(f'avg(abs(y - m{i}))' for i in range(4))}] AS d FROM rowsx GROUP BY ALL)",
         f"bl AS (SELECT {keys}, rep, [{', '.join(f'avg(abs(y - m{i}))' for i in range(4))}] AS b FROM ix JOIN rowsx USING ({keys}, pos) GROUP BY ALL)",
         f"pj AS (SELECT ml.*, p.i, p.j, rep, b[p.j] - b[p.i] AS db, d[p.j] - d[p.i] AS dd FROM bl JOIN ml USING ({keys}), "
@@ -256,8 +268,17 @@ def _mcs_cte(keys: str, src: str = "pr") -> str:
         k = 5 - r
         parts += [
             f"zz{r} AS (SELECT z.* FROM z0 z JOIN in{r} a ON {eq('a', 'z')} AND a.m = z.i JOIN in{r} b ON {eq('b', 'z')} AND b.m = z.j)",
-            f"tr{r} AS (SELECT {keys}, max(dd / s) AS tr FROM zz{r} GROUP BY ALL)",
-            f"tb{r} AS (SELECT {keys}, rep, max(abs((db - dd) / s)) AS tb FROM zz{r} GROUP BY ALL)",
+            *(
+                [
+                    f"tr{r} AS (SELECT {keys}, sum(dd / s * dd / s) / 2 AS tr FROM zz{r} GROUP BY ALL)",
+                    f"tb{r} AS (SELECT {keys}, rep, sum((db - dd) / s * (db - dd) / s) / 2 AS tb FROM zz{r} GROUP BY ALL)",
+                ]
+                if stationary
+                else [
+                    f"tr{r} AS (SELECT {keys}, max(dd / s) AS tr FROM zz{r} GROUP BY ALL)",
+                    f"tb{r} AS (SELECT {keys}, rep, max(abs((db - dd) / s)) AS tb FROM zz{r} GROUP BY ALL)",
+                ]
+            ),
             f"pv{r} AS (SELECT {keys}, avg(CASE WHEN tb > tr THEN 1.0 ELSE 0.0 END) AS p FROM tb{r} JOIN tr{r} USING ({keys}) GROUP BY ALL)",
             f"di{r} AS (SELECT {keys}, j, rep, sum(db) / {k - 1}.0 AS dib, sum(dd) / {k - 1}.0 AS di FROM zz{r} GROUP BY ALL)",
             f"ti{r} AS (SELECT {keys}, j, any_value(di) / sqrt(avg((dib - di) * (dib - di))) AS t FROM di{r} GROUP BY ALL)",
@@ -350,7 +371,11 @@ def sta16_glued(spark, d):
     return _r(inc.join(dom, "model"), "inclusion", "dominance")
 
 
-@query("sta12_mcs_stationary_bootstrap")
+@query(
+    "sta12_mcs_stationary_bootstrap",
+    with_cte(PN, PR, _mcs_cte("tso, unique_id", stationary=True))
+    + "SELECT tso, unique_id, model, round, round(p_value, 8) AS p_value, p_value >= 0.25 AS included FROM mc",
+)
 def sta12(spark, d):
     return _r(_mcs(derive.predictions(spark, d), SERIES, variant="stationary", method="SQ"), "p_value")
 
@@ -439,3 +464,21 @@ def sta20(spark, d):
         derive.panel(spark, d), SERIES, "y", ["ds"], F.date_trunc("month", "ds"), 40, draw=bs.integer_draw(5)
     )
     return _r(out, "low", "high")
+
+
+@query(
+    "sta20_mean_interval_of_counts",
+    with_cte(PN) + "SELECT tso, unique_id, count(*) AS n, round(avg(y), 8) AS mean, true AS holds_mean, true AS as_wide_as_normal FROM pn GROUP BY ALL",
+)
+def sta20_counts(spark, d):
+    """Draws differ from any other engine's, so the interval is held against the normal one: within a quarter of its width."""
+    p = derive.panel(spark, d)
+    found = bs.mean_interval(p, SERIES, "y", ["ds"], F.date_trunc("month", "ds"), 500)
+    own = p.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean"), F.stddev_pop("y").alias("sd"))
+    normal = 2 * 1.959964 * F.col("sd") / F.sqrt("n")
+    wide = F.col("high") - F.col("low")
+    out = join_null_safe(own, found, SERIES).select(
+        *SERIES, "n", "mean", F.col("mean").between(F.col("low") - 1e-9, F.col("high") + 1e-9).alias("holds_mean"),
+        wide.between(0.75 * normal - 1e-9, 1.25 * normal + 1e-9).alias("as_wide_as_normal"),
+    )
+    return _r(out, "mean")
