@@ -5,17 +5,23 @@ binary digit of the rest, longest first. A piece is a sequence of its own, so no
 padded; sequences of equal length form the buckets that batches are drawn from. Numbers run through the buckets from the shortest
 to the longest, in order of document and start.
 
+Texts are dealt into ranges of ascending doc_id once and encoded there; ids never move. A task numbers the pieces of each length that it
+cuts, the result is written, and a table with one row for each length and range says where a range's numbers begin. That table is
+broadcast: the number of shuffle partitions times the number of lengths.
+
 Defined results: null text counts as empty and gives one piece with the end id; rows that repeat an id are cut each and
-numbered in order of their ids' checksum; an empty table gives no piece.
+numbered in order of a hash of the text, then of the text; an empty table gives no piece.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,14 +37,16 @@ def cuts(n: int, longest: int) -> list[int]:
 
 
 def pieces(docs: DataFrame, path: str, end_id: int, longest: int = 2048, with_ids: bool = True) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens and (``with_ids``) the ids of every piece."""
+    """doc_id, start, length, ids_crc32, doc_tokens and (``with_ids``) the ids of every piece; ``part`` and ``nth`` among the part's pieces of its length."""
     fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())]
+    fields += [("part", pa.int32()), ("nth", pa.int64())]
     ids_field = [("ids", pa.list_(pa.int32()))] if with_ids else []
     schema = pa.schema(fields + ids_field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = words.encoder(path).encode
         end = np.array([end_id], "<u4").tobytes()
+        part, seen = TaskContext.get().partitionId(), Counter()
         for doc_ids, texts in common.records(batches, "doc_id", "text"):
             for lo in range(0, len(doc_ids), 1024):
                 out = []
@@ -47,36 +55,34 @@ def pieces(docs: DataFrame, path: str, end_id: int, longest: int = 2048, with_id
                     n, at = len(coded) // 4, 0
                     for size in cuts(n, longest):
                         piece = coded[4 * at : 4 * (at + size)]
-                        row = (i, at, size, zlib.crc32(piece), n)
+                        row = (i, at, size, zlib.crc32(piece), n, part, seen[size])
+                        seen[size] += 1
                         out.append((*row, np.frombuffer(piece, "<i4")) if with_ids else row)
                         at += size
                 yield common.batch(schema, *zip(*out))
 
-    ddl = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
-    return common.texts(docs).mapInArrow(run, ddl)
+    ddl = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, nth long" + ", ids array<int>" * with_ids
+    order = ["doc_id", common.text_key(F.col("text")), "text"]
+    return common.texts(docs).repartitionByRange(*order[:2]).sortWithinPartitions(*order).mapInArrow(run, ddl)
 
 
 def number(found: DataFrame) -> DataFrame:
-    """Adds sequence_id (gapless, by length, document and start) and offset (0: a piece fills its sequence).
-
-    Ranges of the order are counted apart; only one row per range meets in a window.
-    """
-    order = ["length", "doc_id", "start", "ids_crc32", "doc_tokens"]
-    dealt = found.repartitionByRange(*order).sortWithinPartitions(*order)
-    marked = staged(dealt.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "order")
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = marked.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first")).select(
-        "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_base")
-    )
-    return (
-        marked.join(F.broadcast(bases), "_part")  # a row per range
-        .withColumns({"sequence_id": F.col("_at") + F.col("_base"), "offset": F.lit(0).cast("long")})
-        .drop("_part", "_at", "_base")
+    """Adds sequence_id (gapless, by length, part and place in it) and offset (0: a piece fills its sequence). ``found`` is a written table."""
+    counts = found.groupBy("length", "part").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shorter = Window.orderBy("length").rowsBetween(Window.unboundedPreceding, -1)  # one row for each length
+    buckets = counts.groupBy("length").agg(F.sum("_n").alias("_n"))
+    buckets = buckets.select("length", F.coalesce(F.sum("_n").over(shorter), F.lit(0)).alias("_bucket"))
+    inside = counts.select("length", "part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_inside"))
+    bases = inside.join(buckets, "length").select("length", "part", (F.col("_bucket") + F.col("_inside")).alias("_base"))
+    columns = [c for c in found.columns if c not in ("part", "nth")]
+    return found.join(F.broadcast(bases), ["length", "part"]).select(
+        *columns, (F.col("nth") + F.col("_base")).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )
 
 
 def pack(docs: DataFrame, path: str, end_id: int, longest: int = 2048, with_ids: bool = True) -> DataFrame:
-    """All pieces with their sequences. Lineage is cut after encoding: the order's ranges are sampled from the result."""
+    """All pieces with their sequences. Lineage is cut after encoding, so that parts and places stay."""
     return number(staged(pieces(docs, path, end_id, longest, with_ids), "pieces"))
 
 

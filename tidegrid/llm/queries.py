@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.llm import bpe, ctw, fingerprint, jaccard, merkle, packing, pieces, repeats, token_files, topk, toxicity, turns, url_filter
-from tidegrid.session import cut_lineage, staging_path
+from tidegrid.llm.staging import shared_uri
+from tidegrid.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -62,8 +63,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids through Arrow files."""
-    folder = staging_path(spark, "tokens")
-    folder = folder if "://" in folder else f"file://{folder}"
+    folder = shared_uri(spark, "tokens")
     docs = _table(spark, sf_dir, "documents")
     # the manifest is written once: reading it again must not write the shards again
     manifest = cut_lineage(token_files.write(docs, folder, public_tokenizers.path("word_bpe_49k.json"), 2))

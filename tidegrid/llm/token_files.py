@@ -150,5 +150,6 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                     crcs = [zlib.crc32(shard.tokens(int(s), int(n)).astype("<u4").tobytes()) for s, n in zip(starts, sizes)]
                     yield common.batch(schema, docs.column("doc_id"), starts + base, sizes, crcs)
 
-    spread = shards.select("shard", "base").repartition(F.col("shard"))
+    # a given number of partitions is not merged: every shard can have a task of its own
+    spread = shards.select("shard", "base").repartition(max(manifest.count(), 1), "shard")
     return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidegrid.llm import common
-from tidegrid.session import staging_path
+from tidegrid.llm.staging import shared_uri
 
 HOLD = 32 << 20
 SPACE = " \t\n\x0b\x0c\r"
@@ -258,8 +258,7 @@ def repair(turns: DataFrame, hold: int = HOLD) -> DataFrame:
 
     ``old_role`` and ``fault`` (blank, duplicate, truncated) belong to the turn as it was. Rows stay dealt by conversation and in order.
     """
-    folder = staging_path(turns.sparkSession, "turns")
-    folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    folder = shared_uri(turns.sparkSession, "turns")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         programme, waiting, writer = Programme(), Waiting(folder, hold), Writer()
