@@ -49,7 +49,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, longest: int = 2048, with_id
         part, seen = TaskContext.get().partitionId(), Counter()
         for doc_ids, texts in common.records(batches, "doc_id", "text"):
             for lo in range(0, len(doc_ids), 1024):
-                out = []
+                out, ids = [], []
                 for i, coded in zip(doc_ids[lo : lo + 1024], encode(texts[lo : lo + 1024])):
                     coded += end
                     n, at = len(coded) // 4, 0
@@ -57,9 +57,16 @@ def pieces(docs: DataFrame, path: str, end_id: int, longest: int = 2048, with_id
                         piece = coded[4 * at : 4 * (at + size)]
                         row = (i, at, size, zlib.crc32(piece), n, part, seen[size])
                         seen[size] += 1
-                        out.append((*row, np.frombuffer(piece, "<i4")) if with_ids else row)
+                        out.append(row)
                         at += size
-                yield common.batch(schema, *zip(*out))
+                    ids.append(coded)
+                columns = [pa.array(c, f.type) for c, f in zip(zip(*out), schema)]
+                if with_ids:
+                    # pieces follow each other as they do in the documents
+                    ends = np.cumsum([0, *columns[2].to_pylist()], dtype="i4")
+                    flat = np.frombuffer(b"".join(ids), "<i4")
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     ddl = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, nth long" + ", ids array<int>" * with_ids
     order = ["doc_id", common.text_key(F.col("text")), "text"]
