@@ -123,11 +123,11 @@ def carry_last(
     keys = list(keys)
 
     def valued(table: DataFrame) -> DataFrame:
-        return table.withColumns({"_k": _one_key(keys), "_b": bucket, **{f"_v_{n}": v for n, v in cols.items()}})
+        return table.withColumns({"_carry_k": _one_key(keys), "_b": bucket, **{f"_v_{n}": v for n, v in cols.items()}})
 
     rows = valued(df)
     edge = F.min_by if following else F.max_by
-    ends = (rows if source is None else valued(source)).groupBy("_k", "_b").agg(
+    ends = (rows if source is None else valued(source)).groupBy("_carry_k", "_b").agg(
         *[
             edge(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.col(order))).alias(f"_e_{n}")
             for n in cols
@@ -135,23 +135,23 @@ def carry_last(
     )
     outer_order = F.col("_b").desc() if following else F.col("_b").asc()
     outside = (
-        Window.partitionBy("_k").orderBy(outer_order).rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("_carry_k").orderBy(outer_order).rowsBetween(Window.unboundedPreceding, -1)
     )
     carries = ends.select(
-        "_k", "_b", *[F.last(f"_e_{n}", True).over(outside).alias(f"_c_{n}") for n in cols]
+        "_carry_k", "_b", *[F.last(f"_e_{n}", True).over(outside).alias(f"_c_{n}") for n in cols]
     )
     inner_order = F.col(order).desc() if following else F.col(order).asc()
     inside = (
-        Window.partitionBy("_k", "_b")
+        Window.partitionBy("_carry_k", "_b")
         .orderBy(inner_order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     out = rows.select(
         "*", *[F.last(f"_v_{n}", True).over(inside).alias(f"_i_{n}") for n in cols]
-    ).join(carries, ["_k", "_b"])
+    ).join(carries, ["_carry_k", "_b"])
     for n in cols:
         out = out.withColumn(n, F.coalesce(f"_i_{n}", f"_c_{n}"))
-    return out.drop("_k", "_b", *[f"_{p}_{n}" for n in cols for p in "vic"])
+    return out.drop("_carry_k", "_b", *[f"_{p}_{n}" for n in cols for p in "vic"])
 
 
 def running_sum(
@@ -159,27 +159,27 @@ def running_sum(
 ) -> DataFrame:
     """Inclusive running sums inside a series, by two levels."""
     keys = list(keys)
-    rows = df.withColumns({"_k": _one_key(keys), "_b": bucket})
+    rows = df.withColumns({"_carry_k": _one_key(keys), "_b": bucket})
     for name, value in cols.items():
         rows = rows.withColumn(f"_v_{name}", value)
-    totals = rows.groupBy("_k", "_b").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in cols])
-    outside = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("_carry_k", "_b").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in cols])
+    outside = Window.partitionBy("_carry_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        "_k",
+        "_carry_k",
         "_b",
         *[F.coalesce(F.sum(f"_t_{n}").over(outside), F.lit(0)).alias(f"_o_{n}") for n in cols],
     )
     inside = (
-        Window.partitionBy("_k", "_b")
+        Window.partitionBy("_carry_k", "_b")
         .orderBy(order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     out = rows.select(
         "*", *[F.sum(f"_v_{n}").over(inside).alias(f"_i_{n}") for n in cols]
-    ).join(offsets, ["_k", "_b"])
+    ).join(offsets, ["_carry_k", "_b"])
     for n in cols:
         out = out.withColumn(n, F.coalesce(F.col(f"_i_{n}"), F.lit(0)) + F.col(f"_o_{n}"))
-    return out.drop("_k", "_b", *[f"_{p}_{n}" for n in cols for p in "vio"])
+    return out.drop("_carry_k", "_b", *[f"_{p}_{n}" for n in cols for p in "vio"])
 
 
 def exact_quantiles(

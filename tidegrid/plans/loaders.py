@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -119,19 +121,19 @@ def scheduled_exchanges(flows: DataFrame, activity: float = 0.3, magnitude: floa
     return ft.select_active(net, ["neighbour"], activity, magnitude)
 
 
-def futures(daily: DataFrame) -> DataFrame:
-    """(day, power, gas, coal, carbon) → hourly spreads and changes of the following day.
+def futures(daily: DataFrame, changes: Sequence[str] = ("gas", "carbon")) -> DataFrame:
+    """(day, power, gas, coal, carbon, ...) → hourly spreads, and changes of the prices in ``changes``, of the following day.
 
     Prices are carried forward over days without trade, the change is against
     the row before, and a price counts from the next day on.
     """
     from tidegrid.operators.chunked import carry_last
 
-    names = ["power", "gas", "coal", "carbon"]
+    names = list(dict.fromkeys(["power", "gas", "coal", "carbon", *changes]))
     one = daily.withColumn("_k", F.lit(1))
     filled = carry_last(one, ["_k"], "day", F.year("day"), {f"_f_{n}": F.col(n) for n in names})
     filled = filled.select("_k", "day", *[F.col(f"_f_{n}").alias(n) for n in names])
-    for n in ("gas", "carbon"):
+    for n in changes:
         filled = ft.row_difference(filled, ["_k"], "day", F.year("day"), n).withColumnRenamed(
             "change", f"{n}_change_24h"
         )
@@ -140,8 +142,7 @@ def futures(daily: DataFrame) -> DataFrame:
         "day",
         ft.spark_spread(F.col("power"), F.col("gas"), F.col("carbon")).alias("clean_spark_spread"),
         ft.dark_spread(F.col("power"), F.col("coal"), F.col("carbon")).alias("clean_dark_spread"),
-        "gas_change_24h",
-        "carbon_change_24h",
+        *[f"{n}_change_24h" for n in changes],
     )
     return daily_to_hourly(spreads).drop("day")
 

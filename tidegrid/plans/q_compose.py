@@ -15,7 +15,7 @@ from tidegrid.plans.registry import query
 def _sets(spark, d):
     w = _wide(spark, d).withColumn("tso", F.concat(F.lit("T"), F.col("series"))).withColumnRenamed("ts", "ds").drop("series")
     return {
-        "production_consumption": w.select("tso", "ds", "production_forecast", "consumption_forecast_load"),
+        "production_consumption": w.select("tso", "ds", "production_forecast", "consumption_forecast_load", "load_actual"),
         "wind_pv": w.select("tso", "ds", "wind_forecast_total", "pv_forecast"),
     }
 
@@ -23,7 +23,7 @@ def _sets(spark, d):
 @query(
     "cmp1_feature_set_composition",
     with_cte(PN, _WIDE)
-    + """SELECT tso, unique_id, ds, y, wind_forecast_total, pv_forecast, consumption_forecast_load,
+    + """SELECT tso, unique_id, ds, y, wind_forecast_total, pv_forecast, consumption_forecast_load, load_actual,
  round(consumption_forecast_load - wind_forecast_total - pv_forecast, 8) AS residual_load_forecast,
  round(production_forecast - wind_forecast_total - pv_forecast, 8) AS production_forecast_other
 FROM pn LEFT JOIN wd ON concat('T', wd.series) = pn.tso AND wd.ts = pn.ds""",

@@ -475,36 +475,39 @@ def cmp3_cross_border(spark, d):
     "cmp3_prj18_futures_spreads",
     with_cte(_DAILY)
     + """, w AS (SELECT day, max(value) FILTER (WHERE prio = '1-URGENT') AS power, max(value) FILTER (WHERE prio = '2-HIGH') AS gas,
-  max(value) FILTER (WHERE prio = '3-MEDIUM') AS coal, max(value) FILTER (WHERE prio = '5-LOW') AS carbon FROM dp GROUP BY day),
+  max(value) FILTER (WHERE prio = '3-MEDIUM') AS coal, max(value) FILTER (WHERE prio = '4-NOT SPECIFIED') AS oil, max(value) FILTER (WHERE prio = '5-LOW') AS carbon FROM dp GROUP BY day),
 f AS (SELECT day, last_value(power IGNORE NULLS) OVER o AS power, last_value(gas IGNORE NULLS) OVER o AS gas,
-  last_value(coal IGNORE NULLS) OVER o AS coal, last_value(carbon IGNORE NULLS) OVER o AS carbon FROM w WINDOW o AS (ORDER BY day)),
-c AS (SELECT *, gas - lag(gas) OVER (ORDER BY day) AS gc, carbon - lag(carbon) OVER (ORDER BY day) AS cc FROM f)
+  last_value(coal IGNORE NULLS) OVER o AS coal, last_value(oil IGNORE NULLS) OVER o AS oil, last_value(carbon IGNORE NULLS) OVER o AS carbon FROM w WINDOW o AS (ORDER BY day)),
+c AS (SELECT *, gas - lag(gas) OVER (ORDER BY day) AS gc, carbon - lag(carbon) OVER (ORDER BY day) AS cc, oil - lag(oil) OVER (ORDER BY day) AS oc FROM f)
 SELECT CAST(day + 1 AS TIMESTAMP) + to_hours(CAST(h AS INT)) AS ts,
  round(power - gas / 0.55::DOUBLE - carbon * 0.35::DOUBLE / 0.55::DOUBLE, 8) AS clean_spark_spread,
  round(power - coal * (3.6::DOUBLE / 25.12::DOUBLE) / 0.4::DOUBLE - carbon * 0.95::DOUBLE / 0.4::DOUBLE, 8) AS clean_dark_spread,
- round(gc, 8) AS gas_change_24h, round(cc, 8) AS carbon_change_24h FROM c, range(24) t(h)""",
+ round(gc, 8) AS gas_change_24h, round(cc, 8) AS carbon_change_24h, round(oc, 8) AS oil_change_24h FROM c, range(24) t(h)""",
 )
 def cmp3_futures(spark, d):
-    prio = {"power": "1-URGENT", "gas": "2-HIGH", "coal": "3-MEDIUM", "carbon": "5-LOW"}
+    prio = {"power": "1-URGENT", "gas": "2-HIGH", "coal": "3-MEDIUM", "oil": "4-NOT SPECIFIED", "carbon": "5-LOW"}
     wide = _daily(spark, d).groupBy("day").agg(
         *[F.max(F.when(F.col("prio") == p, F.col("value"))).alias(n) for n, p in prio.items()]
     )
-    out = loaders.futures(wide)
-    return _rounded(out, "clean_spark_spread", "clean_dark_spread", "gas_change_24h", "carbon_change_24h", n=8)
+    out = loaders.futures(wide, ("gas", "carbon", "oil"))
+    return _rounded(out, "clean_spark_spread", "clean_dark_spread", "gas_change_24h", "carbon_change_24h", "oil_change_24h", n=8)
 
 
 _WIDE = """
 wd AS (SELECT user_id // 10 AS series, date_trunc('hour', ts) AS ts,
   round(sum(value) FILTER (WHERE event_type = 'click'), 2) AS production_forecast, round(sum(value) FILTER (WHERE event_type = 'view'), 2) AS wind_forecast_total,
-  round(sum(value) FILTER (WHERE event_type = 'error'), 2) AS pv_forecast, round(sum(value) FILTER (WHERE event_type = 'purchase'), 2) AS consumption_forecast_load
+  round(sum(value) FILTER (WHERE event_type = 'error'), 2) AS pv_forecast, round(sum(value) FILTER (WHERE event_type = 'purchase'), 2) AS consumption_forecast_load, round(sum(value) FILTER (WHERE event_type = 'signup'), 2) AS load_actual
  FROM events GROUP BY ALL)
 """
 
 
+_WIDE_COLUMNS = ["production_forecast", "wind_forecast_total", "pv_forecast", "consumption_forecast_load", "load_actual"]
+
+
 def _wide(spark, d):
     names = {
         "production_forecast": "click", "wind_forecast_total": "view",
-        "pv_forecast": "error", "consumption_forecast_load": "purchase",
+        "pv_forecast": "error", "consumption_forecast_load": "purchase", "load_actual": "signup",
     }
     return derive.table(spark, d, "events").groupBy(
         F.expr("user_id div 10").alias("series"), F.date_trunc("hour", "ts").alias("ts")
@@ -518,7 +521,7 @@ def _wide(spark, d):
     with_cte(_WIDE)
     + """SELECT series, ts, round(consumption_forecast_load - wind_forecast_total - pv_forecast, 8) AS residual_load_forecast,
  round(production_forecast - wind_forecast_total - pv_forecast, 8) AS production_forecast_other,
- consumption_forecast_load, wind_forecast_total, pv_forecast FROM wd""",
+ consumption_forecast_load, wind_forecast_total, pv_forecast, load_actual FROM wd""",
 )
 def prj17(spark, d):
     out = loaders.residual_and_other(_wide(spark, d))
@@ -540,13 +543,13 @@ def prj20(spark, d):
 @query(
     "jon1_cmp1_feature_join",
     with_cte(PN, _WIDE)
-    + """SELECT tso, unique_id, ds, y, production_forecast, wind_forecast_total FROM pn
+    + """SELECT tso, unique_id, ds, y, production_forecast, wind_forecast_total, pv_forecast, consumption_forecast_load, load_actual FROM pn
 LEFT JOIN wd ON concat('T', wd.series) = pn.tso AND wd.ts = pn.ds""",
 )
 def jon1(spark, d):
     feats = _wide(spark, d).select(
         F.expr("concat('T', series)").alias("tso"), F.col("ts").alias("ds"),
-        "production_forecast", "wind_forecast_total",
+        *_WIDE_COLUMNS,
     )
     return joins.add_features(derive.panel(spark, d), feats, ["tso", "ds"])
 
@@ -554,19 +557,25 @@ def jon1(spark, d):
 @query(
     "jon1_merge_log",
     with_cte(PN, _WIDE)
-    + """SELECT 'wide' AS feature_set, count(*) AS rows, 2 AS new_columns,
- round((avg(CASE WHEN production_forecast IS NULL THEN 1 ELSE 0 END) + avg(CASE WHEN wind_forecast_total IS NULL THEN 1 ELSE 0 END)) / 2 * 100, 2) AS null_pct
+    + f"""SELECT 'wide' AS feature_set, count(*) AS rows, 5 AS new_columns,
+ round(({' + '.join(f'avg(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END)' for c in _WIDE_COLUMNS)}) / 5 * 100, 2) AS null_pct
 FROM pn LEFT JOIN wd ON concat('T', wd.series) = pn.tso AND wd.ts = pn.ds""",
 )
 def jon1_log(spark, d):
-    return joins.merge_log(jon1(spark, d), "wide", ["production_forecast", "wind_forecast_total"])
+    return joins.merge_log(jon1(spark, d), "wide", _WIDE_COLUMNS)
+
+
+_KINDS = ["click", "view", "error", "purchase", "signup"]
 
 
 @query(
     "jon2_jon3_outer_merge",
-    """WITH a AS (SELECT user_id // 10 AS series, date_trunc('hour', ts) AS ts, round(sum(value), 2) AS clicks FROM events WHERE event_type = 'click' GROUP BY ALL),
-b AS (SELECT user_id // 10 AS series, date_trunc('hour', ts) AS ts, round(sum(value), 2) AS views FROM events WHERE event_type = 'view' GROUP BY ALL)
-SELECT series, ts, clicks, views FROM a FULL JOIN b USING (series, ts)""",
+    "WITH "
+    + ", ".join(
+        f"{k}_ AS (SELECT user_id // 10 AS series, date_trunc('hour', ts) AS ts, round(sum(value), 2) AS {k}s FROM events WHERE event_type = '{k}' GROUP BY ALL)"
+        for k in _KINDS
+    )
+    + f" SELECT series, ts, {', '.join(f'{k}s' for k in _KINDS)} FROM {' FULL JOIN '.join(f'{k}_' + (' USING (series, ts)' if i else '') for i, k in enumerate(_KINDS))}",
 )
 def jon2(spark, d):
     e = derive.table(spark, d, "events")
@@ -576,7 +585,7 @@ def jon2(spark, d):
             F.expr("user_id div 10").alias("series"), F.date_trunc("hour", "ts").alias("ts")
         ).agg(F.round(F.sum("value"), 2).alias(name))
 
-    return joins.merge_wide([part("click", "clicks"), part("view", "views")], ["series", "ts"])
+    return joins.merge_wide([part(k, f"{k}s") for k in _KINDS], ["series", "ts"])
 
 
 @query(

@@ -167,17 +167,17 @@ def shf12(spark, d):
 @query(
     "shf14_inference_frames",
     with_cte(PN, _PANEL2)
-    + """, og AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-10', TIMESTAMP '2024-01-30', INTERVAL 24 HOUR)) AS origin),
+    + """, og AS (SELECT unnest(generate_series(date_trunc('day', lo) + INTERVAL 48 HOUR, hi, INTERVAL 24 HOUR)) AS origin FROM (SELECT min(ds) AS lo, max(ds) AS hi FROM p2)),
 fu AS (SELECT origin, tso, unique_id, count(*) AS n FROM p2 JOIN og ON ds >= origin + INTERVAL 14 HOUR AND ds < origin + INTERVAL 38 HOUR GROUP BY ALL),
 ct AS (SELECT min(origin) AS cut FROM fu WHERE n < 24)
 SELECT tso, unique_id, origin, ds, 'history' AS part, NULL::INT AS horizon, forecast_a, y FROM p2 JOIN og ON ds >= origin - INTERVAL 48 HOUR AND ds < origin, ct WHERE cut IS NULL OR origin < cut
 UNION ALL SELECT tso, unique_id, origin, ds, 'future', CAST(date_diff('hour', origin + INTERVAL 14 HOUR, ds) + 1 AS INT), forecast_a, y FROM p2 JOIN og ON ds >= origin + INTERVAL 14 HOUR AND ds < origin + INTERVAL 38 HOUR, ct WHERE cut IS NULL OR origin < cut""",
 )
 def shf14(spark, d):
-    origins = spark.sql(
-        "SELECT explode(sequence(TIMESTAMP '2024-01-10', TIMESTAMP '2024-01-30', INTERVAL 24 HOUR)) AS origin"
-    )
-    return fr.inference_frames(_panel2(spark, d), SERIES, origins, ["forecast_a"], 48, 24, 14)
+    panel = _panel2(spark, d)
+    bounds = panel.agg(F.min("ds").alias("lo"), F.max("ds").alias("hi"))
+    origins = bounds.select(F.explode(F.expr("sequence(date_trunc('day', lo) + INTERVAL 48 HOURS, hi, INTERVAL 24 HOURS)")).alias("origin"))
+    return fr.inference_frames(panel, SERIES, origins, ["forecast_a"], 48, 24, 14)
 
 
 @query(
