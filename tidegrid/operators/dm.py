@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidegrid.functions.stats import two_sided_p
 from tidegrid.operators.bootstrap import wide_rows
 from tidegrid.operators.chunked import (
+    CHUNK,
+    HOME,
     POS,
     chunk_window,
     home_rows,
@@ -65,29 +71,84 @@ def compare_sets(
     return dm_test(pair, keys, e1 * e1 - e2 * e2, horizon, "ds", dense)
 
 
+def loss_moments(rows: DataFrame, keys: Sequence[str], losses: int, lag: int, pos: Column) -> DataFrame:
+    """(keys, moments): for every lag the number of row pairs, the sums of the earlier and of the later losses, and the sums of their products.
+
+    ``rows`` has an array ``_l`` of losses. A task sees one series and chunk with the ``lag`` rows before it and leaves one array.
+    """
+    width = 1 + 2 * losses + losses * losses
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by(POS)
+        own = np.flatnonzero(group[HOME].to_numpy())
+        flat = group["_l"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float)
+        loss = flat.reshape(-1, losses)
+        known = ~np.isnan(loss).any(axis=1)
+        out = np.zeros((lag + 1, width))
+        for k in range(lag + 1):
+            late = own[own >= k]
+            late = late[known[late] & known[late - k]]
+            x, y = loss[late - k], loss[late]
+            out[k] = np.concatenate([[len(late)], x.sum(axis=0), y.sum(axis=0), (x.T @ y).ravel()])
+        found = {k: group[k].slice(0, 1) for k in keys}
+        return pa.table(found | {"_m": pa.array([out.ravel().tolist()], pa.list_(pa.float64()))})
+
+    fields = [f for k in keys for f in rows.schema.fields if f.name == k]
+    schema = T.StructType([*fields, T.StructField("_m", T.ArrayType(T.DoubleType()))])
+    parts = with_halo(rows, pos, before=lag).groupBy(*keys, CHUNK).applyInArrow(run, schema)
+    cells = parts.select(*keys, F.posexplode("_m").alias("_at", "_s")).groupBy(*keys, "_at").agg(F.sum("_s").alias("_s"))
+    # as many entries as an array has
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("_at", "_s"))), lambda c: c["_s"])
+    return cells.groupBy(*keys).agg(ordered.alias("moments"))
+
+
+def _pair_statistics(losses: int, horizon: int):
+    """UDF: statistics of all pairs of losses from their moments, null without variance."""
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def statistics(moments: pd.Series) -> pd.Series:
+        def one(flat) -> list[float | None]:
+            m = np.asarray(flat, dtype=float).reshape(-1, 1 + 2 * losses + losses * losses)
+            n, early, late = m[:, 0], m[:, 1 : 1 + losses], m[:, 1 + losses : 1 + 2 * losses]
+            both = m[:, 1 + 2 * losses :].reshape(-1, losses, losses)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                c = (both - early[:, :, None] * late[:, None, :] / n[:, None, None]) / (n - 1)[:, None, None]
+                mean = early[0] / n[0]
+            out = []
+            for i in range(losses):
+                for j in range(i + 1, losses):
+                    d = c[:, i, i] - c[:, i, j] - c[:, j, i] + c[:, j, j]
+                    var = d[0] + sum(2.0 * (1.0 - k / horizon) * d[k] for k in range(1, len(d)))
+                    out.append(float((mean[i] - mean[j]) / np.sqrt(var / n[0])) if var > 0 else None)
+            return out
+
+        return pd.Series([one(f) for f in moments])
+
+    return statistics
+
+
 def pairwise(
     df: DataFrame, keys: Sequence[str], models: Sequence[str], horizon: int = 24, dense: bool = False
 ) -> DataFrame:
     """Upper triangle of model against model, with the diagonal 0 / 1.
 
-    Pairs come from the forecasts of one row, so rows are not joined with
-    each other; the number of models is a parameter of the call.
+    The covariance of two loss differences is a sum of covariances of losses, so one set of moments of all models' losses
+    serves every pair and rows are not copied for pairs.
     """
-    rows = wide_rows(df, keys, models)
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(models[i]).alias("model"), F.lit(models[j]).alias("rival"),
-                (F.pow(F.col("y") - F.col("f")[i], 2) - F.pow(F.col("y") - F.col("f")[j], 2)).alias("d"),
-            )
-            for i in range(len(models))
-            for j in range(i + 1, len(models))
-        ]
-    )
-    long = rows.select(*keys, "ds", F.explode(cells).alias("c")).select(
-        *keys, "ds", "c.model", "c.rival", "c.d"
-    )
-    tests = dm_test(long, [*keys, "model", "rival"], F.col("d"), horizon, "ds", dense).drop("n")
+    keys = list(keys)
+    gap = lambda f: F.col("y") - f
+    rows = wide_rows(df, keys, models).select(*keys, "ds", F.transform("f", lambda f: gap(f) * gap(f)).alias("_l"))
+    if dense:
+        pos = hour_index("ds")
+    else:
+        rows = row_position(rows, keys, ["ds"], F.date_trunc("month", "ds"))
+        pos = F.col(POS)
+    pairs = [(a, b) for i, a in enumerate(models) for b in models[i + 1 :]]
+    names = F.array(*[F.struct(F.lit(a).alias("model"), F.lit(b).alias("rival")) for a, b in pairs])
+    stats = loss_moments(rows, keys, len(models), max(horizon - 1, 0), pos).withColumn("_t", _pair_statistics(len(models), horizon)("moments"))
+    tests = stats.select(*keys, F.explode(F.arrays_zip(names.alias("pair"), F.col("_t").alias("t"))).alias("_z")).select(
+        *keys, "_z.pair.model", "_z.pair.rival", F.col("_z.t").alias("dm_statistic")
+    ).withColumn("p_value", two_sided_p(F.col("dm_statistic")))
     diagonal = df.select(*keys).distinct().select(
         *keys, F.explode(F.array(*[F.lit(m) for m in models])).alias("model")
     ).select(

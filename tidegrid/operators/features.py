@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidegrid.operators.chunked import (
     CHUNK,
+    HOME,
     POS,
     carry_last,
     chunk_window,
@@ -142,22 +147,58 @@ def row_difference(
     return home_rows(rows.withColumn("change", F.col(value) - F.lag(value, n).over(w)))
 
 
+def _sliding(at: np.ndarray, value: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and median of the known values with ``at`` in (t - span, t] for every t of ``at``, which ascends.
+
+    One sorted run holds the window: a value is inserted when it comes and removed when it expires. Means are differences of
+    running sums in extended precision.
+    """
+    known = ~np.isnan(value)
+    ends, starts = np.searchsorted(at, at, side="right"), np.searchsorted(at, at - span, side="right")
+    sums = np.concatenate([[0], np.cumsum(np.where(known, value, 0.0).astype(np.longdouble))])
+    counts = np.concatenate([[0], np.cumsum(known)])
+    n = counts[ends] - counts[starts]
+    mean = np.where(n > 0, (sums[ends] - sums[starts]) / np.maximum(n, 1), np.nan).astype(float)
+    median = np.full(len(at), np.nan)
+    run: list[float] = []
+    lo = hi = 0
+    inside, values = known.tolist(), value.tolist()
+    for i, (start, end) in enumerate(zip(starts.tolist(), ends.tolist())):
+        while hi < end:
+            if inside[hi]:
+                insort(run, values[hi])
+            hi += 1
+        while lo < start:
+            if inside[lo]:
+                del run[bisect_left(run, values[lo])]
+            lo += 1
+        if run:
+            half = len(run) // 2
+            median[i] = run[half] if len(run) % 2 else run[half - 1] + (run[half] - run[half - 1]) * 0.5
+    return mean, median
+
+
 def rolling_time(
     df: DataFrame, keys: Sequence[str], days: int = 7, value: str = "value", ts: str = "ts"
 ) -> DataFrame:
-    """Mean and median over the last ``days`` days, open on the left."""
+    """Mean and median over the last ``days`` days, open on the left; nulls don't count.
+
+    A task holds one series and chunk with the rows before it that the first windows reach.
+    """
     span = days * 24
-    rows = with_halo(df, hour_index(ts), before=span)
-    w = (
-        Window.partitionBy(*keys, CHUNK)
-        .orderBy(F.unix_micros(ts))
-        .rangeBetween(-(span * 3_600_000_000 - 1), 0)
-    )
-    return home_rows(
-        rows.withColumn("rolling_mean", F.avg(value).over(w)).withColumn(
-            "rolling_median", F.percentile(value, F.lit(0.5)).over(w)
-        )
-    )
+    rows = with_halo(df, hour_index(ts), before=span).withColumns({"_micros": F.unix_micros(ts), "_v": F.col(value).cast("double")})
+    columns = df.columns
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("_micros")
+        mean, median = _sliding(group["_micros"].to_numpy(), group["_v"].to_numpy().astype(float), span * 3_600_000_000)
+        out = group.select(columns)
+        for name, new in (("rolling_mean", mean), ("rolling_median", median)):
+            out = out.append_column(name, pa.array(new, from_pandas=True))
+        return out.filter(group[HOME])
+
+    more = [T.StructField(c, T.DoubleType()) for c in ("rolling_mean", "rolling_median")]
+    return rows.groupBy(*keys, CHUNK).applyInArrow(run, T.StructType([*df.schema.fields, *more]))
 
 
 def naive_forecast(
