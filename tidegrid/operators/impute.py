@@ -11,15 +11,18 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidegrid.operators.chunked import (
-    join_null_safe,
     carry_last,
     chunk_window,
     home_rows,
     hour_index,
+    join_null_safe,
     with_halo,
 )
 
@@ -146,53 +149,53 @@ def seasonal_fill(
     return join_null_safe(df.withColumns(part), stats, [*keys, *part], "left").drop(*part)
 
 
+def _medians(index: np.ndarray, value: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Median (NaN without values) and number of values for each index from 0 to ``size`` - 1."""
+    counts = np.bincount(index, minlength=size)
+    ordered = np.append(value[np.lexsort((value, index))], np.nan)
+    first = np.cumsum(counts) - counts
+    low, high = (np.where(counts > 0, first + at, len(value)) for at in ((counts - 1) // 2, counts // 2))
+    return 0.5 * ordered[low] + 0.5 * ordered[high], counts
+
+
 def _cells(
     df: DataFrame, keys: Sequence[str], rules: Sequence[Rule], fit: Column | None, value: str, ts: str, metric: str
 ) -> DataFrame:
     """One row per series: its rule, arrays of (median, n) by hour×month, hour×weekday, hour, the global median.
 
-    Name patterns are matched once per series here, not once per row.
+    A task sorts one series' values once for each tier; a series is an hourly grid, so the calendar bounds it. A series without any fitted
+    value falls back to the median of all its values. Name patterns are matched once per series here, not once per row.
     """
-    v = F.col(value) if fit is None else F.when(fit, F.col(value))
-    rows = df.select(
-        *keys, v.alias("_v"), F.col(metric).alias("_name"),
-        F.hour(ts).alias("hour"), F.weekday(ts).alias("weekday"), F.month(ts).alias("month"),
-    )
     ks = list(keys)
-    sets = [[*ks, "hour", "month"], [*ks, "hour", "weekday"], [*ks, "hour"], ks]
-    stats = rows.groupingSets(
-        [[F.col(c) for c in s] for s in sets], *[F.col(c) for c in [*ks, "hour", "weekday", "month"]]
-    ).agg(
-        F.percentile("_v", F.lit(0.5)).alias("med"),
-        F.count("_v").alias("n"),
-        F.max("_name").alias("name"),
-        F.grouping("month").alias("gm"),
-        F.grouping("weekday").alias("gw"),
-        F.grouping("hour").alias("gh"),
+    rows = df.select(
+        *ks, F.col(value).cast("double").alias("_v"), (F.lit(True) if fit is None else F.coalesce(fit, F.lit(False))).alias("_fit"),
+        F.col(metric).cast("string").alias("_series_name"), F.hour(ts).alias("_hour"), F.weekday(ts).alias("_weekday"), F.month(ts).alias("_month"),
     )
-    cell = F.struct(F.col("med"), F.col("n"))
-
-    def table(is_set: Column, index: Column, size: int) -> Column:
-        entries = F.collect_list(F.when(is_set, F.struct(index.alias("k"), cell.alias("v"))))
-        m = F.map_from_entries(entries)
-        return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.try_element_at(m, i))
-
-    hm = (F.col("gm") == 0)
-    hw = (F.col("gw") == 0)
-    h = (F.col("gm") == 1) & (F.col("gw") == 1) & (F.col("gh") == 0)
-    g = F.col("gh") == 1
-    cells = stats.groupBy(*ks).agg(
-        F.max("name").alias("_name"),
-        table(hm, F.col("hour") * 12 + F.col("month") - 1, 288).alias("_hm"),
-        table(hw, F.col("hour") * 7 + F.col("weekday"), 168).alias("_hw"),
-        table(h, F.col("hour"), 24).alias("_h"),
-        F.max(F.when(g, F.col("med"))).alias("_global"),
-    ).withColumn("_rule", _rule_index(rules, "_name")).drop("_name")
-    if fit is None:
-        return cells
-    # a series without any fitted value falls back to the median of all its values
-    whole = df.groupBy(*ks).agg(F.percentile(value, F.lit(0.5)).alias("_whole"))
-    return join_null_safe(cells, whole, ks).withColumn("_global", F.coalesce("_global", "_whole")).drop("_whole")
+    cell = pa.struct([("med", pa.float64()), ("n", pa.int64())])
+    limited = fit is not None
+
+    def run(group: pa.Table) -> pa.Table:
+        every = group["_v"].to_numpy().astype(float)
+        kept = ~np.isnan(every) & group["_fit"].to_numpy()
+        value = every[kept]
+        hour, weekday, month = (group[c].to_numpy()[kept].astype(int) for c in ("_hour", "_weekday", "_month"))
+        out = {k: group[k].slice(0, 1) for k in ks}
+        out["_name"] = pa.array([max((n for n in group["_series_name"].unique().to_pylist() if n is not None), default=None)], pa.string())
+        for name, index, size in (("_hm", hour * 12 + month - 1, 288), ("_hw", hour * 7 + weekday, 168), ("_h", hour, 24)):
+            med, n = _medians(index, value, size)
+            cells = pa.StructArray.from_arrays([pa.array(med, from_pandas=True), pa.array(n, pa.int64())], fields=list(cell))
+            out[name] = pa.ListArray.from_arrays(pa.array([0, size], pa.int32()), cells)
+        known = every[~np.isnan(every)]
+        overall = np.median(value) if len(value) else np.median(known) if limited and len(known) else None
+        out["_global"] = pa.array([overall], pa.float64())
+        return pa.table(out)
+
+    fields = [f for k in ks for f in df.schema.fields if f.name == k]
+    cells = T.ArrayType(T.StructType([T.StructField("med", T.DoubleType()), T.StructField("n", T.LongType())]))
+    schema = T.StructType([
+        *fields, T.StructField("_name", T.StringType()), *[T.StructField(c, cells) for c in ("_hm", "_hw", "_h")], T.StructField("_global", T.DoubleType()),
+    ])
+    return rows.groupBy(*ks).applyInArrow(run, schema).withColumn("_rule", _rule_index(rules, "_name")).drop("_name")
 
 
 def tiered_fill(
