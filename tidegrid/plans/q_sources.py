@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions import timeutil
 from tidegrid.operators.densify import keep_one
-from tidegrid.plans import derive, target
+from tidegrid.plans import derive, target, topics as tp
 from tidegrid.plans.derive import HS, IV, PN, PR, with_cte
 from tidegrid.plans.q_eval import KEYS, SERIES, _r
 from tidegrid.plans.q_intervals import _METHOD, _SPLIT_SQL, _src
@@ -163,6 +163,32 @@ def src4(spark, d):
     )
 
 
+PARTIES = {"10YDE-VE-------2": "Party A", "10YDE-ENBW-----N": "Party B"}
+
+
+@query(
+    "src5_cross_border_parties",
+    with_cte(_DOC)
+    + """SELECT 'D' || user_id || '-' || strftime(day, '%Y-%m-%d') || '_1' AS ts_mrid, day + to_hours(CAST(position - 1 AS INT)) AS begin_timestamp_utc, q AS quantity_mwh,
+ CASE user_id % 3 WHEN 0 THEN 'S' || user_id ELSE '10YDE-VE-------2' END AS sender_mrid, CASE user_id % 3 WHEN 0 THEN 'S' || user_id ELSE 'Party A' END AS sender_mrid_name,
+ CASE user_id % 5 WHEN 0 THEN NULL ELSE '10YDE-ENBW-----N' END AS receiver_mrid, CASE user_id % 5 WHEN 0 THEN NULL ELSE 'Party B' END AS receiver_mrid_name,
+ CASE user_id % 2 WHEN 0 THEN 'Area North' ELSE '10YDE-ENBW-----N' END AS in_domain_name, 'X' || user_id AS out_domain_name FROM hold""",
+)
+def src5(spark, d):
+    """Senders of every third user are unknown codes, receivers of every fifth are absent; so is one of two domains from the names."""
+    receiver = "<receiver_MarketParticipant.mRID codingScheme=\"A01\">10YDE-ENBW-----N</receiver_MarketParticipant.mRID><TimeSeries>"
+    sender = F.concat(F.lit("codingScheme=\"A01\">S"), F.col("user_id"), F.lit("</sender_MarketParticipant.mRID>"))
+    xml = F.when(F.col("user_id") % 5 != 0, F.replace("xml", F.lit("<TimeSeries>"), F.lit(receiver))).otherwise(F.col("xml"))
+    docs = _market_docs(spark, d).withColumn("xml", xml)
+    unknown = F.replace("xml", F.lit("codingScheme=\"A01\">10YDE-VE-------2</sender_MarketParticipant.mRID>"), sender)
+    docs = docs.withColumn("xml", F.when(F.col("user_id") % 3 == 0, unknown).otherwise(F.col("xml")))
+    out = mx.redispatch_intervals(mx.document_series(docs), {"10YDE-VE-------2": "Area North"}, PARTIES)
+    return out.select(
+        "ts_mrid", "begin_timestamp_utc", "quantity_mwh", "sender_mrid", "sender_mrid_name", "receiver_mrid", "receiver_mrid_name",
+        "in_domain_name", "out_domain_name",
+    )
+
+
 def _outage_docs(spark, d):
     li = derive.table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q"))
     one = F.concat(
@@ -225,6 +251,71 @@ def cmp4(spark, d):
     return mx.hourly_topic(rows, F.concat(F.lit("load_"), F.col("domain"))).select("metric", "begin_date", "value")
 
 
+_TOPIC_SQL = """
+it AS (SELECT event_type AS kind, user_id % 3 AS area, value, event_id % 10 < 2 AS whole,
+ CASE WHEN event_id % 10 < 2 THEN date_trunc('hour', ts) ELSE date_trunc('minute', ts) END AS b, CASE event_id % 10 WHEN 0 THEN 3 ELSE 1 END AS n FROM events),
+hx AS (SELECT kind, area, value, whole, date_trunc('hour', b) + to_hours(CAST(k AS INT)) AS h FROM it, LATERAL (SELECT unnest(range(n)) AS k)),
+mx_ AS (SELECT h, """
+
+
+def _topic_mean(name: str, cond: str) -> str:
+    return f"coalesce(avg(value) FILTER (whole AND {cond}), avg(value) FILTER (NOT whole AND {cond})) AS {name}"
+
+
+_TOPIC_CONDITIONS = {
+    "load_forecast": "kind = 'view'", "load_actual": "kind = 'click'", "wind_forecast": "kind = 'signup' AND area = 0", "wind_actual": "kind = 'signup' AND area <> 0",
+    "north_export": "kind = 'purchase' AND area = 0", "north_import": "kind = 'error' AND area = 0",
+    "south_export": "kind = 'purchase' AND area > 0", "south_import": "kind = 'error' AND area > 0",
+}
+
+
+def _topics():
+    on = {c: F.expr(cond) for c, cond in _TOPIC_CONDITIONS.items()}
+    flows = tp.net_flows("flows", {c: (on[f"{c}_export"], on[f"{c}_import"]) for c in ("north", "south")})
+    return [tp.forecast_errors("errors", {c: (on[f"{c}_forecast"], on[f"{c}_actual"]) for c in ("load", "wind")}), flows]
+
+
+def _published(spark, d):
+    """Events as published values of three resolutions: three hours, an hour, a quarter."""
+    return derive.table(spark, d, "events").selectExpr(
+        "event_type AS kind", "user_id % 3 AS area", "value",
+        "CASE WHEN event_id % 10 < 2 THEN date_trunc('hour', ts) ELSE date_trunc('minute', ts) END AS begin_date",
+        "CASE WHEN event_id % 10 = 0 THEN date_trunc('hour', ts) + INTERVAL 3 HOURS WHEN event_id % 10 = 1 THEN date_trunc('hour', ts) + INTERVAL 1 HOUR "
+        "ELSE date_trunc('minute', ts) + INTERVAL 15 MINUTES END AS end_date",
+    )
+
+
+@query(
+    "cmp4_wide_topics",
+    "WITH "
+    + _TOPIC_SQL
+    + ", ".join(_topic_mean(c, cond) for c, cond in _TOPIC_CONDITIONS.items())
+    + """ FROM hx GROUP BY h)
+SELECT h AS begin_date, h + INTERVAL 1 HOUR AS end_date, round(load_forecast, 6) AS load_forecast, round(load_actual, 6) AS load_actual, round(load_forecast - load_actual, 6) AS load_error,
+ round(wind_forecast, 6) AS wind_forecast, round(wind_actual, 6) AS wind_actual, round(wind_forecast - wind_actual, 6) AS wind_error,
+ CASE WHEN coalesce(north_export, north_import) IS NOT NULL THEN round(coalesce(north_export, 0) - coalesce(north_import, 0), 6) END AS north,
+ CASE WHEN coalesce(south_export, south_import) IS NOT NULL THEN round(coalesce(south_export, 0) - coalesce(south_import, 0), 6) END AS south FROM mx_""",
+)
+def cmp4_topics(spark, d):
+    topics = _topics()
+    return _r(tp.wide_topics(_published(spark, d), topics), *[c for t in topics for c in t.shown], n=6)
+
+
+@query(
+    "cmp4_net_flow_topic",
+    "WITH "
+    + _TOPIC_SQL
+    + ", ".join(_topic_mean(c, cond) for c, cond in _TOPIC_CONDITIONS.items())
+    + """ FROM hx GROUP BY h),
+nt AS (SELECT h, CASE WHEN coalesce(north_export, north_import) IS NOT NULL THEN round(coalesce(north_export, 0) - coalesce(north_import, 0), 6) END AS north,
+ CASE WHEN coalesce(south_export, south_import) IS NOT NULL THEN round(coalesce(south_export, 0) - coalesce(south_import, 0), 6) END AS south FROM mx_)
+SELECT h AS begin_date, h + INTERVAL 1 HOUR AS end_date, north, south FROM nt WHERE coalesce(north, south) IS NOT NULL""",
+)
+def cmp4_flows(spark, d):
+    topics = _topics()
+    return _r(tp.topic_table(tp.wide_topics(_published(spark, d), topics), topics[1]), "north", "south", n=6)
+
+
 @query(
     "src7_src20_snk1_dataset",
     with_cte(PN)

@@ -170,13 +170,14 @@ def market_intervals(series: DataFrame, value: str = "quantity", business_type:
     )
 
 
-def redispatch_intervals(series: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
+def redispatch_intervals(series: DataFrame, names: dict[str, str] | None = None, parties: dict[str, str] | None = None) -> DataFrame:
     """Interval rows of internal and cross-border redispatch documents.
 
-    ``names`` maps domain and party codes to names. Values hold until the next
-    point whatever the curve type.
+    ``names`` maps domain codes to names, ``parties`` those of senders and receivers (by default the same); an unknown code is its own
+    name. Values hold until the next point whatever the curve type.
     """
     names = names or codes.CONTROL_AREAS
+    parties = names if parties is None else parties
     rows = _periods(series, "quantity")
     minutes = _minutes(F.col("p.resolution"), 1440, 15)
     s = lambda t: F.col(f"s.`{t}`")
@@ -200,6 +201,8 @@ def redispatch_intervals(series: DataFrame, names: dict[str, str] | None = None)
             "published_curve": F.col("s.curveType"),
             "reason_labels": F.when(F.size(reasons) > 0, F.array_join(reasons, ",")),
             "business_type": F.col("s.businessType"),
+            "sender_mrid_name": lookup(F.col("sender_mrid"), parties, F.col("sender_mrid")),
+            "receiver_mrid_name": lookup(F.col("receiver_mrid"), parties, F.col("receiver_mrid")),
             "sender_role_name": lookup(F.col("sender_role"), codes.PARTY_ROLES, F.col("sender_role")),
             "receiver_role_name": lookup(F.col("receiver_role"), codes.PARTY_ROLES, F.col("receiver_role")),
             "step_minutes": minutes,
@@ -209,8 +212,8 @@ def redispatch_intervals(series: DataFrame, names: dict[str, str] | None = None)
     )
     rows = rows.withColumn("n_steps", _steps("step_minutes")).where("n_steps > 0")
     keys = [
-        "doc_mrid", "doc_revision_number", "ts_mrid", "sender_mrid", "sender_role", "sender_role_name",
-        "receiver_mrid", "receiver_role", "receiver_role_name", "tso", "in_domain", "in_domain_name",
+        "doc_mrid", "doc_revision_number", "ts_mrid", "sender_mrid", "sender_mrid_name", "sender_role", "sender_role_name",
+        "receiver_mrid", "receiver_mrid_name", "receiver_role", "receiver_role_name", "tso", "in_domain", "in_domain_name",
         "out_domain", "out_domain_name", "psr_type", "psr_type_name", "flow_direction", "flow_direction_name",
         "quantity_unit", "resolution", "published_curve", "reason_labels", "business_type",
     ]
