@@ -204,3 +204,21 @@ def test_feature_groups_follow_the_shape_of_profiles(spark):
         assert got[m, "flat"] == -1 and {c: len(v) for c, v in groups.items()} == {-1: 1, 0: 1, 1: 1, 2: 1}
     one = cl.feature_groups(df.where("feature LIKE 'up%'").withColumn("value", F.col("horizon") * 1.0), ["model"], ["horizon"], 5)
     assert {r.cluster for r in one.collect()} == {0}
+
+
+def test_windows_of_a_late_day_step_as_calendars_do(spark):
+    import pandas as pd
+
+    lo, hi = pd.Timestamp("2021-01-31 05:00"), pd.Timestamp("2022-06-10 00:00")
+    got = fr.rolling_windows(spark.createDataFrame([(lo.to_pydatetime(), hi.to_pydatetime())], "lo timestamp, hi timestamp"), 3, 2, 1)
+    want, start = [], lo
+    while True:
+        valid = start + pd.DateOffset(months=3)
+        test = valid + pd.DateOffset(months=2)
+        end = test + pd.DateOffset(months=1)
+        if end > hi + pd.Timedelta(hours=1) and (hi - test) / (end - test) < 0.5:
+            break
+        want.append((len(want), start, valid, test, end))
+        start = start + pd.DateOffset(months=1)
+    rows = [(r.window_index, *(pd.Timestamp(r[c]) for c in ("train_start", "valid_start", "test_start", "test_end"))) for r in got.collect()]
+    assert sorted(rows) == want and any(w[1].day == 28 for w in want)

@@ -19,20 +19,19 @@ def rolling_windows(
 ) -> DataFrame:
     """Monthly windows from (keys, lo, hi): stop at the first window with too little test data.
 
-    Month offsets count from the data start; the months of the data bound the candidates.
+    A window starts a month after the one before, and its bounds follow each other: a start on the 31st moves to the 30th or 28th in
+    a shorter month and stays there. The months of the data bound the candidates.
     """
-    def shifted(months: str) -> str:
-        return f"timestampadd(MONTH, {months}, lo)"
-
     months = F.ceil(F.months_between("hi", "lo")).cast("int") + 2
     cand = bounds.withColumn(
         "window_index", F.explode(F.sequence(F.lit(0), F.greatest(months, F.lit(0))))
     )
+    steps = "CASE WHEN window_index > 0 THEN sequence(1, window_index) ELSE array() END"
     cand = (
-        cand.withColumn("train_start", F.expr(shifted("window_index")))
-        .withColumn("valid_start", F.expr(shifted(f"window_index + {n_train}")))
-        .withColumn("test_start", F.expr(shifted(f"window_index + {n_train + n_valid}")))
-        .withColumn("test_end", F.expr(shifted(f"window_index + {n_train + n_valid + n_test}")))
+        cand.withColumn("train_start", F.expr(f"aggregate({steps}, lo, (a, _) -> timestampadd(MONTH, 1, a))"))
+        .withColumn("valid_start", F.expr(f"timestampadd(MONTH, {n_train}, train_start)"))
+        .withColumn("test_start", F.expr(f"timestampadd(MONTH, {n_valid}, valid_start)"))
+        .withColumn("test_end", F.expr(f"timestampadd(MONTH, {n_test}, test_start)"))
     )
     seconds = lambda c: F.unix_seconds(c)
     coverage = (seconds("hi") - seconds("test_start")) / (seconds("test_end") - seconds("test_start"))
