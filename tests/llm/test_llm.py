@@ -507,3 +507,50 @@ def test_op3_sees_the_order_of_words(spark, tmp_path):
     spark.createDataFrame([*((i, text()) for i in range(200)), (1000, told), (1000, " ".join(mixed))], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     low, high = sorted(x.score for x in queries.op3_lm_score(spark, str(tmp_path)).where("doc_id = 1000").collect())
     assert low < high - 5
+
+
+@pytest.mark.parametrize("n", [5, 60, 400])
+def test_ties_of_a_list_hold_every_link(n):
+    r = np.random.default_rng(n)
+    drawn = lambda k: r.integers(0, 2**64, k, dtype=np.uint64)
+    base = [drawn(n) for _ in range(4)]
+    sets = [np.unique(np.concatenate([r.permutation(b)[r.integers(0, n // 5 + 1) :], drawn(r.integers(0, n // 5 + 2))])) for b in base for _ in range(12)]
+    lists = np.sort(r.integers(0, 5, len(sets)))
+    sizes, maps = np.array([len(s) for s in sets]), [np.frombuffer(jaccard.bitmap(s), np.uint8) for s in sets]
+    w = min(map(len, maps))
+    bits = np.stack([np.bitwise_or.reduce(m.reshape(-1, w), axis=0) for m in maps]).view(np.uint64)
+    names = np.arange(len(sets)) * 10
+    a, b = jaccard.ties(lists, names, sizes, bits, 80, 100)
+    root = {x: x for x in names.tolist()}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x, y in zip(a.tolist(), b.tolist()):
+        assert lists[x // 10] == lists[y // 10]
+        root[find(x)] = find(y)
+    links = 0
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if lists[i] == lists[j] and 100 * both >= 80 * (sizes[i] + sizes[j] - both):
+                links += 1
+                assert find(i * 10) == find(j * 10)
+    assert links
+    # sets of different bases are told apart
+    assert n < 60 or all(find(i * 10) != find(j * 10) for i in range(len(sets)) for j in range(len(sets)) if i // 12 != j // 12)
+
+
+def test_jaccard_long_lists_are_split(spark, rows, docs, monkeypatch):
+    monkeypatch.setattr(jaccard, "LIST", 3)
+    monkeypatch.setattr(jaccard, "LIST_ROWS", 5)
+    monkeypatch.setattr(jaccard, "REMEMBERED", 2)
+    _same(jaccard.join_components(docs), _components(rows))
+    # one common block in many short sets that are no links of each other, and some that are
+    r = random.Random(2)
+    more = [(i, f"one common line {r.randrange(9)} {r.randrange(9)}") for i in range(60)]
+    more += [(100 + i, " ".join(f"w{k}" if k != i else "other" for k in range(80))) for i in range(0, 80, 3)]
+    df = spark.createDataFrame([(i, x, "en", "s", 1, 7, "w", 3, 2, 1) for i, x in more], SCHEMA)
+    _same(jaccard.join_components(df), _components(more))

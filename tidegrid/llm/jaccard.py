@@ -9,7 +9,13 @@ its smaller partners are. Lists are keyed by class, position and content of the
 whose block differs. Empty blocks enter the index only for sets with more of them than ``SPARE``; this keeps the
 guarantee without a list of unrelated short sets.
 
-Answers from a similar set. Sets that meet in a list form families. Inside a block of a family one set is the pivot, the others are
+Bounds inside a list. Only lists with two sets or more go on. A set there carries its size and a bitmap of its hashes: every bit in
+which two bitmaps differ needs an element that only one of the sets has, so pairs with too many such bits, or too different sizes, are
+no links. A list's first set is compared with all others, and so is each set that has not been tied to it; a pair left out is
+thus tied already. One list in ``FIRST_LISTS`` is compared first; of the others only those with sets not yet tied together. Lists beyond ``LIST`` sets are spread over tasks by pairs of parts. Bitmaps stop at ``MOST_BITS``, so that for very long sets they
+exclude less.
+
+Answers from a similar set. Sets tied in this way form families; every link lies inside one. Inside a block of a family one set is the pivot, the others are
 held as differences from it; the overlap of two sets is the pivot's answer corrected by the elements in both differences, so only
 those are counted. Families beyond ``BLOCK`` sets are spread over tasks: every block meets the first; a set that has then joined the
 family's largest component needs no more comparisons, since links inside a component change nothing; the others meet all blocks.
@@ -39,6 +45,13 @@ from tidegrid.session import cut_lineage
 BLOCK = 512
 SPARE = 2
 CLASS_RATIO = 1.5
+#: Sets of a list that a task compares, bits of a set's bitmap, sets whose keys a task remembers as sent, rows of lists held at once.
+LIST = 2048
+LEAST_BITS, MOST_BITS = 64, 1 << 15
+REMEMBERED = 1_000_000
+LIST_ROWS, LIST_BYTES = 50_000, 8 << 20
+#: One list in so many is compared first.
+FIRST_LISTS = 8
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -81,6 +94,14 @@ def digest(s: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes()) & 0xFFFFFFFFFFFFFFFF).astype(np.int64)))
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """A bit for each value of the low bits of the hashes; half as many bits are the OR of both halves."""
+    bits = min(max(LEAST_BITS, 1 << max(2 * len(s) - 1, 0).bit_length()), MOST_BITS)
+    out = np.zeros(bits, np.uint8)
+    out[(s & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(out).tobytes()
+
+
 class Scheme:
     """Size classes and numbers of blocks for ``num``/``den`` as the least similarity."""
 
@@ -162,9 +183,11 @@ def linked(sets: list[np.ndarray], others: list[np.ndarray], num: int, den: int)
     return out
 
 
-def _classes(rows: DataFrame, n: int, scheme: Scheme) -> tuple[DataFrame, DataFrame]:
-    """Each document with its set's size and name; the keys of every set."""
-    schema = pa.schema([("doc_id", pa.int64()), ("tk", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("keys", pa.list_(pa.int64()))])
+def _classes(rows: DataFrame, n: int, scheme: Scheme) -> DataFrame:
+    """Each document with its set's size and name; the keys and the bitmap of every set."""
+    schema = pa.schema([
+        ("doc_id", pa.int64()), ("tk", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("keys", pa.list_(pa.int64())), ("bits", pa.binary())
+    ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, seen = Shingler(n), set()
@@ -175,19 +198,136 @@ def _classes(rows: DataFrame, n: int, scheme: Scheme) -> tuple[DataFrame, DataFr
                 cls = digest(s)
                 # a set's keys leave a task once: its copies add nothing
                 new = len(s) and cls not in seen
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
                 seen.add(cls)
-                out.append((i, tk, len(s), cls, scheme.keys(s).view(np.int64) if new else None))
+                out.append((i, tk, len(s), cls, *((scheme.keys(s).view(np.int64), bitmap(s)) if new else (None, None))))
             for at in range(0, len(out), 1024):
                 yield common.batch(schema, *zip(*out[at : at + 1024]))
 
-    return rows.mapInArrow(run, "doc_id long, tk long, n long, cls long, keys array<long>")
+    return rows.mapInArrow(run, "doc_id long, tk long, n long, cls long, keys array<long>, bits binary")
+
 
+def _possible(sizes: tuple[np.ndarray, np.ndarray], bits: tuple[np.ndarray, np.ndarray], num: int, den: int) -> np.ndarray:
+    """Pairs that sizes and bitmaps do not exclude: the elements of one set alone are at least the bits that differ."""
+    a, b = sizes
+    apart = np.maximum(np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64), np.abs(a - b))
+    # shared = (a + b - apart) / 2 and union = (a + b + apart) / 2
+    return den * (a + b - apart) >= num * (a + b + apart)
 
-def _families(docs: DataFrame) -> DataFrame:
-    """(node, root) of sets that meet in index lists. A list is tied together by links to its smallest name."""
-    entries = docs.where("keys IS NOT NULL").select("cls", F.explode("keys").alias("key"))
-    least = entries.select("key", "cls", F.min("cls").over(Window.partitionBy("key")).alias("least"))
-    return components(least.where("cls <> least").select(F.col("cls").alias("a"), F.col("least").alias("b")).distinct())
+
+def ties(lists: np.ndarray, names: np.ndarray, sizes: np.ndarray, bits: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of names that tie together all possible links of each list; rows are sorted by list.
+
+    A list's first row comes first; a row tied to it needs no comparisons of its own, as all rows tied to it are one family.
+    """
+    start = np.flatnonzero(np.r_[True, lists[1:] != lists[:-1]])
+    length = np.diff(np.r_[start, len(lists)])
+    tied, todo = np.zeros(len(lists), bool), np.ones(len(lists), bool)
+    of = np.repeat(np.arange(len(start)), length)
+    tied[start] = True
+    out_a, out_b = [], []
+    while len(rows := np.flatnonzero(todo)):
+        # one pivot for each list with rows to do: its first
+        own, at = np.unique(of[rows], return_index=True)
+        pivots = rows[at]
+        reach = length[own]
+        other = np.repeat(start[own] - np.r_[0, np.cumsum(reach)[:-1]], reach) + np.arange(reach.sum())
+        pivot = np.repeat(pivots, reach)
+        good = _possible((sizes[pivot], sizes[other]), (bits[pivot], bits[other]), num, den)
+        pivot, other = pivot[good], other[good]
+        # what a pivot reaches is tied if anything it reaches is
+        reached = np.zeros(len(start), bool)
+        reached[of[other[tied[other]]]] = True
+        tied[other[reached[of[other]]]] = True
+        todo[pivots] = False
+        todo &= ~tied
+        differ = names[pivot] != names[other]
+        out_a.append(names[pivot[differ]])
+        out_b.append(names[other[differ]])
+    return np.concatenate(out_a), np.concatenate(out_b)
+
+
+def _ties(entries: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) of all lists; entries (key, left, right, cls, n, bits) are sorted by list and ``cls`` in each task."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def tie(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        key, left, right, names, sizes = (t.column(c).to_numpy() for c in ("key", "left", "right", "cls", "n"))
+        lists = np.cumsum(np.r_[True, (np.diff(key) != 0) | (np.diff(left) != 0) | (np.diff(right) != 0)])
+        maps = t.column("bits").to_pylist()
+        width = np.fromiter(map(len, maps), np.int64, len(maps))
+        start = np.flatnonzero(np.r_[True, np.diff(lists) != 0])
+        narrow = np.repeat(np.minimum.reduceat(width, start), np.diff(np.r_[start, len(lists)]))
+        found = []
+        for w in np.unique(narrow):
+            rows = np.flatnonzero(narrow == w)
+            bits = np.zeros((len(rows), w), np.uint8)
+            for own in np.unique(width[rows]):
+                at = np.flatnonzero(width[rows] == own)
+                wide = np.frombuffer(b"".join([maps[r] for r in rows[at]]), np.uint8).reshape(len(at), own // w, w)
+                bits[at] = np.bitwise_or.reduce(wide, axis=1)
+            found.append(ties(lists[rows], names[rows], sizes[rows], bits.view(np.uint64), num, den))
+        return tuple(map(np.concatenate, zip(*found)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[tuple[int, int]] = set()  # ties that left lately: most lists of a family repeat them
+
+        def new(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            pairs = set(zip(*(x.tolist() for x in tie(t)))) - known
+            if len(known) > REMEMBERED:
+                known.clear()
+            known.update(pairs)
+            if pairs:
+                yield common.batch(schema, *zip(*pairs))
+
+        held, rows, size = [], 0, 0
+        for b in batches:
+            for at in range(0, b.num_rows, LIST):
+                part = b.slice(at, LIST)
+                if rows >= LIST_ROWS or size >= LIST_BYTES:
+                    last = [held[-1].column(c)[-1].as_py() for c in ("key", "left", "right")]
+                    same = np.logical_and.reduce([part.column(c).to_numpy() == v for c, v in zip(("key", "left", "right"), last)])
+                    cut = int(same.sum())  # sorted: the open list's rows come first
+                    held.append(part.slice(0, cut))
+                    part = part.slice(cut)
+                    if part.num_rows:
+                        yield from new(pa.Table.from_batches(held))
+                        held, rows, size = [], 0, 0
+                held.append(part)
+                rows += part.num_rows
+                size += part.nbytes
+        if rows:
+            yield from new(pa.Table.from_batches(held))
+
+    order = ("key", "left", "right")
+    return entries.repartition(*order).sortWithinPartitions(*order, "cls").mapInArrow(run, "a long, b long")
+
+
+def _families(docs: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, root) of sets that lists and bounds tie together; every link lies inside one family."""
+    held = docs.where("keys IS NOT NULL")
+    entries = held.select("cls", F.explode("keys").alias("key"))
+    counts = entries.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count("*").alias("members"))
+    lists = counts.where("low <> high").select("key", F.ceil(F.col("members") / LIST).cast("long").alias("parts"))
+    met = staged(entries.join(lists, "key").distinct(), "lists")
+    marks = staged(held.groupBy("cls").agg(F.first("n").alias("n"), F.first("bits").alias("bits")), "bitmaps")
+
+    def tied(some: DataFrame) -> DataFrame:
+        rows = some.join(marks, "cls").withColumn("part", F.pmod(F.xxhash64(F.lit(13), "cls"), F.col("parts")))
+        # a part of a long list meets itself and every other part
+        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
+        rows = rows.select("key", "cls", "n", "bits", "part", other).select(
+            "key", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"), "cls", "n", "bits"
+        )
+        return staged(_ties(rows, num, den).distinct(), "ties")
+
+    # near copies meet in most of their lists: a share of the lists ties them, and lists inside one family need no look
+    early = tied(met.where(F.pmod(F.xxhash64(F.lit(17), "key"), F.lit(FIRST_LISTS)) == 0))
+    known = components(early)
+    state = met.join(known, met["cls"] == known["node"], "left").select("key", "cls", "parts", F.coalesce("root", "cls").alias("root"))
+    mixed = state.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    return components(early.unionByName(tied(met.join(mixed, "key", "left_semi"))))
 
 
 def _sets(rows: DataFrame, members: DataFrame, n: int) -> DataFrame:
@@ -233,7 +373,7 @@ def classes(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataF
     rows = common.texts(docs).withColumn("tk", common.text_key(F.col("text")))
     scheme = Scheme(num, den)
     named = staged(_classes(rows, n, scheme), "sets")
-    families = _families(named)
+    families = _families(named, num, den)
     one = named.where("n > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "tk")).alias("one"))
     placed = families.join(one, families["node"] == one["cls"]).select(
         F.col("one.doc_id").alias("doc_id"), F.col("one.tk").alias("tk"), "cls", F.col("root").alias("family")
