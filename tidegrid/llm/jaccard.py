@@ -289,11 +289,10 @@ def _ties(entries: DataFrame, num: int, den: int) -> DataFrame:
                     last = [held[-1].column(c)[-1].as_py() for c in ("key", "left", "right")]
                     same = np.logical_and.reduce([part.column(c).to_numpy() == v for c, v in zip(("key", "left", "right"), last)])
                     cut = int(same.sum())  # sorted: the open list's rows come first
-                    held.append(part.slice(0, cut))
-                    part = part.slice(cut)
-                    if part.num_rows:
-                        yield from new(pa.Table.from_batches(held))
+                    if cut < part.num_rows:
+                        yield from new(pa.Table.from_batches([*held, part.slice(0, cut)]))
                         held, rows, size = [], 0, 0
+                        part = part.slice(cut)
                 held.append(part)
                 rows += part.num_rows
                 size += part.nbytes
