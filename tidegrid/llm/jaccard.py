@@ -11,8 +11,8 @@ guarantee without a list of unrelated short sets.
 
 Bounds inside a list. Only lists with two sets or more go on. A set there carries its size and a bitmap of its hashes: every bit in
 which two bitmaps differ needs an element that only one of the sets has, so pairs with too many such bits, or too different sizes, are
-no links. A list's first set is compared with all others, and so is each set that has not been tied to it; a pair left out is
-thus tied already. One list in ``FIRST_LISTS`` is compared first; of the others only those with sets not yet tied together. Lists beyond ``LIST`` sets are spread over tasks by pairs of parts. Bitmaps stop at ``MOST_BITS``, so that for very long sets they
+no links. Sets of a list are compared with all of it one after the other, until all others are in the list's largest tied group; a pair left
+out is thus tied already. One list in ``FIRST_LISTS`` is compared first; of the others only those with sets not yet tied together. Lists beyond ``LIST`` sets are spread over tasks by pairs of parts. Bitmaps stop at ``MOST_BITS``, so that for very long sets they
 exclude less.
 
 Answers from a similar set. Sets tied in this way form families; every link lies inside one. Inside a block of a family one set is the pivot, the others are
@@ -219,33 +219,39 @@ def _possible(sizes: tuple[np.ndarray, np.ndarray], bits: tuple[np.ndarray, np.n
 def ties(lists: np.ndarray, names: np.ndarray, sizes: np.ndarray, bits: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of names that tie together all possible links of each list; rows are sorted by list.
 
-    A list's first row comes first; a row tied to it needs no comparisons of its own, as all rows tied to it are one family.
+    One row of each list after the other is compared with the whole list, until all others are in the list's largest tied group. Only
+    pairs that join two groups are returned: fewer than a list has rows.
     """
+    total = len(lists)
     start = np.flatnonzero(np.r_[True, lists[1:] != lists[:-1]])
-    length = np.diff(np.r_[start, len(lists)])
-    tied, todo = np.zeros(len(lists), bool), np.ones(len(lists), bool)
+    length = np.diff(np.r_[start, total])
     of = np.repeat(np.arange(len(start)), length)
-    tied[start] = True
+    group, done, rows = np.arange(total), np.zeros(total, bool), np.arange(total)
     out_a, out_b = [], []
-    while len(rows := np.flatnonzero(todo)):
-        # one pivot for each list with rows to do: its first
-        own, at = np.unique(of[rows], return_index=True)
-        pivots = rows[at]
-        reach = length[own]
+    while len(rows):
+        members = np.bincount(group[rows], minlength=total)
+        rank = np.full(len(start), -1)
+        np.maximum.at(rank, of[rows], members[group[rows]] * total + total - 1 - group[rows])
+        largest = total - 1 - rank % total
+        todo = rows[~done[rows] & (group[rows] != largest[of[rows]])]
+        own, at = np.unique(of[todo], return_index=True)
+        pivots, reach = todo[at], length[own]
         other = np.repeat(start[own] - np.r_[0, np.cumsum(reach)[:-1]], reach) + np.arange(reach.sum())
         pivot = np.repeat(pivots, reach)
         good = _possible((sizes[pivot], sizes[other]), (bits[pivot], bits[other]), num, den)
         pivot, other = pivot[good], other[good]
-        # what a pivot reaches is tied if anything it reaches is
-        reached = np.zeros(len(start), bool)
-        reached[of[other[tied[other]]]] = True
-        tied[other[reached[of[other]]]] = True
-        todo[pivots] = False
-        todo &= ~tied
-        differ = names[pivot] != names[other]
-        out_a.append(names[pivot[differ]])
-        out_b.append(names[other[differ]])
-    return np.concatenate(out_a), np.concatenate(out_b)
+        joins = group[pivot] != group[other]
+        joined, one = np.unique(group[other[joins]], return_index=True)
+        out_a.append(names[pivot[joins][one]])
+        out_b.append(names[other[joins][one]])
+        done[pivots] = True
+        new, gone = np.zeros(len(start), np.int64), np.zeros(total, bool)
+        new[own] = group[pivots]
+        gone[joined] = True
+        rows = rows[np.isin(of[rows], own)]
+        moved = rows[gone[group[rows]]]
+        group[moved] = new[of[moved]]
+    return np.concatenate([names[:0], *out_a]), np.concatenate([names[:0], *out_b])
 
 
 def _ties(entries: DataFrame, num: int, den: int) -> DataFrame:
@@ -271,13 +277,23 @@ def _ties(entries: DataFrame, num: int, den: int) -> DataFrame:
         return tuple(map(np.concatenate, zip(*found)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: set[tuple[int, int]] = set()  # ties that left lately: most lists of a family repeat them
+        parent: dict[int, int] = {}  # sets tied by this task: most lists of a family say the same
+
+        def find(x: int) -> int:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = parent[up]
+                x = up
+            return x
 
         def new(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            pairs = set(zip(*(x.tolist() for x in tie(t)))) - known
-            if len(known) > REMEMBERED:
-                known.clear()
-            known.update(pairs)
+            if len(parent) > REMEMBERED:
+                parent.clear()
+            pairs = []
+            for a, b in zip(*(x.tolist() for x in tie(t))):
+                x, y = find(a), find(b)
+                if x != y:
+                    parent[x] = y
+                    pairs.append((a, b))
             if pairs:
                 yield common.batch(schema, *zip(*pairs))
 
