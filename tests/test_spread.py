@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidegrid.operators import bootstrap as bs
+from tidegrid.operators.densify import common_bounds, hour_grid
 
 
 def _plan(df) -> str:
@@ -29,3 +30,11 @@ def test_drawn_positions_are_not_broadcast(spark):
     joins = [line for line in _plan(out).splitlines() if "Join" in line and "pos" in line]
     assert joins and all("SortMergeJoin" in line for line in joins)
     assert sorted((r.k, r.low, r.high) for r in out.collect()) == [(0, 5.0, 5.0), (1, 5.0, 5.0)]
+
+
+def test_hours_of_a_grid_are_dealt_to_all_tasks(spark):
+    rows = spark.range(400).select(F.concat(F.lit("s"), F.col("id")).alias("k"), F.timestamp_seconds((F.col("id") % 48) * 3600).alias("ts"))
+    grid = hour_grid(common_bounds(rows, ["k"]), True)
+    sizes = [r["count"] for r in grid.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 400 * 48
+    assert len(sizes) > 4 and max(sizes) < 400 * 48 / 3
