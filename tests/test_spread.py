@@ -38,3 +38,16 @@ def test_hours_of_a_grid_are_dealt_to_all_tasks(spark):
     sizes = [r["count"] for r in grid.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == 400 * 48
     assert len(sizes) > 4 and max(sizes) < 400 * 48 / 3
+
+
+def test_an_outage_document_is_parsed_once(spark):
+    from tidegrid.sources import market_xml as mx
+
+    xml = (
+        "<U><mRID>A</mRID><revisionNumber>2</revisionNumber><TimeSeries><mRID>1</mRID><Available_Period><timeInterval><start>2024-01-01T00:00Z</start>"
+        "<end>2024-01-01T02:00Z</end></timeInterval><resolution>PT60M</resolution><Point><position>1</position><quantity>5</quantity></Point>"
+        "<Point><position>2</position><quantity>6</quantity></Point></Available_Period></TimeSeries></U>"
+    )
+    out = mx.outage_intervals(spark.createDataFrame([(xml,)], "xml string")).select("InstanceCode", "VersionNumber", "AvailableCapacityMW")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("from_xml") == 1
+    assert sorted((r.InstanceCode, r.VersionNumber, r.AvailableCapacityMW) for r in out.collect()) == [("A", 2, 5.0), ("A", 2, 6.0)]

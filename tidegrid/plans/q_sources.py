@@ -14,7 +14,7 @@ from tidegrid.plans.derive import HS, IV, PN, PR, with_cte
 from tidegrid.plans.q_eval import KEYS, SERIES, _r
 from tidegrid.plans.q_intervals import _METHOD, _SPLIT_SQL, _src
 from tidegrid.plans.registry import query
-from tidegrid.session import staging_path
+from tidegrid.session import cut_lineage, staging_path
 from tidegrid.sources import files, market_xml as mx, predictions as pred
 from tidegrid.streaming import jobs
 
@@ -232,7 +232,8 @@ def src6(spark, d):
     "SELECT 'north' AS area, CAST(o_custkey % 3 + 1 AS INT) AS version, count(*) AS n FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) GROUP BY ALL UNION ALL SELECT 'south', CAST(o_custkey % 3 + 1 AS INT), count(*) FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) GROUP BY ALL",
 )
 def src19(spark, d):
-    one = mx.outage_intervals(_outage_docs(spark, d)).select("InstanceCode", "VersionNumber")
+    # three parts read these rows; the documents are parsed once
+    one = cut_lineage(mx.outage_intervals(_outage_docs(spark, d)).select("InstanceCode", "VersionNumber"))
     out = mx.outage_table({"north": one, "south": one.unionByName(one)})
     return out.groupBy(F.col("Area").alias("area"), F.col("VersionNumber").alias("version")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -237,7 +237,8 @@ def reason_group(text: Column) -> Column:
 
 def outage_intervals(docs: DataFrame, xml: str = "xml") -> DataFrame:
     """Versioned unavailability rows: each point lasts to the next, the last one to the period end."""
-    parsed = docs.withColumn("_d", F.from_xml(F.col(xml), OUTAGE_SCHEMA, _OPTIONS))
+    # from an array of one, as filters on a plain column would parse every document again for each of them
+    parsed = docs.withColumn("_d", F.explode(F.array(F.from_xml(F.col(xml), OUTAGE_SCHEMA, _OPTIONS))))
     parsed = parsed.where(
         F.assert_true(F.col("_d.mRID").isNotNull(), F.lit("outage document without mRID")).isNull()
     ).withColumn("s", F.explode("_d.TimeSeries"))
