@@ -1,5 +1,7 @@
 """Steps whose small input grows inside the step: neither one task nor the driver may hold what it becomes."""
 
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from tidegrid.operators import bootstrap as bs
@@ -40,6 +42,17 @@ def test_hours_of_a_grid_are_dealt_to_all_tasks(spark):
     assert len(sizes) > 4 and max(sizes) < 400 * 48 / 3
 
 
+def test_a_dataset_folder_has_one_file(spark, tmp_path):
+    from tidegrid.sources import files
+
+    rows = spark.range(4000).repartition(8).select(
+        F.concat(F.lit("o"), F.col("id") % 5).alias("operator"), F.timestamp_seconds((F.col("id") % 24) * 3600).alias("ts"), F.col("id").alias("y")
+    )
+    data = files.write_dataset(rows, str(tmp_path), "basic", ["basic"])
+    assert sorted(len([*p.glob("*.parquet")]) for p in Path(data).glob("operator=*")) == [1] * 5
+    assert files.read_dataset(spark, data).agg(F.sum("y")).first()[0] == sum(range(4000))
+
+
 def test_an_outage_document_is_parsed_once(spark):
     from tidegrid.sources import market_xml as mx
 

@@ -116,7 +116,9 @@ def write_dataset(df: DataFrame, path: str, name: str, feature_sets: Sequence[st
     operator, written by Spark.
     """
     data = f"{path}/{name}"
-    df.write.mode("overwrite").partitionBy("operator").parquet(data)
+    # a folder gets one file a month, however many tasks hold rows of its operator
+    dealt = df.repartition("operator", F.date_trunc("month", ts))
+    dealt.write.mode("overwrite").partitionBy("operator").parquet(data)
     stored = df.sparkSession.read.parquet(data)
     cols = [c for c in df.columns if c != "operator"]
     meta = stored.groupBy("operator").agg(
