@@ -1,11 +1,13 @@
 """Steps whose small input grows inside the step: neither one task nor the driver may hold what it becomes."""
 
+import re
 from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from tidegrid.operators import bootstrap as bs
 from tidegrid.operators.densify import common_bounds, hour_grid
+from tidegrid.operators.frames import window_roles
 
 
 def _plan(df) -> str:
@@ -64,3 +66,20 @@ def test_an_outage_document_is_parsed_once(spark):
     out = mx.outage_intervals(spark.createDataFrame([(xml,)], "xml string")).select("InstanceCode", "VersionNumber", "AvailableCapacityMW")
     assert out._jdf.queryExecution().optimizedPlan().toString().count("from_xml") == 1
     assert sorted((r.InstanceCode, r.VersionNumber, r.AvailableCapacityMW) for r in out.collect()) == [("A", 2, 5.0), ("A", 2, 6.0)]
+
+
+def test_rows_do_not_gather_by_window(spark):
+    from tidegrid.operators import sweeps as sw
+
+    rows = spark.range(24 * 40).select(F.expr("concat('a', id div 960)").alias("k"), F.timestamp_seconds(F.col("id") * 3600).alias("ds"), (F.col("id") % 3).cast("double").alias("y"))
+    days = [(i, *[F.timestamp_seconds(F.lit((i + d) * 86400)) for d in (0, 10, 20, 25)]) for i in (0, 5)]
+    windows = spark.createDataFrame([(0,), (5,)], "window_index int")
+    for at, name in enumerate(sw.NAMES, 1):
+        windows = windows.withColumn(name, F.when(F.col("window_index") == 0, days[0][at]).otherwise(days[1][at]))
+    out = sw.intermittent_sweep(rows.repartition("k", "ds"), windows, ["k"], [(0.1, 0.3)])
+    found = out.groupBy("window_index").count().collect()
+    assert {r.window_index: r["count"] for r in found} == {0: 5 * 24, 5: 5 * 24}
+    # few windows: rows dealt by the window alone would meet in as many tasks
+    assert not re.search(r"hashpartitioning\(coalesce\(window_index#\d+, [^()]*\), isnull\(window_index#\d+\), \d+\)", _plan(out))
+    dealt = _plan(window_roles(rows, windows))
+    assert "BroadcastHashJoin" in dealt and "BuildRight" in dealt and "BuildLeft" not in dealt
