@@ -1,0 +1,24 @@
+"""What an operator looks up, encodes or moves once only."""
+
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from tidegrid.llm import words
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+
+
+@pytest.mark.parametrize("capacity", [4, 1_000_000])
+def test_words_are_encoded_once_whatever_marks_follow(capacity):
+    texts = ["Alpha, alpha. alpha", "", " alpha!?  beta\nbeta; it's x1 42", "\n", "<|endoftext|> BETA. İstanbul, ß… é́)"]
+    encoder = words.ChunkEncoder(PATH, capacity)
+    learnt, learn = [], encoder._encode_letters
+    encoder._encode_letters = lambda some: learnt.extend(some) or learn(some)
+    plain = Tokenizer.from_file(PATH)
+    want = [b"".join(i.to_bytes(4, "little") for i in plain.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert encoder.encode(texts) == want and encoder.encode([]) == []
+    assert encoder.encode(texts[::-1]) == want[::-1]
+    if capacity > 4:
+        assert len(learnt) == len(set(learnt))
+        assert not {"alpha,", "alpha.", "alpha!?", "beta;"} & set(encoder.known)

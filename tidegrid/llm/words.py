@@ -5,20 +5,25 @@ from __future__ import annotations
 import os
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: Marks that the tokenizer keeps apart from the letters before them. Not all: an apostrophe may open an ending of its own.
 MARKS = "!\"#$%&()*+,-./:;=?@[]^_{}~"
 
+#: Characters of texts that are cut into chunks at once, at least.
+HELD = 4 << 20
+
 
 class ChunkEncoder:
     """Encodes text between spaces once per distinct chunk.
 
     The tokenizer never joins what white space separates, so a text's ids are those of its chunks in order. ``capacity``
-    bounds the cached chunks, twice as much the cached parts of chunks; a full cache is emptied.
+    bounds the cached words, marks and other chunks; a full cache is emptied.
     """
 
-    def __init__(self, path: str, capacity: int = 500_000):
+    def __init__(self, path: str, capacity: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
@@ -28,7 +33,6 @@ class ChunkEncoder:
         self.is_end[list(ends)] = True
         self.capacity = capacity
         self.known: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {}
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
@@ -47,53 +51,67 @@ class ChunkEncoder:
             out += [raw[a:b] for a, b in zip([0, *ends], ends)]
         return out
 
-    def _learn(self, chunks: set[str]) -> None:
-        """Chunks of letters and marks are put together from their parts, the others are encoded whole."""
-        if len(self.known) + len(chunks) > self.capacity:
-            self.known = {"": b""}
-        if len(self.parts) > 2 * self.capacity:
-            self.parts = {}
-        plain, split, whole = [], [], []
-        for c in chunks:
-            if c.isalpha():
-                plain.append(c)
-            elif (word := c.rstrip(MARKS)).isalpha():
-                split.append((c, word, c[len(word) :]))
-            else:
-                whole.append(c)
-        parts = self.parts
-        words = list({*plain, *(a for _, a, _ in split)}.difference(parts))
-        parts.update(zip(words, self._encode_letters(words)))
-        marks = list({b for _, _, b in split}.difference(parts))
-        parts.update(zip(marks, self._encode(marks)))
-        self.known.update(zip(whole, self._encode(whole)))
-        self.known.update(zip(plain, map(parts.__getitem__, plain)))
-        self.known.update((c, parts[a] + parts[b]) for c, a, b in split)
+    def _learn(self, new: list[str]) -> None:
+        words = [c for c in new if c.isalpha()]
+        others = [c for c in new if not c.isalpha()]
+        self.known.update(zip(words, self._encode_letters(words)))
+        self.known.update(zip(others, self._encode(others)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        out = []
-        for at in range(0, len(texts), 256):
-            chunks = [self._plain(t).replace("\n", " ").split(" ") for t in texts[at : at + 256]]
-            known = self.known
-            if new := {c for row in chunks for c in row if c not in known}:
-                self._learn(new)
-                if self.known is not known:  # the cache was emptied
-                    known = self.known
-                    if new := {c for row in chunks for c in row if c not in known}:
-                        self._learn_more(new)
-            out += [b"".join(map(known.__getitem__, row)) for row in chunks]
+        out, at = [], 0
+        while at < len(texts):
+            to, held = at, 0
+            while to < len(texts) and held < HELD:
+                held += len(texts[to])
+                to += 1
+            out += self._encode_some(texts[at:to])
+            at = to
         return out
 
+    def _encode_some(self, texts: list[str]) -> list[bytes]:
+        """Texts that are held at once: each distinct chunk is put together once, its ids are copied to all its places."""
+        rows = pc.split_pattern(pc.replace_substring(self._plain(texts), "\n", " "), " ")
+        coded = pc.dictionary_encode(rows.values)
+        word, marks = (self._ids(part) for part in self._parts(coded.dictionary))
+        placed = pc.binary_join_element_wise(word, marks, pa.scalar(b"", pa.large_binary())).take(coded.indices)
+        _, ends, data = placed.buffers()
+        ids = memoryview(data or b"")
+        bounds = np.frombuffer(ends, np.int64)[rows.offsets.to_numpy()].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
+
     @staticmethod
-    def _plain(text: str) -> str:
-        """A-Z in lower case, as the tokenizer puts them, so that chunks repeat; special tokens keep their case."""
-        return text if "<|" in text else text.encode().lower().decode()
+    def _parts(chunks: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Letters and the marks after them, the whole and nothing for other chunks."""
+        word = pc.utf8_rtrim(chunks, MARKS)
+        word = pc.if_else(pc.utf8_is_alpha(word), word, chunks)
+        _, ends, data = chunks.buffers()
+        if data is None:
+            return word, chunks
+        ends = np.frombuffer(ends, np.int64)[: len(chunks) + 1]
+        sizes = np.diff(ends) - pc.binary_length(word).to_numpy()
+        after = np.append(0, np.cumsum(sizes))
+        marks = np.frombuffer(data, np.uint8)[np.repeat(ends[1:] - after[1:], sizes) + np.arange(after[-1])]
+        return word, pa.LargeStringArray.from_buffers(len(chunks), pa.py_buffer(after), pa.py_buffer(marks))
+
+    def _ids(self, parts: pa.Array) -> pa.Array:
+        """Ids of words, marks or chunks, each distinct one looked up once."""
+        coded = pc.dictionary_encode(parts)
+        some = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = self.known
+        new = [c for c in some if c not in known]
+        if len(known) + len(new) > self.capacity:
+            known, new = {"": b""}, some
+            self.known = known
+        if new:
+            self._learn(new)
+        return pa.array([known[c] for c in some], pa.large_binary()).take(coded.indices)
 
-    def _learn_more(self, chunks: set[str]) -> None:
-        capacity, self.capacity = self.capacity, float("inf")
-        self._learn(chunks)
-        self.capacity = capacity
+    @staticmethod
+    def _plain(texts: list[str]) -> pa.Array:
+        """A-Z in lower case, as the tokenizer puts them, so that chunks repeat; special tokens keep their case."""
+        raw = pa.array(texts, pa.large_string())
+        return pc.if_else(pc.match_substring(raw, "<|"), raw, pc.ascii_lower(raw))
 
 
 _encoders: dict[str, ChunkEncoder] = {}
