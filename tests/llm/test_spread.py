@@ -1,10 +1,12 @@
 """What an operator looks up, encodes or moves once only."""
 
+import random
+
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tidegrid.llm import words
+from tidegrid.llm import repeats, words
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -22,3 +24,25 @@ def test_words_are_encoded_once_whatever_marks_follow(capacity):
     if capacity > 4:
         assert len(learnt) == len(set(learnt))
         assert not {"alpha,", "alpha.", "alpha!?", "beta;"} & set(encoder.known)
+
+
+def test_a_cut_moves_texts_once(spark):
+    r = random.Random(5)
+    prose = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    passage = prose(60)
+    rows = [(i, None if i == 7 else f"{prose(20)} {passage if i % 2 else ''} {prose(20)}", f"l{i % 3}", float(i)) for i in range(12)]
+    rows.append((3, rows[3][1], "other", None))
+    docs = spark.createDataFrame(rows, "doc_id int, text string, lang string, more double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = repeats.cut(docs, length=200, window=100, least_words=51)
+        found = out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert out.dtypes == docs.dtypes and len(found) == 13
+    for x in found:
+        assert x.text is None if x.doc_id == 7 else (passage[1:-1] not in x.text and x.text[:20] == rows[x.doc_id][1][:20]) or x.doc_id == 3
+    assert {(x.doc_id, x.lang, x.more) for x in found} == {(a, c, d) for a, _, c, d in rows}
+    assert "ReusedExchange" in plan
