@@ -83,3 +83,22 @@ def test_rows_do_not_gather_by_window(spark):
     assert not re.search(r"hashpartitioning\(coalesce\(window_index#\d+, [^()]*\), isnull\(window_index#\d+\), \d+\)", _plan(out))
     dealt = _plan(window_roles(rows, windows))
     assert "BroadcastHashJoin" in dealt and "BuildRight" in dealt and "BuildLeft" not in dealt
+
+
+def test_prediction_folders_are_listed_once(spark, tmp_path):
+    from tidegrid.sources import predictions as pred
+
+    rows = spark.range(48).select(
+        F.lit("up").alias("unique_id"), F.timestamp_seconds(F.col("id") * 3600).alias("ds"), (F.col("id") % 24 + 1).cast("int").alias("horizon"),
+        F.col("id").cast("double").alias("y"), (F.col("id") + 1).cast("double").alias("forecast"),
+    )
+    kind = "predictions_best_checkpoint"
+    for tso in ("A", "B"):
+        for model in ("one", "two"):
+            rows.write.parquet(f"{tmp_path}/{tso}/ds1/window_0/evaluation/{kind}/{kind}_{model}_window0.parquet")
+    out = pred.read_predictions(spark, str(tmp_path), "ds1")
+    # every model needs the names found; listing files for each of them again takes a task for every few files
+    assert "binaryfile" not in _plan(out).lower()
+    assert {(r.model, r.tso): (r["count"], r.total) for r in out.groupBy("model", "tso").agg(F.count("*").alias("count"), F.sum("y_pred").alias("total")).collect()} == {
+        (m, t): (48, 48 * 49 / 2) for m in ("one", "two") for t in ("A", "B")
+    }
