@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tidegrid.llm import repeats, words
+from tidegrid.llm import jaccard, repeats, words
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -46,3 +46,11 @@ def test_a_cut_moves_texts_once(spark):
         assert x.text is None if x.doc_id == 7 else (passage[1:-1] not in x.text and x.text[:20] == rows[x.doc_id][1][:20]) or x.doc_id == 3
     assert {(x.doc_id, x.lang, x.more) for x in found} == {(a, c, d) for a, _, c, d in rows}
     assert "ReusedExchange" in plan
+
+
+def test_few_words_are_remembered_for_shingles():
+    shingles = jaccard.Shingler(2)
+    texts = [" ".join(f"w{j}" for j in range(i, i + 1000)) for i in range(0, 300_000, 1000)]
+    first = [shingles(t) for t in texts]
+    assert len(shingles.known) <= jaccard.WORDS + 1000 <= 101_000
+    assert all((shingles(t) == s).all() for t, s in zip(texts, first))

@@ -50,6 +50,8 @@ LIST = 2048
 LEAST_BITS, MOST_BITS = 64, 1 << 15
 REMEMBERED = 1_000_000
 LIST_ROWS, LIST_BYTES = 50_000, 8 << 20
+#: Texts held as Python strings at once, words whose hashes a task remembers.
+TEXTS, WORDS = 256, 100_000
 #: One list in so many is compared first.
 FIRST_LISTS = 8
 
@@ -65,7 +67,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sorted distinct shingle hashes of a text; word hashes are cached up to ``capacity`` words."""
 
-    def __init__(self, n: int = 3, capacity: int = 500_000):
+    def __init__(self, n: int = 3, capacity: int = WORDS):
         self.n, self.capacity, self.known = n, capacity, {}
 
     def __call__(self, text: str) -> np.ndarray:
@@ -191,7 +193,9 @@ def _classes(rows: DataFrame, n: int, scheme: Scheme) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, seen = Shingler(n), set()
-        for ids, tks, texts in common.records(batches, "doc_id", "tk", "text"):
+        # texts become Python strings a part of a batch at a time
+        parts = (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS))
+        for ids, tks, texts in common.records(parts, "doc_id", "tk", "text"):
             out = []
             for i, tk, text in zip(ids, tks, texts):
                 s = shingles(text)
@@ -202,8 +206,7 @@ def _classes(rows: DataFrame, n: int, scheme: Scheme) -> DataFrame:
                     seen.clear()
                 seen.add(cls)
                 out.append((i, tk, len(s), cls, *((scheme.keys(s).view(np.int64), bitmap(s)) if new else (None, None))))
-            for at in range(0, len(out), 1024):
-                yield common.batch(schema, *zip(*out[at : at + 1024]))
+            yield common.batch(schema, *zip(*out))
 
     return rows.mapInArrow(run, "doc_id long, tk long, n long, cls long, keys array<long>, bits binary")
 
@@ -354,10 +357,9 @@ def _sets(rows: DataFrame, members: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(n)
         for b in batches:
-            texts = b.column("text").to_pylist()
-            for at in range(0, len(texts), 256):
-                part = b.slice(at, 256)
-                found = pa.array([shingles(t).tobytes() for t in texts[at : at + 256]], pa.binary())
+            for at in range(0, b.num_rows, TEXTS):
+                part = b.slice(at, TEXTS)
+                found = pa.array([shingles(t).tobytes() for t in part.column("text").to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in extra), found], schema=schema)
 
     m = members.select(F.col("doc_id").alias("m_id"), F.col("tk").alias("m_tk"), *extra)
