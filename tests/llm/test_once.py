@@ -54,3 +54,30 @@ def test_few_words_are_remembered_for_shingles():
     first = [shingles(t) for t in texts]
     assert len(shingles.known) <= jaccard.WORDS + 1000 <= 101_000
     assert all((shingles(t) == s).all() for t, s in zip(texts, first))
+
+
+def test_index_entries_are_dealt_once(spark, monkeypatch):
+    """The counts of the lists and the entries that they let through read one shuffle."""
+    plans, staged = [], jaccard.staged
+
+    def noted(df, name):
+        out = staged(df, name)
+        if name == "lists":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(jaccard, "staged", noted)
+    r = random.Random(3)
+    words = [f"w{r.randrange(10**6)}" for _ in range(200)]
+    rows = [(i, " ".join(words[: 200 - i % 2])) for i in range(6)] + [(i, " ".join(f"w{r.randrange(10**6)}" for _ in range(50))) for i in range(6, 30)]
+    rows += [(30, None), (31, " "), (None, " ".join(words))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = {x.doc_id: x.component_id for x in jaccard.join_components(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert [found[i] for i in range(6)] == [0] * 6 and found[None] == 0 and all(found[i] == i for i in range(6, 32))
+    # both sides and the duplicates' removal stand on the dealing by list alone; the equal dealings become one when they run
+    assert plans[0].count("REPARTITION_BY_COL") == 2 and "ENSURE_REQUIREMENTS" not in plans[0]

@@ -325,7 +325,8 @@ def _ties(entries: DataFrame, num: int, den: int) -> DataFrame:
 def _families(docs: DataFrame, num: int, den: int) -> DataFrame:
     """(node, root) of sets that lists and bounds tie together; every link lies inside one family."""
     held = docs.where("keys IS NOT NULL")
-    entries = held.select("cls", F.explode("keys").alias("key"))
+    # dealt by list once: the counts and the entries that they let through read the same shuffle
+    entries = held.select("cls", F.explode("keys").alias("key")).repartition("key")
     counts = entries.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count("*").alias("members"))
     lists = counts.where("low <> high").select("key", F.ceil(F.col("members") / LIST).cast("long").alias("parts"))
     met = staged(entries.join(lists, "key").distinct(), "lists")
