@@ -8,15 +8,16 @@ Pe a node's estimate and Pw the product of its children's weighted probabilities
 node's share in a prediction is Pe / 2 / Pw.
 
 Spark job. Words are counted per task, then summed; everything after works on distinct words. Blocks of words emit their
-distinct (context, byte) grams, so a gram is summed once for each block. Grams are dealt by the last three bytes of their context: the
-tree below such a node is complete there. The three top levels are grouped sums. The way back is the same: grams return to
-the blocks of words, words to the blocks of documents, each block with a row for each distinct one. No model is collected or
+distinct (context, byte) grams, so a gram is summed once for each block. Grams are dealt by the last three bytes of their context, their
+group: the tree below such a node is complete there. The three top levels are grouped sums. The way back is the same: grams return to
+the blocks of words, words to the blocks of documents, each block with each distinct one once. The grams that a block has of a group
+travel as one row. A task holds the distinct grams of the groups at hand, not the rows that ask for them. No model is collected or
 broadcast, so it may grow with the corpus.
 
 Across words. ``score`` cuts contexts at the start of each word. ``score_texts`` codes the same bytes with contexts from the
 whole text: the last d bytes, across spaces and words (spaces before the text's start), so the order of words counts. Then
 grams come from the texts: blocks of documents emit their distinct grams with the training counts, and get them back
-scored; one row for each distinct gram and block.
+scored; a gram goes there and back once for each block.
 
 Training documents are those whose crc32(id) modulo 7 is not 2.
 
@@ -28,7 +29,7 @@ when they return to documents.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,8 @@ FOLDS, HELD_OUT = 7, 2
 DOC_BLOCK, WORD_BLOCK = 32 << 20, 300_000
 #: Bytes of text whose grams a task makes at a time, and grams that it holds before equal ones are summed.
 GRAM_BYTES, GRAMS_HELD = 1 << 20, 4_000_000
+#: Bytes of packed grams that a task works on at a time, at least, and rows that it adds to them at once.
+TABLE_BYTES, PART_ROWS = 4 << 20, 2_000
 LN2, LN10 = math.log(2), math.log(10)
 
 
@@ -84,68 +87,107 @@ def log_kt(n0, n1, lg) -> np.ndarray | Column:
     return lg(n0 + 0.5) + lg(n1 + 0.5) - lg(n0 + n1 + 1.0) - math.log(math.pi)
 
 
+#: Counts whose logarithms of the gamma function are looked up.
+SMALL = 1 << 12
+_HALVES, _WHOLES = log_gamma(np.arange(SMALL) + 0.5), log_gamma(np.arange(SMALL) + 1.0)
+
+
+def _looked_up(n: np.ndarray, table: np.ndarray, more: float) -> np.ndarray:
+    """``log_gamma(n + more)`` for whole numbers."""
+    out = table[np.minimum(n, SMALL - 1).astype(np.int64)]
+    large = np.flatnonzero(n >= SMALL)
+    out[large] = log_gamma(n[large] + more)
+    return out
+
+
+def log_kt_counts(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """``log_kt`` with ``log_gamma`` for whole numbers."""
+    return _looked_up(n0, _HALVES, 0.5) + _looked_up(n1, _HALVES, 0.5) - _looked_up(n0 + n1, _WHOLES, 1.0) - math.log(math.pi)
+
+
 # grams
 
 
 def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Gram (context bytes, then the byte, as one number) of every coded byte, and the index of its word."""
+    """Gram of every coded byte, and the index of its word.
+
+    A gram is one number: the last three bytes of the context, the third last first (the group), then the fourth last to the sixth last,
+    then the byte. In the order of these numbers the grams of a context of three bytes or more stand together.
+    """
     pad = b" " * DEPTH
     data = np.frombuffer(b"".join([pad + w + b" " for w in words]), np.uint8).astype(np.int64)
     sizes = np.array([len(w) + 1 for w in words], np.int64)
     owner = np.repeat(np.arange(len(words)), sizes)
     at = np.arange(len(owner)) + DEPTH * (owner + 1)
     key = np.zeros(len(owner), np.int64)
-    for back in range(DEPTH, -1, -1):
+    for back in (3, 2, 1, *range(4, DEPTH + 1), 0):
         key = key << 8 | data[at - back]
     return key, owner
 
 
-def _levels(ctx: np.ndarray, sym: np.ndarray, cnt: np.ndarray):
-    """For each of the 8 decisions: what depth 3 passes up, and each gram's probability of its bit from depth 3 down.
+def pack(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
+    """The groups of sorted grams, and for each the rest of its grams and its values as bytes."""
+    group = key >> 32
+    first = np.flatnonzero(np.diff(group, prepend=-1))
+    ends = np.append(first, len(key))
+
+    def joined(x: np.ndarray) -> pa.Array:
+        return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
 
-    Yields (node, bit, keys of (context, node) at depth 3, n0, n1, log Pw, mixed probability of a one, index into keys).
+    return group[first], [joined((key & 0xFFFFFFFF).astype(np.uint32)), *map(joined, values)]
+
+
+def unpack(group: np.ndarray, lows: list[bytes], values: list[bytes] | None = None, kind: type = np.int64) -> tuple[np.ndarray, np.ndarray | None]:
+    """Grams, and their values, of packed rows."""
+    rest = np.frombuffer(b"".join(lows), np.uint32).astype(np.int64)
+    key = np.repeat(group, np.fromiter(map(len, lows), np.int64, len(lows)) // 4) << 32 | rest
+    return key, None if values is None else np.frombuffer(b"".join(values), kind)
+
+
+def _levels(key: np.ndarray, cnt: np.ndarray, down: bool):
+    """For each of the 8 decisions of sorted distinct grams: what depth 3 passes up, and the probability of a one from depth 3 down.
+
+    Yields each gram's bit and its place among the deepest nodes, keys of (context, node) at depth 3, n0, n1, log Pw, and for the deepest
+    nodes the mixed probability of a one and the index into the keys (both only if ``down``).
     """
+    ctx, sym = key >> 8, key & 255
     for k in range(8):
         node, bit = (1 << k) | (sym >> (8 - k)), (sym >> (7 - k)) & 1
-        found = []
-        for d in range(DEPTH, 2, -1):
-            key = (ctx & ((1 << 8 * d) - 1)) << 8 | node
-            u, first, inv = np.unique(key, return_index=True, return_inverse=True)
-            n1 = np.bincount(inv, cnt * bit, len(u))
-            n0 = np.bincount(inv, cnt, len(u)) - n1
-            pe = log_kt(n0, n1, log_gamma)
-            if found:
-                below = found[-1]
-                children = np.bincount(inv[below["first"]], below["pw"], len(u))
-                pw = np.logaddexp(pe, children) - LN2
-                share = np.exp(pe - LN2 - pw)
-            else:
-                pw, share = pe, np.ones(len(u))
-            found.append({"u": u, "first": first, "inv": inv, "n0": n0, "n1": n1, "pw": pw, "share": share})
-        one = None
-        for x in found:  # from the deepest
-            kt = (x["n1"] + 0.5) / (x["n0"] + x["n1"] + 1)
-            own, share = kt[x["inv"]], x["share"][x["inv"]]
-            one = own if one is None else share * own + (1 - share) * one
-        top = found[-1]
-        yield bit, top["u"], top["n0"], top["n1"], top["pw"], one, top["inv"]
-
-
-def _whole_groups(batches: Iterator[pa.RecordBatch], at_least: int = 200_000) -> Iterator[pa.Table]:
-    """Rows sorted by ``group`` in tables that never cut a group."""
-    held, rows = [], 0
+        path = ctx << 8 | node  # sorted as the grams are
+        new = np.diff(path, prepend=-1) != 0
+        first, place = np.flatnonzero(new), np.cumsum(new) - 1
+        u, n1 = path[first], np.add.reduceat(cnt * bit, first)
+        n0 = np.add.reduceat(cnt, first) - n1
+        pw = log_kt_counts(n0, n1)
+        one, above = (n1 + 0.5) / (n0 + n1 + 1), []
+        for _ in range(DEPTH - 3):
+            u, inv = np.unique(u >> 16 << 8 | u & 255, return_inverse=True)  # without the oldest byte
+            n0, n1, children = (np.bincount(inv, x, len(u)) for x in (n0, n1, pw))
+            pe = log_kt_counts(n0, n1)
+            pw = np.logaddexp(pe, children) - LN2
+            if down:
+                above.append((inv, np.exp(pe - LN2 - pw), (n1 + 0.5) / (n0 + n1 + 1)))
+        at = np.arange(len(one))
+        for inv, share, kt in above:
+            at = inv[at]
+            one = share[at] * kt[at] + (1 - share[at]) * one
+        yield bit, place, u, n0, n1, pw, one, at
+
+
+def _sorted_rows(batches: Iterator[pa.RecordBatch], whole: Callable[[pa.RecordBatch], np.ndarray]) -> Iterator[pa.Table]:
+    """Rows in tables of ``TABLE_BYTES`` or more; a table ends where ``whole`` lets the rows that follow begin another."""
+    held, size = [], 0
     for b in batches:
-        if not b.num_rows:
-            continue
-        if rows >= at_least:
-            group, last = b.column("group").to_numpy(), held[-1].column("group")[-1].as_py()
-            cut = int(np.searchsorted(group, last, side="right"))
-            if cut < b.num_rows:
-                held.append(b.slice(0, cut))
-                yield pa.Table.from_batches(held)
-                held, rows, b = [], 0, b.slice(cut)
-        held.append(b)
-        rows += b.num_rows
+        for part in (b.slice(at, PART_ROWS) for at in range(0, b.num_rows, PART_ROWS)):
+            if size >= TABLE_BYTES:
+                last = held[-1].column("group")[-1].as_py()
+                free = np.flatnonzero((part.column("group").to_numpy() != last) | whole(part))
+                if len(free):
+                    cut = int(free[0])
+                    yield pa.Table.from_batches([*held, part.slice(0, cut)])
+                    held, size, part = [], 0, part.slice(cut)
+            held.append(part)
+            size += part.nbytes
     if held:
         yield pa.Table.from_batches(held)
 
@@ -182,44 +224,79 @@ def top_levels(u3: DataFrame) -> DataFrame:
     )
 
 
-def gram_scores(counts: DataFrame) -> DataFrame:
-    """(gram, logp): natural log probability of each gram's byte in its context, from (gram, n)."""
-    rows = counts.select((F.expr("(gram >> 8) & 16777215")).alias("group"), "gram", F.col("n").cast("double").alias("n"))
-    up = pa.schema([("group", pa.int64()), ("node", pa.int64()), ("n0", pa.float64()), ("n1", pa.float64()), ("pw", pa.float64())])
+def gram_answers(asked: DataFrame) -> DataFrame:
+    """(block, group, lows, logps): natural log probability of the byte of each gram in its context, for the packed (block, group, lows, ns)."""
+    up = pa.schema([
+        ("group", pa.int64()), ("node", pa.int64()), ("n0", pa.float64()), ("n1", pa.float64()), ("pw", pa.float64()), ("lows", pa.binary()), ("ns", pa.binary())
+    ])
 
     def pass_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _whole_groups(batches):
-            gram, n = _columns(t, "gram", "n")
-            for _, u, n0, n1, pw, _, _ in _levels(gram >> 8, gram & 255, n):
-                yield from _chunks(up, [u >> 8, u & 255, n0, n1, pw])
-
-    ordered = rows.repartition("group").sortWithinPartitions("group")
-    u3 = staged(ordered.mapInArrow(pass_up, "group long, node long, n0 double, n1 double, pw double"), "contexts")
-    tops = top_levels(u3)
-    back = u3.select("group", F.col("node").alias("gram"), F.expr("group & 65535").alias("ctx2")).join(
-        tops, (F.col("gram") == F.col("node")) & (tops["ctx2"] == F.expr("group & 65535"))
-    ).select("group", "gram", F.col("a").alias("n"), "b")
-    both = rows.withColumn("b", F.lit(None).cast("double")).unionByName(back)
-    out = pa.schema([("gram", pa.int64()), ("logp", pa.float64())])
+        def told(key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if not len(key):
+                return
+            group, (lows, ns) = pack(key, n)
+            none = [pa.nulls(len(group), f.type) for f in list(up)[1:5]]
+            yield pa.RecordBatch.from_arrays([pa.array(group), *none, lows, ns], schema=up)
+            for _, _, u, n0, n1, pw, _, _ in _levels(key, n.astype(float), down=False):
+                for at in range(0, len(u), 50_000):
+                    some = [x[at : at + 50_000] for x in (u >> 8, u & 255, n0, n1, pw)]
+                    none = [pa.nulls(len(some[0]), pa.binary())] * 2
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, some), *none], schema=up)
+
+        # blocks repeat a group's grams: what is held of an open group is summed
+        open_key, open_n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for t in _sorted_rows(batches, lambda part: np.ones(part.num_rows, bool)):
+            key, n = unpack(t.column("group").to_numpy(), *(t.column(c).to_pylist() for c in ("lows", "ns")))
+            key, n = _summed([open_key, key], [open_n, n])
+            cut = int(np.searchsorted(key, key[-1] >> 32 << 32))
+            yield from told(key[:cut], n[:cut])
+            open_key, open_n = key[cut:], n[cut:]
+        yield from told(open_key, open_n)
+
+    ordered = asked.select("group", "lows", "ns").repartition("group").sortWithinPartitions("group")
+    seen = staged(ordered.mapInArrow(pass_up, "group long, node long, n0 double, n1 double, pw double, lows binary, ns binary"), "contexts")
+    u3 = seen.where("node IS NOT NULL").drop("lows", "ns")
+    tops = top_levels(u3).withColumnRenamed("node", "top")
+    back = u3.select("group", "node").join(tops, (F.col("node") == F.col("top")) & (F.col("ctx2") == F.expr("group & 65535")))
+    # of a group, a task first sees what comes from above, then the counts, then the blocks that ask
+    none = {"block": "long", "node": "long", "a": "double", "b": "double", "lows": "binary", "ns": "binary"}
+
+    def row(df: DataFrame, kind: int) -> DataFrame:
+        return df.select("group", F.lit(kind).alias("kind"), *(F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in none.items()))
+
+    counts = seen.where("node IS NULL").select("group", "lows", "ns")
+    every = row(back.select("group", "node", "a", "b"), 0).unionByName(row(counts, 1)).unionByName(row(asked.select("block", "group", "lows"), 2))
+    out = pa.schema([("block", pa.int64()), ("group", pa.int64()), ("lows", pa.binary()), ("logps", pa.binary())])
 
     def pass_down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _whole_groups(batches):
-            group, gram, n, b = _columns(t, "group", "gram", "n", "b")
-            top = ~np.isnan(b)
-            key = group[top] << 8 | gram[top]
-            order = np.argsort(key)
-            key, a, b = key[order], n[top][order], b[top][order]
-            gram, n = gram[~top], n[~top]
-            if not len(gram):
-                continue
-            logp = np.zeros(len(gram))
-            for bit, u, _, _, _, one, inv in _levels(gram >> 8, gram & 255, n):
-                at = np.searchsorted(key, u)[inv]
-                p = a[at] + b[at] * one
-                logp += np.log(np.where(bit == 1, p, 1 - p))
-            yield from _chunks(out, [gram, logp])
-
-    return both.repartition("group").sortWithinPartitions("group").mapInArrow(pass_down, "gram long, logp double")
+        known, logps = np.zeros(0, np.int64), np.zeros(0)  # of the last group, which blocks may go on to ask for
+        for t in _sorted_rows(batches, lambda part: part.column("kind").to_numpy() == 2):
+            kind = t.column("kind").to_numpy()
+            above, counted, asks = (t.filter(pa.array(kind == k)) for k in range(3))
+            if counted.num_rows:
+                group, node = _columns(above, "group", "node")
+                top = group << 8 | node.astype(np.int64)
+                order = np.argsort(top)
+                top, a, b = top[order], *(x[order] for x in _columns(above, "a", "b"))
+                key, n = unpack(counted.column("group").to_numpy(), *(counted.column(c).to_pylist() for c in ("lows", "ns")))
+                logp = np.zeros(len(key))
+                for bit, place, u, _, _, _, one, at in _levels(key, n.astype(float), down=True):
+                    at = np.searchsorted(top, u)[at]
+                    p = (a[at] + b[at] * one)[place]
+                    logp += np.log(np.where(bit == 1, p, 1 - p))
+                known, logps = np.concatenate([known, key]), np.concatenate([logps, logp])
+            if asks.num_rows:
+                group, lows = asks.column("group").to_numpy(), asks.column("lows").to_pylist()
+                key, _ = unpack(group, lows)
+                found = logps[np.searchsorted(known, key)].tobytes()
+                ends = np.cumsum([0, *map(len, lows)]) * 2  # eight bytes for four
+                parts = [found[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
+                yield common.batch(out, asks.column("block").to_pylist(), group, lows, parts)
+            last = int(np.searchsorted(known, t.column("group")[-1].as_py() << 32))
+            known, logps = known[last:], logps[last:]
+
+    ddl = "block long, group long, lows binary, logps binary"
+    return every.repartition("group").sortWithinPartitions("group", "kind").mapInArrow(pass_down, ddl)
 
 
 # words and documents
@@ -256,18 +333,16 @@ def word_scores(words: DataFrame, n_words: int) -> DataFrame:
     """(wh, n, logp) of every word of (word, n)."""
     blocks = max(1, -(-n_words // WORD_BLOCK))
     words = words.withColumn("block", F.pmod(F.xxhash64("word"), F.lit(blocks)))
-    schema = pa.schema([("block", pa.int64()), ("gram", pa.int64()), ("n", pa.int64())])
+    schema = pa.schema([("block", pa.int64()), ("group", pa.int64()), ("lows", pa.binary()), ("ns", pa.binary())])
 
     def emit(t: pa.Table) -> pa.Table:
         key, owner = grams(t.column("word").to_pylist())
         n = t.column("n").to_numpy()
-        u, inv = np.unique(key, return_inverse=True)
-        sums = np.bincount(inv, n[owner], len(u)).astype(np.int64)
-        return pa.table([np.full(len(u), t.column("block")[0].as_py()), u, sums], schema=schema)
+        group, packed = pack(*_summed([key], [n[owner]]))
+        return pa.table([np.full(len(group), t.column("block")[0].as_py()), group, *packed], schema=schema)
 
-    asked = staged(words.groupBy("block").applyInArrow(emit, "block long, gram long, n long"), "grams")
-    scores = gram_scores(asked.groupBy("gram").agg(F.sum("n").alias("n")))
-    answers = asked.select("block", "gram").join(scores, "gram")
+    asked = staged(words.groupBy("block").applyInArrow(emit, "block long, group long, lows binary, ns binary"), "grams")
+    answers = gram_answers(asked)
     out = pa.schema([("wh", pa.int64()), ("n", pa.int64()), ("logp", pa.float64())])
 
     def add(t: pa.Table, known: pa.Table) -> pa.Table:
@@ -275,7 +350,7 @@ def word_scores(words: DataFrame, n_words: int) -> DataFrame:
             return out.empty_table()
         found = t.column("word").to_pylist()
         key, owner = grams(found)
-        gram, logp = _columns(known, "gram", "logp")
+        gram, logp = unpack(known.column("group").to_numpy(), *(known.column(c).to_pylist() for c in ("lows", "logps")), np.float64)
         order = np.argsort(gram)
         each = logp[order][np.searchsorted(gram[order], key)]
         return pa.table([[word_hash(w) for w in found], t.column("n"), np.bincount(owner, each, len(found))], schema=out)
@@ -350,8 +425,23 @@ def _some(sizes: list[int], n_bytes: int) -> Iterator[slice]:
 
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    u, inv = np.unique(np.concatenate(keys), return_inverse=True)
-    return u, np.bincount(inv, np.concatenate(counts), len(u)).astype(np.int64)
+    """Distinct keys, sorted, and their counts; both lists are emptied. Sorted parts are only merged."""
+    key, n = np.concatenate(keys), np.concatenate(counts)
+    keys.clear()
+    counts.clear()
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order].astype(np.int64)
+    del order
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    return key[first], np.add.reduceat(n, first) if len(n) else n
+
+
+def _counted(key: np.ndarray, yes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams, sorted, and how many of each have ``yes``."""
+    both = np.sort(key << 1 | yes)  # a gram has 56 bits
+    key = both >> 1
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    return key[first], np.add.reduceat(both & 1, first)
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
@@ -360,7 +450,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     size = rows.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0
     blocks = max(1, -(-size // DOC_BLOCK))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", common.text_key(F.col("text"))), F.lit(blocks)))
-    schema = pa.schema([("block", pa.int64()), ("word", pa.bool_()), ("key", pa.int64()), ("n", pa.int64())])
+    schema = pa.schema([("block", pa.int64()), ("wh", pa.int64()), ("n", pa.int64()), ("group", pa.int64()), ("lows", pa.binary()), ("ns", pa.binary())])
 
     def emit(t: pa.Table) -> pa.Table:
         texts, train = t.column("text"), ~t.column("held_out").to_numpy()
@@ -373,29 +463,33 @@ def score_texts(docs: DataFrame) -> DataFrame:
                 for w in (*words, b""):
                     counts[w] = counts.get(w, 0) + yes
             key, owner = grams(list(map(coded, found)))
-            u, n = _summed([key], [train[part][owner]])
+            u, n = _counted(key, train[part][owner])
             keys.append(u)
             sums.append(n)
             held += len(u)
             if held > GRAMS_HELD:
                 u, n = _summed(keys, sums)
                 keys, sums, held = [u], [n], 0
+                del u, n
         u, n = _summed(keys, sums)
-        block = np.full(len(counts) + len(u), t.column("block")[0].as_py())
+        group, packed = pack(u, n)
         hashes = np.fromiter(map(word_hash, counts), np.int64, len(counts))
-        kind = np.arange(len(block)) < len(counts)
         n_words = np.fromiter(counts.values(), np.int64, len(counts))
-        return pa.table([block, kind, np.concatenate([hashes, u]), np.concatenate([n_words, n])], schema=schema)
-
-    asked = staged(dealt.groupBy("block").applyInArrow(emit, "block long, word boolean, key long, n long"), "grams")
-    words = staged(asked.where("word").groupBy("key").agg(F.sum("n").alias("n")), "words")
+        block = np.full(len(counts) + len(group), t.column("block")[0].as_py())
+        few, many = (lambda kind: pa.nulls(len(counts), kind)), (lambda: pa.nulls(len(group), pa.int64()))
+        columns = [(pa.array(hashes), many()), (pa.array(n_words), many()), (few(pa.int64()), pa.array(group)), *((few(pa.binary()), x) for x in packed)]
+        return pa.table([block, *map(pa.chunked_array, columns)], schema=schema)
+
+    asked = staged(dealt.groupBy("block").applyInArrow(emit, "block long, wh long, n long, group long, lows binary, ns binary"), "grams")
+    of_words = asked.where("wh IS NOT NULL")
+    words = staged(of_words.groupBy("wh").agg(F.sum("n").alias("n")), "words")
     total = words.agg(F.sum("n").alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v")).first()
     all_n, distinct = total.n or 0, total.v
-    scores = gram_scores(asked.where("NOT word").groupBy("key").agg(F.sum("n").alias("n")).withColumnRenamed("key", "gram"))
-    known = words.select(F.lit(True).alias("word"), "key", F.col("n").cast("double").alias("value")).unionByName(
-        scores.select(F.lit(False).alias("word"), F.col("gram").alias("key"), F.col("logp").alias("value"))
+    no_gram = (F.lit(None).cast(t).alias(c) for c, t in (("group", "long"), ("lows", "binary"), ("logps", "binary")))
+    no_word = (F.lit(None).cast("long").alias(c) for c in ("wh", "n"))
+    answers = of_words.select("block", "wh").join(words, "wh").select("block", "wh", "n", *no_gram).unionByName(
+        gram_answers(asked.where("wh IS NULL").select("block", "group", "lows", "ns")).select("*", *no_word)
     )
-    answers = asked.select("block", "word", "key").join(known, ["word", "key"])
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
     kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
     out = pa.schema(list(zip(names, kinds)))
@@ -403,10 +497,10 @@ def score_texts(docs: DataFrame) -> DataFrame:
     def add(t: pa.Table, answer: pa.Table) -> pa.Table:
         if not t.num_rows:
             return out.empty_table()
-        word, key, value = _columns(answer, "word", "key", "value")
-        word = word.astype(bool)
-        count = dict(zip(key[word].tolist(), value[word].tolist()))
-        gram, logp = key[~word], value[~word]
+        kind = answer.column("wh").is_valid()
+        count = dict(zip(*(answer.column(c).filter(kind).to_pylist() for c in ("wh", "n"))))
+        told = answer.filter(pc.invert(kind))
+        gram, logp = unpack(told.column("group").to_numpy(), *(told.column(c).to_pylist() for c in ("lows", "logps")), np.float64)
         order = np.argsort(gram)
         gram, logp = gram[order], logp[order]
         result, texts = [], t.column("text")
