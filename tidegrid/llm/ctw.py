@@ -47,6 +47,8 @@ FOLDS, HELD_OUT = 7, 2
 DOC_BLOCK, WORD_BLOCK = 32 << 20, 300_000
 #: Bytes of text whose grams a task makes at a time, and grams that it holds before equal ones are summed.
 GRAM_BYTES, GRAMS_HELD = 1 << 20, 4_000_000
+#: Texts that a task compresses at once.
+TEXTS = 256
 #: Bytes of packed grams that a task works on at a time, at least, and rows that it adds to them at once.
 TABLE_BYTES, PART_ROWS = 4 << 20, 2_000
 LN2, LN10 = math.log(2), math.log(10)
@@ -444,21 +446,44 @@ def _counted(key: np.ndarray, yes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[first], np.add.reduceat(both & 1, first)
 
 
+def _squeezed(rows: DataFrame) -> DataFrame:
+    """``rows`` with texts as compressed bytes, and their sizes: they move twice."""
+    schema = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("size", pa.int64()), ("text", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd")
+        for b in batches:
+            for at in range(0, b.num_rows, TEXTS):
+                part = b.slice(at, TEXTS)
+                texts = part.column("text").to_pylist()
+                some = [codec.compress(x, asbytes=True) if x else b"" for x in texts]
+                yield common.batch(schema, *(part.column(c).to_pylist() for c in ("block", "doc_id", "held_out")), list(map(len, texts)), some)
+
+    return rows.mapInArrow(run, "block long, doc_id long, held_out boolean, size long, text binary")
+
+
+def _told(t: pa.Table, part: slice) -> list[list[bytes]]:
+    """The words of some squeezed texts."""
+    codec = pa.Codec("zstd")
+    pairs = zip(*(t.column(c)[part].to_pylist() for c in ("text", "size")))
+    return [codec.decompress(x, n, asbytes=True).lower().split() if n else [] for x, n in pairs]
+
+
 def score_texts(docs: DataFrame) -> DataFrame:
     """The columns of ``score``, with contexts across words."""
     rows = common.texts(docs).withColumn("held_out", common.id_remainder(F.col("doc_id"), FOLDS) == HELD_OUT)
     size = rows.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0
     blocks = max(1, -(-size // DOC_BLOCK))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", common.text_key(F.col("text"))), F.lit(blocks)))
+    block = F.pmod(F.xxhash64("doc_id", common.text_key(F.col("text"))), F.lit(blocks)).alias("block")
+    dealt = _squeezed(rows.select(block, "doc_id", "held_out", F.col("text").cast("binary").alias("text")))
     schema = pa.schema([("block", pa.int64()), ("wh", pa.int64()), ("n", pa.int64()), ("group", pa.int64()), ("lows", pa.binary()), ("ns", pa.binary())])
 
     def emit(t: pa.Table) -> pa.Table:
-        texts, train = t.column("text"), ~t.column("held_out").to_numpy()
-        sizes = pc.binary_length(texts).to_pylist()
+        train, sizes = ~t.column("held_out").to_numpy(), t.column("size").to_pylist()
         counts: dict[bytes, int] = {}
         keys, sums, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
         for part in _some(sizes, GRAM_BYTES):
-            found = [tokens(x.as_py()) for x in texts[part]]
+            found = _told(t, part)
             for words, yes in zip(found, train[part].tolist()):
                 for w in (*words, b""):
                     counts[w] = counts.get(w, 0) + yes
@@ -480,7 +505,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
         columns = [(pa.array(hashes), many()), (pa.array(n_words), many()), (few(pa.int64()), pa.array(group)), *((few(pa.binary()), x) for x in packed)]
         return pa.table([block, *map(pa.chunked_array, columns)], schema=schema)
 
-    asked = staged(dealt.groupBy("block").applyInArrow(emit, "block long, wh long, n long, group long, lows binary, ns binary"), "grams")
+    asked = staged(dealt.groupBy("block").applyInArrow(emit, "block long, wh long, n long, group long, lows binary, ns binary"), "grams", "zstd")
     of_words = asked.where("wh IS NOT NULL")
     words = staged(of_words.groupBy("wh").agg(F.sum("n").alias("n")), "words")
     total = words.agg(F.sum("n").alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v")).first()
@@ -503,10 +528,9 @@ def score_texts(docs: DataFrame) -> DataFrame:
         gram, logp = unpack(told.column("group").to_numpy(), *(told.column(c).to_pylist() for c in ("lows", "logps")), np.float64)
         order = np.argsort(gram)
         gram, logp = gram[order], logp[order]
-        result, texts = [], t.column("text")
-        sizes = pc.binary_length(texts).to_pylist()
+        result, sizes = [], t.column("size").to_pylist()
         for part in _some(sizes, GRAM_BYTES):
-            found = [tokens(x.as_py()) for x in texts[part]]
+            found = _told(t, part)
             asked_key, owner = grams(list(map(coded, found)))
             u, inv = np.unique(asked_key, return_inverse=True)
             each = np.bincount(owner, logp[np.searchsorted(gram, u)][inv], len(found))
