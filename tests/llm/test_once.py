@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tidegrid.llm import jaccard, repeats, words
+from tidegrid.llm import ctw, jaccard, repeats, words
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -81,3 +81,28 @@ def test_index_entries_are_dealt_once(spark, monkeypatch):
     assert [found[i] for i in range(6)] == [0] * 6 and found[None] == 0 and all(found[i] == i for i in range(6, 32))
     # both sides and the duplicates' removal stand on the dealing by list alone; the equal dealings become one when they run
     assert plans[0].count("REPARTITION_BY_COL") == 2 and "ENSURE_REQUIREMENTS" not in plans[0]
+
+
+def test_grams_travel_packed_by_block_and_group(spark, monkeypatch):
+    """A block has one row for each group of contexts, and small tables, which end inside groups, give the same scores."""
+    r = random.Random(8)
+    rows = [(i, " ".join(r.choice(["the", "then", "other", "weather", f"w{r.randrange(99)}"]) for _ in range(60))) for i in range(40)]
+    docs = spark.createDataFrame([*rows, (40, None), (None, "the  THE "), (3, rows[3][1])], "doc_id long, text string").repartition(3)
+    asked, staged = [], ctw.staged
+
+    def noted(df, name, *more):
+        out = staged(df, name, *more)
+        if name == "grams":
+            asked.append([x.asDict() for x in out.where("lows IS NOT NULL").select("block", "group", "lows", "ns").collect()])
+        return out
+
+    monkeypatch.setattr(ctw, "staged", noted)
+    monkeypatch.setattr(ctw, "DOC_BLOCK", 3_000)
+    result = lambda: sorted((str(x.doc_id), x.n_tokens, x.n_known, x.train_tokens, round(x.base_score, 6), round(x.score, 6)) for x in ctw.score_texts(docs).collect())
+    want = result()
+    assert len(want) == 43 and len({x["block"] for x in asked[0]}) > 2
+    assert len(asked[0]) == len({(x["block"], x["group"]) for x in asked[0]}) < sum(len(x["lows"]) // 4 for x in asked[0])
+    assert all(len(x["lows"]) * 2 == len(x["ns"]) for x in asked[0])
+    monkeypatch.setattr(ctw, "TABLE_BYTES", 1)
+    monkeypatch.setattr(ctw, "PART_ROWS", 2)
+    assert result() == want

@@ -176,12 +176,14 @@ def _levels(key: np.ndarray, cnt: np.ndarray, down: bool):
         yield bit, place, u, n0, n1, pw, one, at
 
 
-def _sorted_rows(batches: Iterator[pa.RecordBatch], whole: Callable[[pa.RecordBatch], np.ndarray]) -> Iterator[pa.Table]:
-    """Rows in tables of ``TABLE_BYTES`` or more; a table ends where ``whole`` lets the rows that follow begin another."""
+def _sorted_rows(
+    batches: Iterator[pa.RecordBatch], whole: Callable[[pa.RecordBatch], np.ndarray], table_bytes: int, part_rows: int
+) -> Iterator[pa.Table]:
+    """Rows in tables of ``table_bytes`` or more; a table ends before a new group or where ``whole`` lets a row begin another."""
     held, size = [], 0
     for b in batches:
-        for part in (b.slice(at, PART_ROWS) for at in range(0, b.num_rows, PART_ROWS)):
-            if size >= TABLE_BYTES:
+        for part in (b.slice(at, part_rows) for at in range(0, b.num_rows, part_rows)):
+            if size >= table_bytes:
                 last = held[-1].column("group")[-1].as_py()
                 free = np.flatnonzero((part.column("group").to_numpy() != last) | whole(part))
                 if len(free):
@@ -247,7 +249,7 @@ def gram_answers(asked: DataFrame) -> DataFrame:
 
         # blocks repeat a group's grams: what is held of an open group is summed
         open_key, open_n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for t in _sorted_rows(batches, lambda part: np.ones(part.num_rows, bool)):
+        for t in _sorted_rows(batches, lambda part: np.ones(part.num_rows, bool), TABLE_BYTES, PART_ROWS):
             key, n = unpack(t.column("group").to_numpy(), *(t.column(c).to_pylist() for c in ("lows", "ns")))
             key, n = _summed([open_key, key], [open_n, n])
             cut = int(np.searchsorted(key, key[-1] >> 32 << 32))
@@ -272,7 +274,7 @@ def gram_answers(asked: DataFrame) -> DataFrame:
 
     def pass_down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, logps = np.zeros(0, np.int64), np.zeros(0)  # of the last group, which blocks may go on to ask for
-        for t in _sorted_rows(batches, lambda part: part.column("kind").to_numpy() == 2):
+        for t in _sorted_rows(batches, lambda part: part.column("kind").to_numpy() == 2, TABLE_BYTES, PART_ROWS):
             kind = t.column("kind").to_numpy()
             above, counted, asks = (t.filter(pa.array(kind == k)) for k in range(3))
             if counted.num_rows:
