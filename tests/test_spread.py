@@ -102,3 +102,16 @@ def test_prediction_folders_are_listed_once(spark, tmp_path):
     assert {(r.model, r.tso): (r["count"], r.total) for r in out.groupBy("model", "tso").agg(F.count("*").alias("count"), F.sum("y_pred").alias("total")).collect()} == {
         (m, t): (48, 48 * 49 / 2) for m in ("one", "two") for t in ("A", "B")
     }
+
+
+def test_compared_prediction_sets_are_not_broadcast(spark):
+    from tidegrid.operators import dm
+
+    rows = spark.range(96).select(
+        F.lit("s").alias("tso"), F.lit("up").alias("unique_id"), F.lit("m").alias("model"), F.timestamp_seconds(F.col("id") * 3600).alias("ds"),
+        (F.col("id") % 24 + 1).alias("horizon"), (F.col("id") % 7).cast("double").alias("y"), (F.col("id") % 5).cast("double").alias("y_pred"),
+    )
+    tests = dm.compare_sets(rows, rows.withColumn("y_pred", F.col("y_pred") + 1), dense=True)
+    joins = [line for line in _plan(tests).splitlines() if "Join" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
+    assert [r.n for r in tests.collect()] == [96]

@@ -64,9 +64,12 @@ def compare_sets(
     a: DataFrame, b: DataFrame, keys: Sequence[str] = ("tso", "unique_id", "model"),
     horizon: int = 24, dense: bool = False,
 ) -> DataFrame:
-    """Same models in two prediction sets, paired on their keys."""
+    """Same models in two prediction sets, paired on their keys.
+
+    Both sets move in the join: a set that is made of a smaller table looks small enough to broadcast, what it becomes is not.
+    """
     on = [*keys, "ds", "horizon"]
-    pair = join_null_safe(a.select(*on, "y", F.col("y_pred").alias("_p1")), b.select(*on, F.col("y_pred").alias("_p2")), on)
+    pair = join_null_safe(a.select(*on, "y", F.col("y_pred").alias("_p1")).hint("merge"), b.select(*on, F.col("y_pred").alias("_p2")), on)
     e1, e2 = F.col("y") - F.col("_p1"), F.col("y") - F.col("_p2")
     return dm_test(pair, keys, e1 * e1 - e2 * e2, horizon, "ds", dense)
 
