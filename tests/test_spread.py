@@ -115,3 +115,16 @@ def test_compared_prediction_sets_are_not_broadcast(spark):
     joins = [line for line in _plan(tests).splitlines() if "Join" in line]
     assert joins and all("SortMergeJoin" in line for line in joins)
     assert [r.n for r in tests.collect()] == [96]
+
+
+def test_rejection_shares_broadcast_no_prediction_set(spark, tmp_path):
+    from tidegrid.plans.catalog import QUERIES
+
+    spark.range(600).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") * 600).cast("timestamp_ntz").alias("ts"), (F.col("id") % 30).alias("user_id"),
+        F.lit("a").alias("event_type"), (F.col("id") % 11).cast("double").alias("value"), F.lit("{}").alias("props"),
+    ).write.parquet(f"{tmp_path}/events.parquet")
+    out = QUERIES["sta4_rejection_shares"](spark, str(tmp_path))
+    hourly = [line for line in _plan(out).splitlines() if "Join" in line and "coalesce(ds#" in line]
+    assert hourly and all("SortMergeJoin" in line for line in hourly)
+    assert {r.model for r in out.collect()} == {"blend", "damped", "naive", "seasonal"}
