@@ -32,6 +32,13 @@ def test_a_confidence_set_takes_all_replicates(spark, events, monkeypatch):
     assert all(r.p_value * 5000 == pytest.approx(round(r.p_value * 5000)) for r in rows)
 
 
+def test_marks_of_a_confidence_set_take_all_replicates(spark, events, monkeypatch):
+    seen = _replicates(monkeypatch)
+    rows = QUERIES["sta16_mcs_marks"](spark, events).collect()
+    assert seen == [5000] and len(rows) == 2 * 2
+    assert {r[m] for r in rows for m in ("blend", "damped", "naive", "seasonal")} <= {"x", ""}
+
+
 def test_ranges_of_replicates_and_draws_without_numbers(spark, monkeypatch):
     rng = np.random.default_rng(7)
     rows = [
