@@ -128,3 +128,35 @@ def test_rejection_shares_broadcast_no_prediction_set(spark, tmp_path):
     hourly = [line for line in _plan(out).splitlines() if "Join" in line and "coalesce(ds#" in line]
     assert hourly and all("SortMergeJoin" in line for line in hourly)
     assert {r.model for r in out.collect()} == {"blend", "damped", "naive", "seasonal"}
+
+
+def test_folders_of_small_files_hold_what_sparks_writer_holds(spark, tmp_path):
+    from tidegrid.sources import files
+
+    keys = ["k1", "k2"]
+    rows = spark.range(300).select(
+        F.element_at(F.array(*[F.lit(x) for x in ("a", "b=1/2", "c:%", None, "")]), (F.col("id") % 5 + 1).cast("int")).alias("k1"),
+        (F.col("id") % 3).alias("k2"), F.timestamp_seconds(F.col("id") * 3600).alias("ds"), F.when(F.col("id") % 7 > 0, F.col("id") / 2).alias("y"),
+    )
+    count = files.write_folders(rows, f"{tmp_path}/own", keys)
+    rows.repartition("k1").write.partitionBy(*keys).parquet(f"{tmp_path}/spark")
+    found = lambda name: sorted(str(p.parent.relative_to(tmp_path / name)) for p in (tmp_path / name).rglob("*.parquet"))
+    assert set(found("own")) == set(found("spark"))
+    # empty and null have one folder
+    assert count == len(found("own")) == len(set(found("own"))) == 4 * 3
+    read = lambda name: sorted(map(str, spark.read.parquet(f"{tmp_path}/{name}").select("k1", "k2", "ds", "y").collect()))
+    assert read("own") == read("spark") and len(read("own")) == 300
+    assert files.write_folders(rows.limit(0), f"{tmp_path}/none", keys) == 0
+
+
+def test_located_files_are_sent_to_their_rows(spark, tmp_path):
+    from tidegrid.sources import predictions as pred
+
+    kind = "predictions_best_checkpoint"
+    rows = spark.range(48).selectExpr("'up' AS unique_id", "timestamp_seconds(id * 3600) AS ds", "1 AS horizon", "CAST(id AS DOUBLE) AS y", "CAST(id AS DOUBLE) AS forecast")
+    for tso in ("A", "B"):
+        rows.coalesce(1).write.parquet(f"{tmp_path}/{tso}/ds1/window_0/evaluation/{kind}/{kind}_one_window0.parquet")
+    out = pred.read_predictions(spark, str(tmp_path), "ds1")
+    joins = [line for line in _plan(out).splitlines() if "Join" in line]
+    assert joins and all("BroadcastHashJoin" in line and "BuildRight" in line for line in joins)
+    assert out.count() == 96

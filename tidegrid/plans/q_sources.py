@@ -352,9 +352,7 @@ def _stage_predictions(spark, d, attribution=False):
         {"k5": F.lit("predictions"), "forecast": F.col("forecast") + 1000,
          "k6": F.regexp_replace("k6", "^.*_checkpoint_", "predictions_")}
     )
-    # many small files: each task moves its own to their places, the driver would move them one by one; the folder is new
-    out = laid.unionByName(last).repartition("k1").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
-    out.partitionBy(*keys).parquet(root)
+    files.write_folders(laid.unionByName(last), root, keys)
     return root
 
 
