@@ -160,3 +160,18 @@ def test_located_files_are_sent_to_their_rows(spark, tmp_path):
     joins = [line for line in _plan(out).splitlines() if "Join" in line]
     assert joins and all("BroadcastHashJoin" in line and "BuildRight" in line for line in joins)
     assert out.count() == 96
+
+
+def test_attribution_files_are_staged_in_one_file_a_folder(spark, tmp_path):
+    from tidegrid.plans import q_sources
+
+    spark.range(400).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") * 3600).cast("timestamp_ntz").alias("ts"), (F.col("id") % 20).alias("user_id"),
+        F.lit("a").alias("event_type"), (F.col("id") % 11).cast("double").alias("value"), F.lit("{}").alias("props"),
+    ).write.parquet(f"{tmp_path}/events.parquet")
+    root = Path(q_sources._stage_predictions(spark, str(tmp_path), True).removeprefix("file:"))
+    found = [*root.rglob("*.parquet")]
+    folders = {p.parent for p in found if p.is_file()}
+    # 2 operators, 2 windows, 4 models, the best and the last checkpoint
+    assert len(folders) == 2 * 2 * 4 * 2 and {p.name for p in found if p.is_file()} == {"part-00000.parquet"}
+    assert spark.read.option("recursiveFileLookup", True).parquet(str(root)).count() == 2 * 2 * 400 * 4 * 2
